@@ -29,7 +29,7 @@ MEDIA_ID_SEPARATED = rf"(?iu){EDGE}(?:video|image)[_-]?id[a-zA-Z0-9_-]+{EDGE}"
 LONG_HEX = rf"{EDGE}[a-fA-F0-9]{{20,}}{EDGE}"
 UUID = rf"{EDGE}[a-fA-F0-9]{{8}}-[a-fA-F0-9]{{4}}-[a-fA-F0-9]{{4}}-[a-fA-F0-9]{{4}}-[a-fA-F0-9]{{12}}{EDGE}"
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
-CONTROL_AND_INVISIBLE = r"[\x00-\x1f\x7f-\x9f​‎‏﻿]"
+CONTROL_AND_INVISIBLE = r"[\x00-\x1f\x7f-\x9f\u200b\u200e\u200f\ufeff]"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}]+"
 STRETCHED_LETTERS = r"([a-zA-Z])\1{2,}"
 STRETCHED_EMPHASIS = r"([!?])\1+"
