@@ -44,7 +44,7 @@ def feed_filter(
 
 
 def newest_first() -> list[Column]:
-    return [F.desc("review_date"), F.asc("review_id")]
+    return [F.desc(F.coalesce("review_date", F.lit(""))), F.asc("review_id")]
 
 
 def feed_page(filtered: DataFrame, page: int = 1, limit: int = 20, shallow_rows: int = SHALLOW_ROWS) -> DataFrame:
@@ -61,8 +61,9 @@ def feed_page(filtered: DataFrame, page: int = 1, limit: int = 20, shallow_rows:
         total = filtered.count()
         rows = filtered.orderBy(*newest_first()).limit(start + limit).offset(start)
     else:
-        days = filtered.groupBy("review_date").agg(F.count(F.lit(1)).alias("_n"))
-        newest = Window.orderBy(F.desc("review_date"))
+        day = F.coalesce("review_date", F.lit(""))
+        days = filtered.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+        newest = Window.orderBy(F.desc("_day"))
         upto = F.sum("_n").over(newest.rowsBetween(Window.unboundedPreceding, 0))
         everything = F.sum("_n").over(Window.partitionBy())
         touched = (
@@ -76,7 +77,7 @@ def feed_page(filtered: DataFrame, page: int = 1, limit: int = 20, shallow_rows:
             return feed_page(filtered, 1, limit).filter(F.lit(False))
         total = touched[0]["_all"]
         skipped = touched[0]["_upto"] - touched[0]["_n"]
-        on_days = filtered.filter(F.col("review_date").isin([row["review_date"] for row in touched]))
+        on_days = filtered.filter(day.isin([row["_day"] for row in touched]))
         placed = with_position(on_days, *newest_first(), name="_at")
         local = start - skipped
         rows = placed.filter((F.col("_at") > local) & (F.col("_at") <= local + limit)).drop("_at")
