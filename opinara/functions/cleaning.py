@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opinara.functions.binding import let
 
 # What counts as space, word character and word boundary.
 SPACE = r"[\s\x1c-\x1f]"
@@ -38,12 +42,12 @@ STRETCHED_ANY = r"([!?,.\-;:])\1+"
 SPACES = rf"(?U){SPACE}+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalise(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: html.unescape(unicodedata.normalize("NFKC", text)), na_action="ignore")
 
@@ -58,34 +62,59 @@ def normalise(text: Column) -> Column:
     return F.coalesce(_normalise(F.when(text.rlike(r"[^\x00-\x7f]|&"), text)), text)
 
 
-def _blank_out(text: Column, *patterns: str) -> Column:
-    for pattern in patterns:
-        text = F.regexp_replace(text, pattern, " ")
-    return text
+def _blank(text: Column, pattern: str, worth_it: Callable[[Column], Column]) -> Column:
+    """Blank out a pattern; a cheap test spares most texts the full scan."""
+    return let(text, lambda t: F.when(worth_it(t), F.regexp_replace(t, pattern, " ")).otherwise(t))
+
+
+def _may_hold_url(text: Column) -> Column:
+    return text.contains("://") | F.lower(text).contains("www.")
+
+
+def _may_hold_tag(text: Column) -> Column:
+    return text.contains("<")
+
+
+def _may_hold_media_id(text: Column) -> Column:
+    return text.rlike("(?iu)(?:video|image)[_-]?id")
+
+
+def _may_hold_hex(text: Column) -> Column:
+    return text.rlike("[a-fA-F0-9]{20}")
+
+
+def _may_hold_uuid(text: Column) -> Column:
+    return text.rlike("[a-fA-F0-9]-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-")
+
+
+def _without_noise(text: Column, url: str, media_id: str) -> Column:
+    text = _blank(text, url, _may_hold_url)
+    text = _blank(text, TAG, _may_hold_tag)
+    text = _blank(text, media_id, _may_hold_media_id)
+    return _blank(text, LONG_HEX, _may_hold_hex)
 
 
 def _squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACES, " "))
 
 
+def _upper_first(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
+
+
 def _capitalise_sentences(text: Column) -> Column:
     """Upper-case the first character, and ASCII letters that open a piece after a full stop."""
-    pieces = F.split(text, r"\. ")
     opened = F.transform(
-        pieces,
-        lambda piece, i: F.when(
-            (i > 0) & piece.rlike("^[a-z]"), F.concat(F.upper(F.substring(piece, 1, 1)), F.substring(piece, 2, 2**31 - 1))
-        ).otherwise(piece),
+        F.split(text, r"\. "), lambda piece, i: F.when((i > 0) & piece.rlike("^[a-z]"), _upper_first(piece)).otherwise(piece)
     )
-    joined = F.array_join(opened, ". ")
-    return F.concat(F.upper(F.substring(joined, 1, 1)), F.substring(joined, 2, 2**31 - 1))
+    return let(F.array_join(opened, ". "), _upper_first)
 
 
 def clean_for_inference(text: Column) -> Column:
     """Light cleaning that keeps case and punctuation; null when nothing is left."""
-    bare = _blank_out(unescape(text), URL_ANY_CASE, TAG, MEDIA_ID, LONG_HEX, UUID, CONTROL)
-    bare = _squeeze(bare)
-    return F.when(F.length(bare) > 0, _capitalise_sentences(bare))
+    bare = _blank(_without_noise(unescape(text), URL_ANY_CASE, MEDIA_ID), UUID, _may_hold_uuid)
+    bare = _squeeze(F.regexp_replace(bare, CONTROL, " "))
+    return let(bare, lambda kept: F.when(F.length(kept) > 0, _capitalise_sentences(kept)))
 
 
 def clean_or_raw(text: Column) -> Column:
@@ -93,14 +122,15 @@ def clean_or_raw(text: Column) -> Column:
 
 
 def _finish(text: Column, lowercase: bool, min_len: int) -> Column:
-    text = _squeeze(text)
-    text = F.lower(text) if lowercase else text
-    return F.when((F.length(text) > 0) & (F.length(text) >= min_len), text)
+    squeezed = _squeeze(text)
+    shown = F.lower(squeezed) if lowercase else squeezed
+    return let(shown, lambda kept: F.when(F.length(kept) >= max(min_len, 1), kept))
 
 
 def clean_for_training(text: Column, lowercase: bool = True, min_len: int = 2) -> Column:
     """Heavier cleaning that keeps doubled ``!`` and ``?`` as a signal."""
-    bare = _blank_out(normalise(text), URL, TAG, MEDIA_ID_SEPARATED, LONG_HEX, CONTROL_AND_INVISIBLE)
+    bare = _without_noise(normalise(text), URL, MEDIA_ID_SEPARATED)
+    bare = F.regexp_replace(bare, CONTROL_AND_INVISIBLE, " ")
     bare = F.regexp_replace(bare, STRETCHED_LETTERS, "$1$1")
     bare = F.regexp_replace(bare, STRETCHED_EMPHASIS, "$1$1")
     bare = F.regexp_replace(bare, STRETCHED_PUNCTUATION, "$1")
@@ -109,7 +139,8 @@ def clean_for_training(text: Column, lowercase: bool = True, min_len: int = 2) -
 
 def clean_strict(text: Column, lowercase: bool = True, min_len: int = 2) -> Column:
     """As for training, without emoji and with every punctuation run cut to one."""
-    bare = _blank_out(normalise(text), URL, TAG, MEDIA_ID_SEPARATED, LONG_HEX, CONTROL_AND_INVISIBLE, EMOJI)
+    bare = _without_noise(normalise(text), URL, MEDIA_ID_SEPARATED)
+    bare = F.regexp_replace(F.regexp_replace(bare, CONTROL_AND_INVISIBLE, " "), EMOJI, " ")
     bare = F.regexp_replace(bare, STRETCHED_LETTERS, "$1$1")
     bare = F.regexp_replace(bare, STRETCHED_ANY, "$1")
     return _finish(bare, lowercase, min_len)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
-from opinara.operators.ranking import exact_percentiles, hash_key, same, small_side
+from opinara.operators.ranking import exact_percentiles, hash_key, lookup, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
 from opinara.session import cut
 
@@ -348,7 +348,5 @@ def named_centroids(centroids: DataFrame, worksheet: DataFrame, threshold: float
     """Centroids with names and a cut-off; clusters missing from the worksheet are tagged "other"."""
     check_names(worksheet)
     names = worksheet.select(*scope, "cluster_id", F.col("suggested_name").alias("_name"))
-    bare = centroids.drop("name", "threshold")
-    return bare.join(names, same(bare, names, [*scope, "cluster_id"]), "left").select(
-        bare["scope"], bare["cluster_id"], F.col("_name").alias("name"), F.lit(threshold).alias("threshold"), bare["centroid"]
-    )
+    named = lookup(centroids.drop("name", "threshold"), names, [*scope, "cluster_id"], "left")
+    return named.select("scope", "cluster_id", F.col("_name").alias("name"), F.lit(threshold).alias("threshold"), "centroid")

@@ -26,12 +26,13 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
 
 
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe equality on the named columns."""
+def lookup(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a lookup table on equally named columns, nulls matching nulls."""
+    renamed = side.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in side.columns])
     condition = F.lit(True)
-    for name in columns:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
+    for name in on:
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_on_{name}"))
+    return df.join(renamed, condition, how).drop(*[f"_on_{name}" for name in on])
 
 
 def hash_key(key: Column, seed: int) -> Column:
@@ -62,10 +63,7 @@ def hash_cuts(
         .select(*strata, "_prefix", "cut", "_need")
     )
     slices = small_side(slices)
-    on = [*strata, "_prefix"]
-    in_slice = keyed.join(slices, same(keyed, slices, on)).select(
-        *[keyed[name] for name in strata], "_key", "cut", "_need"
-    )
+    in_slice = lookup(keyed, slices, [*strata, "_prefix"])
     ordered = Window.partitionBy(*strata, "cut").orderBy("_key")
     found = in_slice.withColumn("_rank", F.row_number().over(ordered)).filter("_rank = _need")
     return found.groupBy(*strata).agg(F.map_from_entries(F.collect_list(F.struct("cut", "_key"))).alias("cuts"))
@@ -78,7 +76,7 @@ def with_hash_cuts(
     cuts = small_side(hash_cuts(df, key, quotas, strata))
     keyed = df.withColumn("_hash", key)
     if strata:
-        joined = keyed.join(cuts, same(keyed, cuts, list(strata)), "left").select(keyed["*"], cuts["cuts"])
+        joined = lookup(keyed, cuts, list(strata), "left")
         bound = F.col("cuts")
     else:
         row = cuts.first()  # one row: a key per quota
@@ -141,8 +139,7 @@ def exact_percentiles(
     )
     summary = cut(data.groupBy(*by).agg(F.count("_v").alias("_total"), brackets.alias("_brackets")))
     if by:
-        side = small_side(summary)
-        spread = data.join(side, same(data, side, by)).select(*[data[c] for c in by], "_v", "_total", "_brackets")
+        spread = lookup(data, small_side(summary), by)
     else:
         row = summary.first()  # one row: a count and a bracket per percentile
         literal = F.array(

@@ -75,14 +75,8 @@ def check_upload(spark: SparkSession, path: str, mapping: ColumnMapping, multi_l
         return _verdict(spark, "EMPTY_FILE", "CSV file is empty")
     if lines.filter(F.trim("value") != "").isEmpty():
         return _verdict(spark, "EMPTY_FILE", "CSV file is empty")
-    # Byte-exact: a file that is not UTF-8 does not survive decoding and encoding again. Only lines
-    # with a replacement character can be affected, so the binary check runs on those files alone.
-    suspect = lines.select(F.col("_metadata.file_path").alias("file"), "value").filter(F.col("value").contains("�"))
-    if not suspect.isEmpty():
-        raw = spark.read.format("text").option("encoding", "ISO-8859-1").load(path)
-        intact = F.is_valid_utf8(F.encode("value", "ISO-8859-1").cast("string"))
-        if not raw.filter(~intact).isEmpty():
-            return _verdict(spark, "INVALID_ENCODING", "File must be UTF-8 encoded")
+    if not lines.filter(~F.is_valid_utf8("value")).isEmpty():
+        return _verdict(spark, "INVALID_ENCODING", "File must be UTF-8 encoded")
     rows = read_csv(spark, path, multi_line)
     if not rows.columns:
         return _verdict(spark, "INVALID_CSV", "CSV has no header row")
