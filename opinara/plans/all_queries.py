@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from opinara.plans import catalog_serving, catalog_sources, catalog_text  # noqa: F401
+from opinara.plans import catalog_curation, catalog_serving, catalog_sources, catalog_text  # noqa: F401
 from opinara.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
