@@ -1,6 +1,13 @@
 """Importing this module registers every query."""
 
-from opinara.plans import catalog_curation, catalog_serving, catalog_sources, catalog_text  # noqa: F401
+from opinara.plans import (  # noqa: F401
+    catalog_curation,
+    catalog_models,
+    catalog_serving,
+    catalog_sources,
+    catalog_streaming,
+    catalog_text,
+)
 from opinara.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
