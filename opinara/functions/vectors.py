@@ -102,9 +102,12 @@ def _tag(x: np.ndarray, scopes: np.ndarray, sets: dict[str, CentroidSet]):
 
 def _spread(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """Values back at their row numbers, null elsewhere."""
-    full = np.empty(n, dtype=object)
+    numeric = not pa.types.is_string(kind)
+    full = np.zeros(n, dtype=kind.to_pandas_dtype()) if numeric else np.full(n, "", dtype=object)
     full[rows] = values
-    return pa.array(full, type=kind, from_pandas=True)
+    missing = np.ones(n, dtype=bool)
+    missing[rows] = False
+    return pa.array(full, type=kind, mask=missing)
 
 
 def issue_tagger(spark: SparkSession, sets: dict[str, CentroidSet]):
@@ -137,13 +140,12 @@ def dense_forward(spark: SparkSession, weights: DenseWeights):
     @F.arrow_udf("array<double>")
     def forward(embedding: pa.Array) -> pa.Array:
         rows, x = _matrix(embedding)
-        if not len(rows):
-            return pa.nulls(len(embedding), pa.list_(pa.float64()))
-        probs = _forward(x, shared.value)
-        full: list = [None] * len(embedding)
-        for row, line in zip(rows.tolist(), probs.tolist()):
-            full[row] = line
-        return pa.array(full, type=pa.list_(pa.float64()))
+        n, width = len(embedding), len(LABELS)
+        full, missing = np.zeros((n, width)), np.ones(n, dtype=bool)
+        if len(rows):
+            full[rows], missing[rows] = _forward(x, shared.value), False
+        offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(full.ravel()), mask=pa.array(missing))
 
     return forward
 

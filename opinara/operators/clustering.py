@@ -5,17 +5,20 @@ Input rows carry id, category, features (array<float>) and, for naming, text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import StopWordsRemover
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from opinara.functions.binding import let
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
 from opinara.operators.ranking import exact_percentiles, hash_key, lookup, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
@@ -25,6 +28,8 @@ GLOBAL_CLUSTERS = 15
 CATEGORY_CLUSTERS = 10
 VOCABULARY = 2000
 MIN_CLUSTER = 5
+MAX_TERMS = 200_000
+SEPARATOR = "\u0001"
 
 
 def fit_global(rows: DataFrame, k: int = GLOBAL_CLUSTERS, seeds: Sequence[int] = (42,), max_iter: int = 20) -> KMeansModel:
@@ -69,11 +74,15 @@ def in_eligible(rows: DataFrame, gate: int = CLUSTER_VOLUME_GATE) -> DataFrame:
 
 def load_sets(centroids: DataFrame) -> dict[str, CentroidSet]:
     """Centroid rows as broadcastable sets. The table's size is a model setting and is checked first."""
-    size = centroids.agg(F.sum(F.size("centroid")) * 8).first()[0] or 0
-    if size > MODEL_BYTES_LIMIT:
-        raise ValueError(f"centroid table of {size} bytes is too large to broadcast; tag in category blocks")
+    centroids = cut(centroids)
+    if category_blocks(centroids) > 2:
+        raise ValueError("centroid table too large to broadcast; tag in category blocks")
+    return _sets(centroids)
+
+
+def _sets(table: DataFrame) -> dict[str, CentroidSet]:
     grouped: dict[str, list] = {}
-    for row in centroids.orderBy("scope", "cluster_id").collect():
+    for row in table.orderBy("scope", "cluster_id").collect():
         grouped.setdefault(row["scope"], []).append(row)
     return {
         scope: CentroidSet(
@@ -98,10 +107,11 @@ def tag_issues(reviews: DataFrame, centroids: DataFrame, features: str = "featur
     whole centroid table is too large to broadcast, blocks of categories are tagged in turn.
     """
     spark = reviews.sparkSession
+    centroids = cut(centroids)
     blocks = category_blocks(centroids)
 
     def tag(part: DataFrame, table: DataFrame) -> DataFrame:
-        issue = issue_tagger(spark, load_sets(table))
+        issue = issue_tagger(spark, _sets(table))
         return part.withColumn("_issue", issue(F.col(features), F.col("category"))).select(*reviews.columns, "_issue.*")
 
     if blocks == 1:
@@ -274,43 +284,54 @@ def cluster_terms(
 
     The vocabulary is the most frequent terms of a scope (the corpus, or each category), at most
     ``vocabulary`` per scope. Weights are tf x (ln((1+n)/(1+df))+1), normalised per document; the
-    inverse document frequency is computed once, not per cluster. Each row needs ``id``,
-    ``cluster_id`` and ``text``.
+    inverse document frequency is computed once, not per cluster. Each row needs ``cluster_id``
+    and ``text``.
     """
     scope = list(scope)
     stop_words = default_stop_words() if stop_words is None else stop_words
-    docs = rows.select(*scope, "id", "cluster_id", "text")
-    counted = (
-        docs.select(*scope, "id", "cluster_id", F.explode(terms(F.col("text"), stop_words)).alias("term"))
-        .groupBy(*scope, "id", "cluster_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    counted = cut(counted)
-    frequent = counted.groupBy(*scope, "term").agg(F.sum("tf").alias("uses"), F.count(F.lit(1)).alias("df"))
+    joined = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope]
+    mark = F.concat_ws(SEPARATOR, *joined, F.lit("")) if scope else F.lit("")
+    found = terms(F.col("text"), stop_words)
+    docs = rows.select(*scope, "cluster_id", let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t))).alias("terms"))
+
+    # Vocabulary and document frequencies: partial counts per term, no row per document is shuffled.
+    once = F.array_distinct("terms")
+    uses = docs.select(*scope, F.explode("terms").alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("df"))
+    held = docs.select(*scope, F.explode(once).alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("df"))
+    counts = uses.unionByName(held).groupBy(*scope, "term").agg(F.sum("uses").alias("uses"), F.sum("df").alias("df"))
     order = [F.desc("uses"), F.asc("term")]
     if scope:
-        ranked = frequent.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
-        vocab = ranked.filter(F.col("_r") <= vocabulary).drop("_r")
-    else:
-        vocab = frequent.orderBy(*order).limit(vocabulary)
-    sizes = docs.groupBy(*scope, "cluster_id").agg(F.count(F.lit(1)).alias("size"))
-    scope_sizes = sizes.groupBy(*scope).agg(F.sum("size").alias("docs"))
-    idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0
-    if scope:
-        weighted_vocab = vocab.join(scope_sizes, scope)
+        ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))
+        frequent = ranked.filter(F.col("_r") <= vocabulary)
     else:
-        weighted_vocab = vocab.withColumn("docs", F.lit(docs.count()))
-    side = small_side(weighted_vocab.select(*scope, "term", idf.alias("idf")))
-    raw = counted.join(side, [*scope, "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(*scope, "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = raw.join(norms, [*scope, "id"]).groupBy(*scope, "cluster_id", "term").agg(
-        F.sum(F.col("w") / F.col("norm")).alias("total")
+        frequent = counts.orderBy(*order).limit(vocabulary)
+    sizes = cut(docs.groupBy(*scope, "cluster_id").agg(F.count(F.lit(1)).alias("size")))
+    totals = sizes.groupBy(*scope).agg(F.sum("size").alias("docs"))
+    table = lookup(frequent, totals, scope).select("term", "df", "docs").orderBy("term").limit(MAX_TERMS + 1).collect()
+    if len(table) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} vocabulary terms; lower the vocabulary or name fewer scopes at once")
+    if not table:
+        return rows.sparkSession.createDataFrame([], sizes.schema.add("rank", "int").add("term", "string").add("weight", "double"))
+
+    # Weights as sparse vectors; the only shuffle is one mean vector per cluster and task.
+    vocab = [row["term"] for row in table]
+    idf = [math.log((1.0 + row["docs"]) / (1.0 + row["df"])) + 1.0 for row in table]
+    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="_tf")
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
+    unit = Normalizer(p=2.0, inputCol="_w", outputCol="_unit")
+    weighted = unit.transform(scale.transform(counter.transform(docs)))
+    means = weighted.groupBy(*scope, "cluster_id").agg(Summarizer.mean(F.col("_unit")).alias("m"))
+    listed = means.select(*scope, "cluster_id", F.posexplode(vector_to_array("m")).alias("_i", "weight")).filter("weight > 0")
+    named = listed.withColumns(
+        {
+            "term": F.element_at(F.split(F.array(*[F.lit(t) for t in vocab])[F.col("_i")], SEPARATOR), -1),
+            "weight": F.round("weight", 9),
+        }
     )
-    means = weights.join(sizes, [*scope, "cluster_id"]).filter(F.col("size") >= min_cluster)
     best = Window.partitionBy(*scope, "cluster_id").orderBy(F.desc("weight"), F.asc("term"))
+    kept = lookup(named, sizes.filter(F.col("size") >= min_cluster), [*scope, "cluster_id"])
     return (
-        means.withColumn("weight", F.round(F.col("total") / F.col("size"), 9))
-        .withColumn("rank", F.row_number().over(best))
+        kept.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= top)
         .select(*scope, "cluster_id", "size", "rank", "term", "weight")
     )

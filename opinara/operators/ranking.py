@@ -1,8 +1,8 @@
 """Exact order statistics without a hot group.
 
 A window over a label or a day puts that whole group into one task. Here the group is first
-counted in thousands of slices (hash prefixes or value brackets); only the slice that holds
-the wanted row is ever sorted.
+counted in slices (hash prefixes or value bins), the slice that holds the wanted row is counted
+again in finer slices, and only what is small by then is sorted.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from opinara.session import cut
 
 MAX_BROADCAST_ROWS = 100_000
+SLICE_ROWS = 1_000_000  # rows that one task may order
+PREFIX_CHARS = 2
+BINS = 1024
 
 
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -40,32 +43,48 @@ def hash_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
-def hash_cuts(
-    df: DataFrame, key: Column, quotas: dict[str, Column], strata: Sequence[str] = (), prefix_chars: int = 3
-) -> DataFrame:
+def hash_cuts(df: DataFrame, key: Column, quotas: dict[str, Column], strata: Sequence[str] = ()) -> DataFrame:
     """Per stratum, the hash key of its quota-th row in hash order.
 
     ``quotas`` maps a name to an expression over ``total``, the size of the stratum. The result
     has the strata columns and ``cuts``, a map from name to key; a quota of zero has no entry.
+
+    Rows are counted per hash prefix; the prefix holding the wanted row is split by longer
+    prefixes until it is small, and only then ordered. Rows sharing a key stay together.
     """
     strata = list(strata)
-    keyed = df.select(*strata, key.alias("_key")).withColumn("_prefix", F.substring("_key", 1, prefix_chars))
-    counts = keyed.groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*strata)
-    upto = F.sum("_n").over(whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0))
-    wanted = F.array(*[F.struct(F.lit(name).alias("cut"), q.cast("long").alias("quota")) for name, q in quotas.items()])
-    slices = (
-        counts.withColumn("_upto", upto)
-        .withColumn("total", F.sum("_n").over(whole))
-        .select(*strata, "_prefix", "_upto", "_n", F.inline(wanted))
-        .withColumn("_need", F.col("quota") - (F.col("_upto") - F.col("_n")))
-        .filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_n")))
-        .select(*strata, "_prefix", "cut", "_need")
-    )
-    slices = small_side(slices)
-    in_slice = lookup(keyed, slices, [*strata, "_prefix"])
-    ordered = Window.partitionBy(*strata, "cut").orderBy("_key")
-    found = in_slice.withColumn("_rank", F.row_number().over(ordered)).filter("_rank = _need")
+    keyed = df.select(*strata, key.alias("_key"))
+
+    def prefixed(chars: int) -> DataFrame:
+        return keyed.withColumn("_prefix", F.substring("_key", 1, chars))
+
+    def upto(*groups: str) -> Column:
+        order = Window.partitionBy(*groups).orderBy("_prefix")
+        return F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+
+    wanted = F.array(*[F.struct(F.lit(name).alias("cut"), q.cast("long").alias("_need")) for name, q in quotas.items()])
+    counts = prefixed(PREFIX_CHARS).groupBy(*strata, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    placed = counts.withColumns({"_upto": upto(*strata), "total": F.sum("_n").over(Window.partitionBy(*strata))})
+    candidates = placed.select(*strata, "_prefix", "_n", "_upto", F.inline(wanted))
+    chars = PREFIX_CHARS
+    while True:
+        before = F.col("_upto") - F.col("_n")
+        hit = (F.col("_need") > before) & (F.col("_need") <= F.col("_upto"))
+        slices = cut(
+            candidates.filter(hit).select(*strata, "_prefix", "_n", "cut", (F.col("_need") - before).alias("_need"))
+        )
+        largest = slices.agg(F.max("_n")).first()[0] or 0
+        inside = lookup(prefixed(chars), small_side(slices.drop("_n")), [*strata, "_prefix"])
+        if largest <= SLICE_ROWS or chars >= 32:
+            break
+        chars += PREFIX_CHARS
+        longer = inside.withColumn("_prefix", F.substring("_key", 1, chars))
+        finer = longer.groupBy(*strata, "cut", "_need", "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+        candidates = finer.withColumn("_upto", upto(*strata, "cut"))
+    keys = inside.groupBy(*strata, "cut", "_need", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*strata, "cut").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    reached = keys.withColumn("_upto", F.sum("_n").over(order)).filter("_upto >= _need")
+    found = reached.groupBy(*strata, "cut").agg(F.min("_key").alias("_key"))
     return found.groupBy(*strata).agg(F.map_from_entries(F.collect_list(F.struct("cut", "_key"))).alias("cuts"))
 
 
@@ -110,57 +129,73 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     )
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10_000
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Interpolated percentiles: rows (by..., p, percentile).
 
-    A sketch gives, per percentile, a bracket that must hold the wanted ranks; rows below it are
-    only counted, and the few inside are grouped by value and ranked. No group is ever held whole.
+    Each percentile is one or two ranks. The value range of a group is cut into bins that are only
+    counted; the bin holding a rank becomes the next, narrower range. Once a range holds few rows,
+    or a single value however often it occurs, its distinct values are counted and the rank read off.
     """
-    by, probs = list(by), list(probs)
-    data = df.select(*by, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
-    slack = 5.0 / accuracy
-    # Below ``accuracy`` rows a rank is coarser than the slack, so the bracket is everything.
-    few = F.count("_v") < accuracy
-    lows = [
-        F.when(few, F.min("_v")).otherwise(F.percentile_approx("_v", p - slack, accuracy)) if p > slack else F.min("_v")
-        for p in probs
-    ]
-    highs = [
-        F.when(few, F.max("_v")).otherwise(F.percentile_approx("_v", p + slack, accuracy)) if p < 1 - slack else F.max("_v")
-        for p in probs
-    ]
-    brackets = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("p"), low.alias("low"), high.alias("high"))
-            for p, low, high in zip(probs, lows, highs)
-        ]
-    )
-    summary = cut(data.groupBy(*by).agg(F.count("_v").alias("_total"), brackets.alias("_brackets")))
-    if by:
-        spread = lookup(data, small_side(summary), by)
-    else:
-        row = summary.first()  # one row: a count and a bracket per percentile
-        literal = F.array(
-            *[
-                F.struct(F.lit(b["p"]).alias("p"), F.lit(b["low"]).alias("low"), F.lit(b["high"]).alias("high"))
-                for b in row["_brackets"]
-            ]
+    by = list(by)
+    v = F.col(value).cast("double")
+    data = df.select(*by, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    place = F.col("p") * (F.col("_total") - 1)
+    ends = F.array(F.floor(place).cast("long"), F.ceil(place).cast("long"))
+    bounds = data.groupBy(*by).agg(F.count("_v").alias("_total"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    targets = (
+        bounds.filter("_total > 0")
+        .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .select(*by, "p", "_total", "_low", "_high", F.lit(0).cast("long").alias("_before"), F.col("_total").alias("_n"),
+                F.explode(F.array_distinct(ends)).alias("_rank"))
+    )
+    span = [*by, "_low", "_high"]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """Rows with the range of their group they fall into."""
+        each = F.struct("_low", "_high")
+        if by:
+            held = small_side(ranges.groupBy(*by).agg(F.collect_set(each).alias("_ranges")))
+            spread = lookup(data, held, by)
+        else:
+            pairs = ranges.select("_low", "_high").distinct().collect()  # at most two ranges per percentile
+            literal = [F.struct(F.lit(r["_low"]).alias("_low"), F.lit(r["_high"]).alias("_high")) for r in pairs]
+            spread = data.withColumn("_ranges", F.array(*literal))
+        fits = F.filter("_ranges", lambda r: (F.col("_v") >= r["_low"]) & (F.col("_v") <= r["_high"]))
+        return spread.select(*by, "_v", F.inline(fits))
+
+    while True:
+        targets = cut(targets)
+        wide = targets.filter((F.col("_low") < F.col("_high")) & (F.col("_n") > SLICE_ROWS))
+        if wide.isEmpty():
+            break
+        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        binned = inside(wide).withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+        counts = binned.groupBy(*span, "_bin").agg(
+            F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
         )
-        spread = data.withColumns({"_total": F.lit(row["_total"]), "_brackets": literal})
-    # Rows under a bracket collapse into one counted group; rows over it vanish.
-    relevant = F.filter("_brackets", lambda b: F.col("_v") <= b["high"])
-    placed = spread.select(*by, "_v", "_total", F.inline(relevant)).select(
-        *by, "p", "_total", F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")
+        order = Window.partitionBy(*span).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        steps = counts.withColumn("_upto", F.sum("_m").over(order))
+        below = F.col("_before") + F.col("_upto") - F.col("_m")
+        narrowed = (
+            lookup(wide, steps, span)
+            .filter((F.col("_rank") >= below) & (F.col("_rank") < below + F.col("_m")))
+            .select(*by, "p", "_total", F.col("_from").alias("_low"), F.col("_to").alias("_high"),
+                    below.alias("_before"), F.col("_m").alias("_n"), "_rank")
+        )
+        settled = targets.filter((F.col("_low") == F.col("_high")) | (F.col("_n") <= SLICE_ROWS))
+        targets = settled.unionByName(narrowed)
+
+    single = targets.filter("_low = _high").withColumn("_value", F.col("_low"))
+    spread_out = targets.filter("_low < _high")
+    if not spread_out.isEmpty():
+        values = inside(spread_out).groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("_m"))
+        order = Window.partitionBy(*span).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        upto = values.withColumn("_upto", F.sum("_m").over(order)).drop("_m")
+        reached = lookup(spread_out, upto, span).filter(F.col("_before") + F.col("_upto") > F.col("_rank"))
+        read = reached.groupBy(*targets.columns).agg(F.min("_v").alias("_value"))
+        single = single.unionByName(read)
+    edges = single.groupBy(*by, "p", "_total").agg(
+        F.min_by("_value", "_rank").alias("_lower"), F.max_by("_value", "_rank").alias("_upper")
     )
-    values = placed.groupBy(*by, "p", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by, "p").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("p") * (F.col("_total") - 1)
-    ranked = values.withColumn("_upto", upto).withColumn("_rank", rank)
-    lower = F.min(F.when(F.col("_upto") > F.floor("_rank"), F.col("_v")))
-    upper = F.min(F.when(F.col("_upto") > F.ceil("_rank"), F.col("_v")))
-    found = ranked.groupBy(*by, "p").agg(lower.alias("_low"), upper.alias("_high"), F.max("_rank").alias("_rank"))
-    fraction = F.col("_rank") - F.floor("_rank")
-    return found.select(*by, "p", (F.col("_low") + (F.col("_high") - F.col("_low")) * fraction).alias("percentile"))
+    fraction = place - F.floor(place)
+    return edges.select(*by, "p", (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * fraction).alias("percentile"))

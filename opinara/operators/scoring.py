@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from opinara.functions.vectors import DenseWeights, review_scorer
 from opinara.operators.clustering import category_blocks, load_sets
 from opinara.operators.curation import id_difference
+from opinara.session import cut
 
 
 def score_reviews(
     reviews: DataFrame, weights: DenseWeights, centroids: DataFrame, features: str = "features"
 ) -> DataFrame:
     """Sentiment, margin, probabilities and, for negatives, the issue: one Arrow pass per row."""
+    centroids = cut(centroids)
     if category_blocks(centroids) > 1:
         raise ValueError("centroid table too large for the fused pass; score first, then tag_issues on the negatives")
     scorer = review_scorer(reviews.sparkSession, weights, load_sets(centroids))

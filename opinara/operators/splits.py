@@ -44,10 +44,9 @@ def resplit_unreviewed(
         excluded = without_ids(excluded, frozen).unionByName(frozen.select("id", F.lit("frozen").alias("forced")))
     forced = excluded.groupBy("id").agg(F.min("forced").alias("forced"))
     marked = df.join(forced, "id", "left")
-    eligible = without_ids(df, forced)
-    cuts_from = stratified_split(eligible, test_pct, 0, seed).select("id", F.col("split").alias("drawn"))
-    drawn = marked.filter("forced IS NULL").join(cuts_from, "id").drop("forced").withColumnRenamed("drawn", "split")
-    return drawn.unionByName(marked.filter("forced IS NOT NULL").withColumnRenamed("forced", "split"))
+    joined, inside = with_hash_cuts(marked, hash_key(F.col("id"), seed), {"test": percent(test_pct)}, ["label", "forced"])
+    split = F.coalesce("forced", F.when(inside["test"], "test").otherwise("train"))
+    return joined.select(*df.columns, split.alias("split"))
 
 
 def split_report(splits: DataFrame) -> DataFrame:

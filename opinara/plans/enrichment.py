@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from opinara.functions.cleaning import clean_or_raw
 from opinara.functions.vectors import DenseWeights
+from opinara.operators.ranking import small_side
 from opinara.operators.rollups import all_rollups, split_rollups
 from opinara.operators.scoring import score_reviews
 from opinara.schema import REVIEWS
+from opinara.session import cut
 from opinara.sources.tables import write_reviews, write_rollups
 from opinara.sources.uploads import ColumnMapping, map_columns, with_content_ids
 
@@ -42,8 +44,8 @@ def enrich(prepared: DataFrame, weights: DenseWeights, centroids: DataFrame, at:
 def store(reviews: DataFrame, path: str) -> dict[str, DataFrame]:
     """Write reviews, then build rollups from what was written, so both agree after any retry."""
     write_reviews(reviews, f"{path}/reviews")
-    batches = [row["batch_id"] for row in reviews.select("batch_id").distinct().limit(10_000).collect()]
-    written = reviews.sparkSession.read.parquet(f"{path}/reviews").filter(F.col("batch_id").isin(batches))
-    tables = split_rollups(all_rollups(written))
+    batches = small_side(reviews.select("batch_id").distinct())
+    written = reviews.sparkSession.read.parquet(f"{path}/reviews").join(batches, "batch_id", "left_semi")
+    tables = split_rollups(cut(all_rollups(written)))
     write_rollups(tables, path)
     return tables

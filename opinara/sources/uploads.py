@@ -124,16 +124,19 @@ def with_content_ids(df: DataFrame, name: str = "id") -> DataFrame:
     Equal rows are counted, then written out again from the count in chunks, so that even a row
     with billions of copies never gathers in one task. A re-run gives the same ids.
     """
-    columns = df.columns
-    counted = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    zero = F.lit(0).cast("long")
+    few = counted.filter(F.col("_n") <= COPIES_PER_CHUNK).withColumn("_chunk", zero)
+    many = counted.filter(F.col("_n") > COPIES_PER_CHUNK)
     last_chunk = F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK)
-    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)))
-    content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+    spread = many.withColumn("_chunk", F.explode(F.sequence(zero, last_chunk))).repartition("_chunk")
     start = F.col("_chunk") * COPIES_PER_CHUNK
     stop = F.least(F.col("_n"), start + COPIES_PER_CHUNK) - 1
-    copies = chunks.withColumn("_copy", F.explode(F.sequence(start, stop)))
+    copies = few.unionByName(spread).withColumn("_copy", F.explode(F.sequence(start, stop)))
+    content = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     keyed = copies.withColumn(name, F.md5(F.concat_ws("#", content, F.col("_copy").cast("string"))))
-    return keyed.select(name, *[F.col(f"`{c}`") for c in columns])
+    return keyed.select(name, *columns)
 
 
 def ensure_id(df: DataFrame) -> DataFrame:
