@@ -295,10 +295,12 @@ def cluster_terms(
     docs = rows.select(*scope, "cluster_id", let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t))).alias("terms"))
 
     # Vocabulary and document frequencies: partial counts per term, no row per document is shuffled.
-    once = F.array_distinct("terms")
-    uses = docs.select(*scope, F.explode("terms").alias("term"), F.lit(1).alias("uses"), F.lit(0).alias("df"))
-    held = docs.select(*scope, F.explode(once).alias("term"), F.lit(0).alias("uses"), F.lit(1).alias("df"))
-    counts = uses.unionByName(held).groupBy(*scope, "term").agg(F.sum("uses").alias("uses"), F.sum("df").alias("df"))
+    def tally(found: Column, uses: int, df: int) -> Column:
+        return F.transform(found, lambda t: F.struct(t.alias("term"), F.lit(uses).alias("uses"), F.lit(df).alias("df")))
+
+    both = let(F.col("terms"), lambda found: F.concat(tally(found, 1, 0), tally(F.array_distinct(found), 0, 1)))
+    seen = docs.select(*scope, F.inline(both))
+    counts = seen.groupBy(*scope, "term").agg(F.sum("uses").alias("uses"), F.sum("df").alias("df"))
     order = [F.desc("uses"), F.asc("term")]
     if scope:
         ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*scope).orderBy(*order)))

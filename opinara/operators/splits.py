@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from opinara.operators.curation import id_union, upweight_targets, with_ids, without_ids
 from opinara.operators.ranking import hash_key, take_first_by_hash, with_hash_cuts
 from opinara.schema import LABELS
+from opinara.session import cut
 
 REVIEW_SAMPLE = 250
 FROZEN_ROWS = 300
@@ -42,7 +43,7 @@ def resplit_unreviewed(
     excluded = reviewed.select("id", F.lit("train").alias("forced"))
     if frozen is not None:
         excluded = without_ids(excluded, frozen).unionByName(frozen.select("id", F.lit("frozen").alias("forced")))
-    forced = excluded.groupBy("id").agg(F.min("forced").alias("forced"))
+    forced = cut(excluded.groupBy("id").agg(F.min("forced").alias("forced")))
     marked = df.join(forced, "id", "left")
     joined, inside = with_hash_cuts(marked, hash_key(F.col("id"), seed), {"test": percent(test_pct)}, ["label", "forced"])
     split = F.coalesce("forced", F.when(inside["test"], "test").otherwise("train"))
