@@ -9,7 +9,6 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.binding import let
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
-from opinara.operators.ranking import exact_percentiles, hash_key, lookup, small_side
+from opinara.operators.ranking import exact_percentiles, hash_key, lookup, resident, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
 from opinara.session import cut
 
@@ -34,7 +33,7 @@ SEPARATOR = "\u0001"
 
 def fit_global(rows: DataFrame, k: int = GLOBAL_CLUSTERS, seeds: Sequence[int] = (42,), max_iter: int = 20) -> KMeansModel:
     """Distributed k-means; with several seeds the fit of least inertia wins."""
-    data = rows.select(array_to_vector("features").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = resident(rows.select(array_to_vector("features").alias("features")))
     try:
         fits = [KMeans(k=k, seed=seed, maxIter=max_iter).fit(data) for seed in seeds]
     finally:
@@ -46,7 +45,7 @@ def inertia_sweep(
     rows: DataFrame, ks: Sequence[int] = (5, 10, 15, 20, 25, 30), seeds: Sequence[int] = (42,), max_iter: int = 20
 ) -> DataFrame:
     """Inertia per k: where the curve stops dropping is a starting point for k."""
-    data = rows.select(array_to_vector("features").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = resident(rows.select(array_to_vector("features").alias("features")))
     try:
         found = [
             (k, float(min(KMeans(k=k, seed=s, maxIter=max_iter).fit(data).summary.trainingCost for s in seeds)))
@@ -140,7 +139,7 @@ def fit_per_category(
     holding a third of all rows is spread like any other. Returns a centroid table.
     """
     spark = rows.sparkSession
-    members = in_eligible(rows.select("id", "category", "features"), gate).persist(StorageLevel.MEMORY_AND_DISK)
+    members = resident(in_eligible(rows.select("id", "category", "features"), gate))
     try:
         pick = Window.partitionBy("category").orderBy(hash_key(F.col("id"), seed), "id")
         centroids = cut(
@@ -313,7 +312,8 @@ def cluster_terms(
     if len(table) > MAX_TERMS:
         raise ValueError(f"more than {MAX_TERMS} vocabulary terms; lower the vocabulary or name fewer scopes at once")
     if not table:
-        return rows.sparkSession.createDataFrame([], sizes.schema.add("rank", "int").add("term", "string").add("weight", "double"))
+        nothing = {"rank": F.lit(0), "term": F.lit(""), "weight": F.lit(0.0)}
+        return sizes.filter(F.lit(False)).withColumns(nothing)
 
     # Weights as sparse vectors; the only shuffle is one mean vector per cluster and task.
     vocab = [row["term"] for row in table]

@@ -10,7 +10,6 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -25,11 +24,13 @@ from pyspark.sql import functions as F
 
 from opinara.functions.scores import argmax, asymmetric_rule, label_id, margin
 from opinara.operators.evaluation import confusion, overall
-from opinara.operators.ranking import hash_key
+from opinara.operators.ranking import hash_key, resident
 from opinara.operators.splits import class_weights, row_weights, sized_sample
 from opinara.schema import LABELS, NEGATIVE_RECALL_FLOOR
 from opinara.session import cut
 
+TOLERANCE = 1e-4  # a fit stops here; every further iteration is a pass over the training rows
+
 Predictor = Callable[[DataFrame], DataFrame]
 
 
@@ -46,7 +47,7 @@ def _weighted(train: DataFrame) -> DataFrame:
 
 
 def _prepared(train: DataFrame) -> DataFrame:
-    return _vectors(_weighted(train)).select("id", "vec", "y", "weight").persist(StorageLevel.MEMORY_AND_DISK)
+    return resident(_vectors(_weighted(train)).select("id", "vec", "y", "weight"))
 
 
 def _tabulate(rows: DataFrame, probs: Column) -> DataFrame:
@@ -74,7 +75,7 @@ def logistic(train: DataFrame, max_iter: int = 100) -> Predictor:
     data = _prepared(train)
     try:
         model = LogisticRegression(
-            featuresCol="vec", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1e-4
+            featuresCol="vec", labelCol="y", weightCol="weight", family="multinomial", maxIter=max_iter, regParam=1e-4, tol=TOLERANCE
         ).fit(data)
     finally:
         data.unpersist()
@@ -98,7 +99,7 @@ def _balanced(train: DataFrame, seed: int) -> DataFrame:
 def perceptron(train: DataFrame, hidden: Sequence[int] = (256, 128), max_iter: int = 60, seed: int = 42) -> Predictor:
     """Feed-forward network d-256-128-3; balance comes from repeated rows as there is no weight column."""
     width = int(train.select(F.size("features")).first()[0])
-    data = _vectors(_balanced(train, seed)).select("vec", "y").persist(StorageLevel.MEMORY_AND_DISK)
+    data = resident(_vectors(_balanced(train, seed)).select("vec", "y"))
     try:
         model = MultilayerPerceptronClassifier(
             featuresCol="vec", labelCol="y", layers=[width, *hidden, len(LABELS)], maxIter=max_iter, seed=seed, blockSize=128
@@ -139,21 +140,20 @@ def calibrated_svc(train: DataFrame, folds: int = 3, max_iter: int = 50, seed: i
 
     The calibration is a logistic regression on the margin of the fold the SVC did not see.
     """
-    data = _prepared(train)
     fold = F.pmod(F.conv(F.substring(hash_key(F.col("id"), seed), 1, 8), 16, 10).cast("long"), F.lit(folds))
-    parts = data.withColumn("fold", fold).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = resident(_vectors(_weighted(train)).select("vec", "y", "weight", fold.alias("fold")))
     fitted: list[list[tuple[np.ndarray, float, float, float]]] = []
     try:
         for f in range(folds):
             per_class = []
             for c in range(len(LABELS)):
                 binary = parts.withColumn("b", (F.col("y") == c).cast("double"))
-                svc = LinearSVC(featuresCol="vec", labelCol="b", weightCol="weight", maxIter=max_iter).fit(
+                svc = LinearSVC(featuresCol="vec", labelCol="b", weightCol="weight", maxIter=max_iter, tol=TOLERANCE).fit(
                     binary.filter(F.col("fold") != f)
                 )
                 held = svc.transform(binary.filter(F.col("fold") == f))
                 lead = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-                sigmoid = LogisticRegression(featuresCol="m", labelCol="b", maxIter=max_iter).fit(
+                sigmoid = LogisticRegression(featuresCol="m", labelCol="b", maxIter=max_iter, tol=TOLERANCE).fit(
                     held.select(lead.alias("m"), "b")
                 )
                 per_class.append(
@@ -162,7 +162,6 @@ def calibrated_svc(train: DataFrame, folds: int = 3, max_iter: int = 50, seed: i
             fitted.append(per_class)
     finally:
         parts.unpersist()
-        data.unpersist()
 
     def predict(rows: DataFrame) -> DataFrame:
         def probability(w: np.ndarray, b: float, slope: float, shift: float) -> Column:

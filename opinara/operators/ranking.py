@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from opinara.session import cut
 
 MAX_BROADCAST_ROWS = 100_000
 SLICE_ROWS = 1_000_000  # rows that one task may order
+ROWS_PER_TASK = 10_000  # rows below which an extra task costs more than it saves
 PREFIX_CHARS = 2
 BINS = 1024
 
@@ -29,6 +31,11 @@ def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stored) if stored.limit(max_rows + 1).count() <= max_rows else stored
 
 
+def resident(df: DataFrame) -> DataFrame:
+    """Keep rows for an iterative fit, without near-empty partitions: each costs a task per iteration."""
+    return df.coalesce(df.count() // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def lookup(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a lookup table on equally named columns, nulls matching nulls."""
     renamed = side.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in side.columns])

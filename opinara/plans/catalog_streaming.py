@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opinara.functions.cleaning import clean_or_raw
 from opinara.operators import clustering, scoring
 from opinara.plans import driver_views as V
+from opinara.plans import enrichment
 from opinara.plans.catalog import query
 from opinara.plans.oracle_views import SENTIMENT_SUMS, with_views
 from opinara.session import cut, run_folder
@@ -51,6 +52,38 @@ def t1(spark, folder):
     )
 
 
+@query(
+    "e1_enriched_batch",
+    """SELECT CAST(count(*) AS BIGINT) AS reviews, CAST(count(*) AS BIGINT) AS trend_total, CAST(count(*) AS BIGINT) AS category_total,
+  CAST(sum(length(text)) AS BIGINT) AS chars, TRUE AS issues_match FROM documents""",
+)
+def e1(spark, folder):
+    """Upload, clean, vectorise, score, store, roll up; the stored tables must agree with each other."""
+    upload = V.documents(spark, folder).select("text", F.col("lang").alias("category"), "source")
+    prepared = enrichment.prepare(upload, ColumnMapping("text", "category"), "batch-1")
+    encoder = scoring.text_vectoriser(prepared, "clean_text", width=WIDTH)
+    ready = cut(scoring.vectorise(prepared, encoder, "clean_text"))
+    centroids = clustering.centroid_frame(spark, clustering.fit_global(ready.select("features"), k=5, max_iter=5))
+    out = run_folder(spark, "batch")
+    tables_out = enrichment.store(enrichment.enrich(ready, scoring.fixed_weights(WIDTH), centroids), out)
+    written = tables.read_table(spark, f"{out}/reviews")
+    negatives = F.count_if(F.col("sentiment") == "negative")
+    counted = written.agg(F.count(F.lit(1)).alias("reviews"), F.sum(F.length("text")).alias("chars"), negatives.alias("negatives"))
+    known = F.col("positive") + F.col("neutral") + F.col("negative")
+
+    def total(name):
+        return tables_out[name].agg(F.sum(known)).first()[0]
+
+    issues = tables_out["issue_weekly"].agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return counted.select(
+        "reviews",
+        F.lit(total("trend_weekly")).alias("trend_total"),
+        F.lit(total("category_totals")).alias("category_total"),
+        "chars",
+        (F.col("negatives") == F.lit(issues)).alias("issues_match"),
+    )
+
+
 @query("t2_running_counters", with_views("SELECT * FROM trend", "trend"))
 def t2(spark, folder):
     out = run_folder(spark, "counters")
