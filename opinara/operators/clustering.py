@@ -21,7 +21,7 @@ from opinara.functions.binding import let
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
 from opinara.operators.ranking import exact_percentiles, hash_key, lookup, resident, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
-from opinara.session import cut
+from opinara.session import cut, spread
 
 GLOBAL_CLUSTERS = 15
 CATEGORY_CLUSTERS = 10
@@ -256,15 +256,12 @@ def compare_clusterings(rows: DataFrame, centroids: DataFrame, digits: int = 6)
 def terms(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-cased words of two or more characters without stop words, then single words and pairs."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    kept = F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words
-    pairs = F.transform(
-        F.arrays_zip(
-            F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))).alias("a"),
-            F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))).alias("b"),
-        ),
-        lambda pair: F.concat(pair["a"], F.lit(" "), pair["b"]),
-    )
-    return F.concat(kept, pairs)
+
+    def with_pairs(kept: Column) -> Column:
+        following = F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.concat(kept, F.zip_with(F.slice(kept, 1, F.size(following)), following, lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    return let(F.filter(words, lambda word: ~word.isin(*stop_words)) if stop_words else words, with_pairs)
 
 
 def default_stop_words() -> list[str]:
@@ -289,9 +286,11 @@ def cluster_terms(
     scope = list(scope)
     stop_words = default_stop_words() if stop_words is None else stop_words
     joined = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in scope]
-    mark = F.concat_ws(SEPARATOR, *joined, F.lit("")) if scope else F.lit("")
+    mark = F.concat_ws(SEPARATOR, *joined, F.lit(""))
     found = terms(F.col("text"), stop_words)
-    docs = rows.select(*scope, "cluster_id", let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t))).alias("terms"))
+    if scope:
+        found = let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t)))
+    docs = spread(rows.select(*scope, "cluster_id", "text")).select(*scope, "cluster_id", found.alias("terms"))
 
     # Vocabulary and document frequencies: partial counts per term, no row per document is shuffled.
     def tally(found: Column, uses: int, df: int) -> Column:

@@ -172,9 +172,10 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
 
     while True:
         targets = cut(targets)
-        wide = targets.filter((F.col("_low") < F.col("_high")) & (F.col("_n") > SLICE_ROWS))
-        if wide.isEmpty():
+        widest = targets.filter("_low < _high").agg(F.max("_n")).first()[0]
+        if widest is None or widest <= SLICE_ROWS:
             break
+        wide = targets.filter((F.col("_low") < F.col("_high")) & (F.col("_n") > SLICE_ROWS))
         share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
         binned = inside(wide).withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         counts = binned.groupBy(*span, "_bin").agg(
@@ -194,7 +195,7 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
 
     single = targets.filter("_low = _high").withColumn("_value", F.col("_low"))
     spread_out = targets.filter("_low < _high")
-    if not spread_out.isEmpty():
+    if widest is not None:
         values = inside(spread_out).groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("_m"))
         order = Window.partitionBy(*span).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
         upto = values.withColumn("_upto", F.sum("_m").over(order)).drop("_m")

@@ -10,7 +10,7 @@ from opinara.plans import driver_views as V
 from opinara.plans import enrichment
 from opinara.plans.catalog import query
 from opinara.plans.oracle_views import SENTIMENT_SUMS, with_views
-from opinara.session import cut, run_folder
+from opinara.session import cut, run_folder, spread
 from opinara.sources import tables
 from opinara.sources.uploads import ColumnMapping, map_columns
 from opinara.streaming import reviews as S
@@ -35,11 +35,12 @@ def _event_stream(spark, folder, files: int = 4, copies: int = 1, per_trigger: i
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS category, length(text) AS chars, TRUE AS scored FROM documents",
 )
 def t1(spark, folder):
-    docs = V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category"))
+    docs = spread(V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category")))
     inbox, out = run_folder(spark, "inbox"), run_folder(spark, "enriched")
-    tables.write_csv(docs.repartition(4), inbox)
-    encoder = scoring.text_vectoriser(docs.withColumn("text", clean_or_raw(F.col("text"))), width=WIDTH)
-    vectors = cut(scoring.vectorise(docs, encoder).select(F.col("doc_id").alias("id"), "features"))
+    tables.write_csv(docs, inbox)
+    cleaned_docs = cut(docs.select(clean_or_raw(F.col("text")).alias("text")))
+    encoder = scoring.text_vectoriser(cleaned_docs, width=WIDTH)
+    vectors = cut(scoring.vectorise(cleaned_docs, encoder).select("features"))
     model = clustering.fit_global(vectors, k=5, max_iter=5)
     centroids = clustering.centroid_frame(spark, model)
     arriving = map_columns(S.csv_stream(spark, inbox, docs.columns), ColumnMapping("text", "category"))
@@ -60,7 +61,7 @@ def t1(spark, folder):
 def e1(spark, folder):
     """Upload, clean, vectorise, score, store, roll up; the stored tables must agree with each other."""
     upload = V.documents(spark, folder).select("text", F.col("lang").alias("category"), "source")
-    prepared = enrichment.prepare(upload, ColumnMapping("text", "category"), "batch-1")
+    prepared = cut(enrichment.prepare(upload, ColumnMapping("text", "category"), "batch-1"))
     encoder = scoring.text_vectoriser(prepared, "clean_text", width=WIDTH)
     ready = cut(scoring.vectorise(prepared, encoder, "clean_text"))
     centroids = clustering.centroid_frame(spark, clustering.fit_global(ready.select("features"), k=5, max_iter=5))

@@ -17,7 +17,7 @@ PIECES = r"""list_filter(list_transform(string_split(regexp_replace(trim(text, c
 
 @query("x1_clean_for_inference")
 def x1(spark, folder):
-    docs = V.documents(spark, folder)
+    docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_for_inference(F.col("text")).alias("clean"))
 
 
@@ -35,13 +35,13 @@ def x2(spark, folder):
 
 @query("x3_clean_for_training")
 def x3(spark, folder):
-    docs = V.documents(spark, folder)
+    docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_for_training(F.col("text")).alias("clean"))
 
 
 @query("x4_clean_strict")
 def x4(spark, folder):
-    docs = V.documents(spark, folder)
+    docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_strict(F.col("text")).alias("clean"))
 
 
@@ -51,7 +51,7 @@ def x4(spark, folder):
 )
 def x8(spark, folder):
     pieces = sentences.sentences(F.col("text"))
-    return V.documents(spark, folder).select(
+    return V.texts(spark, folder).select(
         "doc_id", F.size(pieces).alias("sentences"), F.md5(F.array_join(pieces, "|")).alias("digest")
     )
 
@@ -62,7 +62,7 @@ def x8(spark, folder):
 FROM (SELECT doc_id, text, {PIECES} AS p FROM documents)""",
 )
 def x9(spark, folder):
-    return V.documents(spark, folder).select("doc_id", sentences.last_sentences(F.col("text")).alias("kept"))
+    return V.texts(spark, folder).select("doc_id", sentences.last_sentences(F.col("text")).alias("kept"))
 
 
 def _quoted(words) -> str:
@@ -85,7 +85,7 @@ SELECT d.doc_id, CASE WHEN len(d.p) >= 6 THEN array_to_string(list_filter(d.p, l
 
 @query("x10_top_opinions", OPINION)
 def x10(spark, folder):
-    return V.documents(spark, folder).select("doc_id", sentences.top_opinions(F.col("text")).alias("kept"))
+    return V.texts(spark, folder).select("doc_id", sentences.top_opinions(F.col("text")).alias("kept"))
 
 
 @query(
@@ -94,7 +94,7 @@ def x10(spark, folder):
 )
 def w12(spark, folder):
     pieces = sentences.sentences(F.col("text"))
-    cut = V.documents(spark, folder).select("doc_id", pieces.alias("p")).filter(F.size("p") >= 2)
+    cut = V.texts(spark, folder).select("doc_id", pieces.alias("p")).filter(F.size("p") >= 2)
     return cut.select("doc_id", F.array_join(F.slice("p", -2, 2), " ").alias("tail"), F.col("p")[0].alias("first"))
 
 

@@ -14,6 +14,7 @@ from opinara.functions.weeks import composite_key
 from opinara.operators import curation, rollups
 from opinara.operators.evaluation import with_prediction
 from opinara.schema import FALLBACK_SCOPE, LABELS, PER_CATEGORY
+from opinara.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -254,7 +255,12 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and texts of all documents, ready for heavy per-row work."""
+    return spread(documents(spark, folder).select("doc_id", "text"))
+
+
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the cluster of the embedding that shares their id."""
-    texts = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
-    return vectors(spark, folder).join(texts, "id")
+    held = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    return vectors(spark, folder).join(held, "id")

@@ -13,7 +13,7 @@ from opinara.operators.ranking import small_side
 from opinara.operators.rollups import all_rollups, split_rollups
 from opinara.operators.scoring import score_reviews
 from opinara.schema import REVIEWS
-from opinara.session import cut
+from opinara.session import cut, spread
 from opinara.sources.tables import write_reviews, write_rollups
 from opinara.sources.uploads import ColumnMapping, map_columns, with_content_ids
 
@@ -21,7 +21,7 @@ from opinara.sources.uploads import ColumnMapping, map_columns, with_content_ids
 def prepare(upload: DataFrame, mapping: ColumnMapping, batch_id: str) -> DataFrame:
     """Mapped rows with a content id, so that a repeated run writes the same reviews."""
     ids = with_content_ids(upload.withColumn("batch_id", F.lit(batch_id)), "review_id")
-    mapped = map_columns(ids.drop("batch_id"), mapping)
+    mapped = spread(map_columns(ids.drop("batch_id"), mapping))
     held = F.try_element_at("extra", F.lit("review_id"))
     return mapped.select(
         held.alias("review_id"),

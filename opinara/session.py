@@ -50,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the frame to the reliable checkpoint folder and continue from there."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work when the input comes in fewer pieces than there are cores.
+
+    Inputs with enough pieces, which large tables always have, pass unchanged and unshuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
