@@ -59,11 +59,12 @@ def with_vectors(docs: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFr
     return docs.join(vectors, "id"), id_difference(docs, vectors)
 
 
-def fixed_weights(dim: int, hidden: tuple[int, int] = (256, 128), classes: int = 3, seed: int = 42) -> DenseWeights:
-    """Untrained weights of the production shape, for load tests and examples."""
-    rng = np.random.default_rng(seed)
+def fixed_weights(dim: int, hidden: tuple[int, ...] = (256, 128), classes: int = 3) -> DenseWeights:
+    """Untrained weights by formula, for load tests and examples; default widths are the production ones."""
+    layers = []
     sizes = [dim, *hidden, classes]
-    layers = tuple(
-        (rng.normal(0, np.sqrt(2.0 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes[:-1], sizes[1:], strict=True)
-    )
-    return DenseWeights(layers)
+    for layer, (rows, columns) in enumerate(zip(sizes[:-1], sizes[1:], strict=True)):
+        i, j = np.indices((rows, columns))
+        weight = (((i + 1) * (7 + 2 * layer) + (j + 1) * 13) % 17 - 8) / 17.0
+        layers.append((weight, (np.arange(columns) % 5 - 2) / 10.0))
+    return DenseWeights(tuple(layers))

@@ -21,7 +21,7 @@ from opinara.plans.oracle_views import (
     recall,
     with_views,
 )
-from opinara.schema import FALLBACK_SCOPE
+from opinara.schema import FALLBACK_SCOPE, LABELS
 
 CUT = 0.95
 
@@ -85,11 +85,15 @@ def x16(spark, folder):
     return scaled.select("id", F.round(F.col("v")[0], 6).alias("first"), F.size("v").alias("dims"))
 
 
-@query("x17_dense_forward")
+HIDDEN = (32, 16)
+ROUNDED = ", ".join(f"round(prob_{name}, 6) AS prob_{name}" for name in LABELS)
+
+
+@query("x17_dense_forward", with_views(f"SELECT id, {ROUNDED} FROM class_probs", "class_probs"))
 def x17(spark, folder):
-    rows = V.vectors(spark, folder)
-    forward = vectors.dense_forward(spark, scoring.fixed_weights(64))
-    return rows.select("id", forward(F.col("features")).alias("probabilities"))
+    forward = vectors.dense_forward(spark, scoring.fixed_weights(64, HIDDEN))
+    rows = V.vectors(spark, folder).select("id", forward(F.col("features")).alias("p"))
+    return rows.select("id", *[F.round(F.col("p")[i], 6).alias(f"prob_{name}") for i, name in enumerate(LABELS)])
 
 
 @query(
@@ -217,11 +221,21 @@ def m6(spark, folder):
 # --- scoring ---
 
 
-@query("m1_scored_reviews")
+@query(
+    "m1_scored_reviews",
+    with_views(
+        f"""SELECT s.id, s.category, CASE decided WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS sentiment,
+  round(lead, 6) AS confidence_margin, {ROUNDED}, CASE WHEN decided = 0 THEN cluster_id END AS cluster_id,
+  CASE WHEN decided = 0 THEN {TAG} END AS issue_tag, CASE WHEN decided = 0 THEN round(distance, 6) END AS issue_distance,
+  CASE WHEN decided = 0 THEN cluster_source END AS cluster_source FROM scored s JOIN nearest n ON n.id = s.id""",
+        "scored", "nearest",
+    ),
+)
 def m1(spark, folder):
     rows = V.vectors(spark, folder).select("id", "category", "features")
-    scored = scoring.score_reviews(rows, scoring.fixed_weights(64), _centroids(spark, folder, CUT))
-    return scored.drop("features")
+    scored = scoring.score_reviews(rows, scoring.fixed_weights(64, HIDDEN), _centroids(spark, folder, CUT)).drop("features")
+    exact = ["confidence_margin", "issue_distance", *[f"prob_{name}" for name in LABELS]]
+    return scored.withColumns({name: F.round(name, 6) for name in exact})
 
 
 @query("m2_text_vectors", "SELECT doc_id, 64 AS dims, length(trim(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) > 1 AS has_words FROM documents")

@@ -11,6 +11,19 @@ SENTIMENT_SUMS = """CAST(count(*) FILTER (sentiment = 'positive') AS BIGINT) AS
 
 CELLS = ",\n  ".join(f"count(*) FILTER (y = {a} AND pred = {p}) AS n{a}{p}" for a in range(3) for p in range(3))
 
+
+
+def _layer(source: str, rows: int, columns: int, layer: int) -> str:
+    """One dense layer with the formula weights of ``scoring.fixed_weights``."""
+    weight = f"(((i + 1) * {7 + 2 * layer} + (j + 1) * 13) % 17 - 8) / 17.0E0"
+    terms = f"list_sum(list_transform(range(0, {rows}), lambda i: {source}[i + 1] * {weight}))"
+    return f"list_transform(range(0, {columns}), lambda j: (j % 5 - 2) / 10.0E0 + {terms})"
+
+
+def _relu(values: str) -> str:
+    return f"list_transform({values}, lambda x: greatest(x, 0.0E0))"
+
+
 # name -> (views it reads, SQL)
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), "SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
@@ -247,6 +260,26 @@ GROUP BY scope, cluster_id""",
    ON m.scope = CASE WHEN v.category IN ('c0', 'c1') THEN v.category ELSE 'cross_category_fallback' END)
 WHERE place = 1""",
     ),
+    "forward": (
+        ("vectors",),
+        f"""SELECT id, category, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM
+(SELECT id, category, {_layer("h2", 16, 3, 2)} AS logits FROM
+  (SELECT id, category, {_relu(_layer("h1", 32, 16, 1))} AS h2 FROM
+    (SELECT id, category, {_relu(_layer("features", 64, 32, 0))} AS h1 FROM vectors)))""",
+    ),
+    "class_probs": (
+        ("forward",),
+        """SELECT id, category, e[1] / list_sum(e) AS prob_negative, e[2] / list_sum(e) AS prob_neutral,
+  e[3] / list_sum(e) AS prob_positive FROM forward""",
+    ),
+    "scored": (
+        ("class_probs",),
+        """SELECT *, CASE WHEN (top = 2 AND lead < 0.3) OR (top = 0 AND lead < 0.0) THEN 1 ELSE top END AS decided FROM
+(SELECT *, CASE WHEN prob_negative >= prob_neutral AND prob_negative >= prob_positive THEN 0
+   WHEN prob_neutral >= prob_positive THEN 1 ELSE 2 END AS top,
+   list_reverse_sort([prob_negative, prob_neutral, prob_positive])[1]
+     - list_reverse_sort([prob_negative, prob_neutral, prob_positive])[2] AS lead FROM class_probs)""",
+    ),
     "clusters": (
         ("vectors",),
         "SELECT v.*, d.text FROM vectors v JOIN documents d ON d.doc_id = v.id",
