@@ -36,7 +36,12 @@ def s1(spark, folder):
     return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars"), "category", "source")
 
 
-@query("s2_check_upload")
+@query(
+    "s2_check_upload",
+    """SELECT 'mapped' AS upload, count(*) > 0 AS ok, CAST(NULL AS VARCHAR) AS error_code FROM documents
+UNION ALL SELECT 'unknown_text', FALSE, 'MISSING_COLUMN' UNION ALL SELECT 'unknown_date', FALSE, 'MISSING_COLUMN'
+UNION ALL SELECT 'wrong_type', FALSE, 'INVALID_FILE_TYPE'""",
+)
 def s2(spark, folder):
     path = _upload(spark, folder)
     cases = {

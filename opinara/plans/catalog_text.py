@@ -15,7 +15,45 @@ PIECES = r"""list_filter(list_transform(string_split(regexp_replace(trim(text, c
   '([.!?])[\s]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(32) || chr(10) || chr(9) || chr(13))), lambda s: s <> '')"""
 
 
-@query("x1_clean_for_inference")
+def _gone(text: str, *patterns: str) -> str:
+    for pattern in patterns:
+        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    return text
+
+
+# The documents hold no entities and are in NFKC already, so SQL can follow the rest of the cleaning.
+MEDIA = r"(?i)\b(?:video|image){0}id[a-zA-Z0-9_-]+\b"
+HEX = r"\b[a-fA-F0-9]{20,}\b"
+UUIDS = r"\b[a-fA-F0-9]{8}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-[a-fA-F0-9]{12}\b"
+LIGHT = _gone("text", r"(?i)https?://\S+|www\.\S+", "<[^>]+>", MEDIA.format(""), HEX, UUIDS, r"[\x00-\x1f\x7f-\x{9f}]", r"\s+")
+INFERENCE = f"""SELECT doc_id, upper(substr(t, 1, 1)) || substr(t, 2) AS clean FROM (SELECT doc_id, array_to_string(list_transform(
+  string_split(t, '. '), lambda s, i: CASE WHEN i > 1 AND regexp_matches(s, '^[a-z]') THEN upper(substr(s, 1, 1)) || substr(s, 2) ELSE s END), '. ') AS t
+FROM (SELECT doc_id, nullif(trim({LIGHT}), '') AS t FROM documents))"""
+
+
+def _heavy(*more: str) -> str:
+    bare = _gone("text", r"https?://\S+|www\.\S+", "<[^>]+>", MEDIA.format("[_-]?"), HEX, r"[\x00-\x1f\x7f-\x{9f}\x{200b}\x{200e}\x{200f}\x{feff}]", *more)
+    for letter in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
+        bare = f"regexp_replace({bare}, '{letter}{{3,}}', '{letter}{letter}', 'g')"
+    return bare
+
+
+def _cut(text: str, marks: str, kept: int) -> str:
+    for mark in marks:
+        text = f"regexp_replace({text}, '[{mark}]{{2,}}', '{mark * kept}', 'g')"
+    return text
+
+
+def _trained(bare: str) -> str:
+    return f"""SELECT doc_id, CASE WHEN length(t) >= 2 THEN t END AS clean
+FROM (SELECT doc_id, lower(trim(regexp_replace({bare}, '\\s+', ' ', 'g'))) AS t FROM documents)"""
+
+
+TRAINING = _trained(_cut(_cut(_heavy(), "!?", 2), ",.-;:", 1))
+STRICT = _trained(_cut(_heavy(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E0}-\x{1F1FF}]+"), "!?,.-;:", 1))
+
+
+@query("x1_clean_for_inference", INFERENCE)
 def x1(spark, folder):
     docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_for_inference(F.col("text")).alias("clean"))
@@ -27,19 +65,19 @@ def x1_pages(spark, folder):
     return pages.select("page_id", cleaning.clean_for_inference(F.col("html")).alias("clean"))
 
 
-@query("x2_clean_or_raw")
+@query("x2_clean_or_raw", "SELECT page_id, url AS shown FROM pages")
 def x2(spark, folder):
     pages = V.table(spark, folder, "pages")
     return pages.select("page_id", cleaning.clean_or_raw(F.col("url")).alias("shown"))
 
 
-@query("x3_clean_for_training")
+@query("x3_clean_for_training", TRAINING)
 def x3(spark, folder):
     docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_for_training(F.col("text")).alias("clean"))
 
 
-@query("x4_clean_strict")
+@query("x4_clean_strict", STRICT)
 def x4(spark, folder):
     docs = V.texts(spark, folder)
     return docs.select("doc_id", cleaning.clean_strict(F.col("text")).alias("clean"))
