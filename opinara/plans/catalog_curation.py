@@ -322,7 +322,7 @@ def j7(spark, folder):
 @query(
     "j10_alignment",
     """WITH ids AS (SELECT doc_id AS id FROM documents UNION SELECT vec_id FROM embeddings UNION SELECT doc_id FROM labels)
-SELECT 'documents' AS "table", count(*) FILTER (id NOT IN (SELECT doc_id FROM documents)) AS missing, 0 AS repeated FROM ids
+SELECT 'documents' AS "table", count(*) FILTER (id NOT IN (SELECT doc_id FROM documents)) AS missing, CAST(0 AS BIGINT) AS repeated FROM ids
 UNION ALL SELECT 'embeddings', count(*) FILTER (id NOT IN (SELECT vec_id FROM embeddings)), 0 FROM ids
 UNION ALL SELECT 'labels', count(*) FILTER (id NOT IN (SELECT doc_id FROM labels)), 0 FROM ids""",
 )

@@ -76,7 +76,7 @@ def x15(spark, folder):
 @query(
     "x16_l2_normalise",
     with_views(
-        "SELECT id, round(features[1] / greatest(sqrt(list_inner_product(features, features)), 1e-9), 6) AS first, len(features) AS dims FROM vectors",
+        "SELECT id, round(features[1] / greatest(sqrt(list_inner_product(features, features)), 1e-9), 6) AS first, CAST(len(features) AS INTEGER) AS dims FROM vectors",
         "vectors",
     ),
 )

@@ -390,7 +390,7 @@ def w1_after(spark, folder):
 
 @query(
     "w2_category_ranks",
-    _plus(with_views("SELECT category, sentiment_score, rank() OVER (ORDER BY sentiment_score DESC) AS rank FROM summary", "cats"), SUMMARY),
+    _plus(with_views("SELECT category, sentiment_score, CAST(rank() OVER (ORDER BY sentiment_score DESC) AS INTEGER) AS rank FROM summary", "cats"), SUMMARY),
 )
 def w2(spark, folder):
     return reports.category_ranks(_summary(spark, folder)).select("category", "sentiment_score", "rank")

@@ -29,7 +29,7 @@ def _upload(spark, folder) -> str:
 
 @query(
     "s1_read_csv",
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest, length(text) AS chars, lang AS category, source FROM documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(text) AS digest, CAST(length(text) AS INTEGER) AS chars, lang AS category, source FROM documents",
 )
 def s1(spark, folder):
     rows = uploads.read_csv(spark, _upload(spark, folder))
@@ -177,7 +177,7 @@ def s12(spark, folder):
 @query(
     "s13_model_tables",
     with_views(
-        """SELECT scope, cluster_id, 'issue_' || CAST(cluster_id AS VARCHAR) AS name, 0.9E0 AS threshold, len(centroid) AS dims,
+        """SELECT scope, cluster_id, 'issue_' || CAST(cluster_id AS VARCHAR) AS name, 0.9E0 AS threshold, CAST(len(centroid) AS INTEGER) AS dims,
   round(list_sum(centroid), 6) AS total FROM means WHERE scope = 'cross_category_fallback'""",
         "means",
     ),

@@ -32,7 +32,7 @@ def _event_stream(spark, folder, files: int = 4, copies: int = 1, per_trigger: i
 
 @query(
     "t1_enriched_stream",
-    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS category, length(text) AS chars, TRUE AS scored FROM documents",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang AS category, CAST(length(text) AS INTEGER) AS chars, TRUE AS scored FROM documents",
 )
 def t1(spark, folder):
     docs = spread(V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category")))
@@ -103,17 +103,18 @@ WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM revie
 )
 def t3(spark, folder):
     out = run_folder(spark, "weeks")
-    stream = V.review_shape(_event_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")))
+    stream = V.review_shape(_event_stream(spark, folder)).withColumn("ts", S.utc_instant(F.col("ts")))
     S.finish(S.append_to(S.weekly_windows(stream), out, run_folder(spark, "state")))
     done = tables.read_table(spark, out)
-    return done.withColumn("week_start", F.col("week_start").cast("timestamp_ntz"))
+    return done.withColumn("week_start", S.utc_wall_clock(F.col("week_start")))
 
 
 @query("t4_once_per_review", with_views("SELECT review_id, category, sentiment FROM reviews", "reviews"))
 def t4(spark, folder):
     out = run_folder(spark, "once")
-    stream = _event_stream(spark, folder, files=2, copies=2, per_trigger=2).withColumn("ts", F.col("ts").cast("timestamp"))
-    single = S.once_per_review(V.review_shape(stream).select("review_id", "category", "sentiment", "ts"), delay="60 days")
+    stream = V.review_shape(_event_stream(spark, folder, files=2, copies=2, per_trigger=2))
+    timed = stream.select("review_id", "category", "sentiment", S.utc_instant(F.col("ts")).alias("ts"))
+    single = S.once_per_review(timed, delay="60 days")
     S.finish(S.append_to(single.drop("ts"), out, run_folder(spark, "state")))
     return tables.read_table(spark, out)
 

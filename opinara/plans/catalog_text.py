@@ -85,7 +85,7 @@ def x4(spark, folder):
 
 @query(
     "x8_sentences",
-    f"SELECT doc_id, len(p) AS sentences, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {PIECES} AS p FROM documents)",
+    f"SELECT doc_id, CAST(len(p) AS INTEGER) AS sentences, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, {PIECES} AS p FROM documents)",
 )
 def x8(spark, folder):
     pieces = sentences.sentences(F.col("text"))
@@ -171,7 +171,7 @@ def _terms(spark, folder):
     return clustering.cluster_terms(V.clusters(spark, folder), stop_words=TERM_STOP_WORDS)
 
 
-@query("w9_cluster_terms", _with_terms("SELECT cluster_id, size, rank, term, round(weight, 6) AS weight FROM ranked WHERE rank <= 10"))
+@query("w9_cluster_terms", _with_terms("SELECT cluster_id, size, CAST(rank AS INTEGER) AS rank, term, round(weight, 6) AS weight FROM ranked WHERE rank <= 10"))
 def w9(spark, folder):
     return _terms(spark, folder).withColumn("weight", F.round("weight", 6))
 
@@ -190,7 +190,7 @@ def m7(spark, folder):
 @query(
     "w10_cluster_samples",
     with_views(
-        """SELECT cluster_id, sample, id, substr(coalesce(text, ''), 1, 150) AS text FROM
+        """SELECT cluster_id, CAST(sample AS INTEGER) AS sample, id, substr(coalesce(text, ''), 1, 150) AS text FROM
 (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY id) AS sample FROM clusters) WHERE sample <= 3""",
         "clusters",
     ),

@@ -17,6 +17,16 @@ def csv_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataFram
     return spark.readStream.schema(schema).options(**csv_options()).csv(folder)
 
 
+def utc_instant(wall_clock: Column) -> Column:
+    """A zone-free time read as UTC; event time must be an instant, whatever zone the session shows."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall_clock.cast("timestamp_ntz")).cast("timestamp")
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    """The UTC clock reading of an instant."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def review_key(*columns: str) -> Column:
     """A key that is the same whenever the same row is read again."""
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
