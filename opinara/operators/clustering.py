@@ -21,7 +21,7 @@ from opinara.functions.binding import let
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
 from opinara.operators.ranking import exact_percentiles, hash_key, lookup, resident, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
-from opinara.session import cut, spread
+from opinara.session import cut
 
 GLOBAL_CLUSTERS = 15
 CATEGORY_CLUSTERS = 10
@@ -290,7 +290,7 @@ def cluster_terms(
     found = terms(F.col("text"), stop_words)
     if scope:
         found = let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t)))
-    docs = spread(rows.select(*scope, "cluster_id", "text")).select(*scope, "cluster_id", found.alias("terms"))
+    docs = rows.select(*scope, "cluster_id", found.alias("terms"))
 
     # Vocabulary and document frequencies: partial counts per term, no row per document is shuffled.
     def tally(found: Column, uses: int, df: int) -> Column:

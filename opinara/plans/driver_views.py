@@ -262,5 +262,5 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the cluster of the embedding that shares their id."""
-    held = documents(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    held = texts(spark, folder).withColumnRenamed("doc_id", "id")
     return vectors(spark, folder).join(held, "id")

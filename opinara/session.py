@@ -53,11 +53,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the input comes in fewer pieces than there are cores.
+    """Use all cores for heavy per-row work when files come in fewer pieces than there are cores.
 
-    Inputs with enough pieces, which large tables always have, pass unchanged and unshuffled.
+    Inputs with enough pieces, which large tables always have, pass unchanged and unshuffled. Only for
+    frames read straight from files: counting the pieces of a shuffled frame would run its shuffle.
     """
-    if df.isStreaming:
-        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
