@@ -323,12 +323,9 @@ def cluster_terms(
     weighted = unit.transform(scale.transform(counter.transform(docs)))
     means = weighted.groupBy(*scope, "cluster_id").agg(Summarizer.mean(F.col("_unit")).alias("m"))
     listed = means.select(*scope, "cluster_id", F.posexplode(vector_to_array("m")).alias("_i", "weight")).filter("weight > 0")
-    named = listed.withColumns(
-        {
-            "term": F.element_at(F.split(F.array(*[F.lit(t) for t in vocab])[F.col("_i")], SEPARATOR), -1),
-            "weight": F.round("weight", 9),
-        }
-    )
+    shown = [(i, term.split(SEPARATOR)[-1]) for i, term in enumerate(vocab)]
+    names = rows.sparkSession.createDataFrame(shown, "_i int, term string")  # at most MAX_TERMS rows
+    named = listed.join(F.broadcast(names), "_i").withColumn("weight", F.round("weight", 9))
     best = Window.partitionBy(*scope, "cluster_id").orderBy(F.desc("weight"), F.asc("term"))
     kept = lookup(named, sizes.filter(F.col("size") >= min_cluster), [*scope, "cluster_id"])
     return (
