@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import encoding, tables, token_files
+from opinara.llm import encoding, packing, tables, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_packing": op2_packing,
     "op7_token_files": op7_token_files,
 }
 ORACLES: dict[str, str] = {}
