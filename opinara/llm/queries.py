@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import encoding, packing, tables, token_files
+from opinara.llm import encoding, packing, rules, tables, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.report(tables.table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": rules.REPORT_SQL,
+}
