@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, rules, tables, token_files
+from opinara.llm import encoding, packing, rules, simhash, tables, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(tables.table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(tables.table(spark, sf_dir, "documents"))
 
@@ -25,6 +32,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
 }
