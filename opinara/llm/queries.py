@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, rules, simhash, tables, token_files
+from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,11 +30,16 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(tables.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
+    "op8_sharding": op8_sharding,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.REPORT_SQL,
