@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files
+from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,13 +34,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(tables.table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(tables.table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.REPORT_SQL,
+    "op10_warc": warc.ARCHIVE_SQL,
 }
