@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files, warc
+from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")).drop("row")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("byte_bpe_50k.json"))
 
@@ -39,6 +43,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
