@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, rules, sharding, simhash, tables, token_files, toxicity, warc
+from opinara.llm import encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")).drop("row")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(tables.table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
@@ -45,6 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_files": op7_token_files,
