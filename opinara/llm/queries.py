@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, warc
+from opinara.llm import decontamination, encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(tables.table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(tables.table(spark, sf_dir, "documents"), encoding.tokenizer_file("word_bpe_49k.json"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_quality_rules": op5_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
     "op10_warc": op10_warc,
