@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontamination, encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, warc
+from opinara.llm import decontamination, encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(tables.table(spark, sf_dir, "documents"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(tables.table(spark, sf_dir, "pages"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(tables.table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_token_files": op7_token_files,
     "op8_sharding": op8_sharding,
+    "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
