@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels")).drop("row")
+    return toxicity.score(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "labels"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity by two class-conditional Kneser-Ney models over characters.
 
 Texts are read as letters and gaps: lower case, whatever is no letter is a gap, one gap between words.
-Both classes have their own counts of ORDER-grams from labelled documents; below that both back off to
+Both classes have their own counts of ORDER-grams (of labelled documents that have them); below that both back off to
 the same lower orders, whose continuation counts (in how many contexts was this seen) come from all
 documents, labelled or not. An expression that is rare in either class is so judged by parts that are
 not; one that neither class has seen tells nothing but how open its context is in each class.
@@ -18,9 +18,11 @@ several labels of one id the largest holds. Without labels of both classes all s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from opinara.llm.labelled import CALIBRATION_FOLD, MAX_LABELLED, fit_logistic, t
 
 ORDER = 6
 WINDOW = 16
-DISCOUNT = 0.75
-BLOCK = 4 << 20
+DISCOUNT = 0.75  # of the shared orders
+CLASS_DISCOUNT = 1.0  # of the class counts: a gram of a single document says no more than its parts
+BLOCK = 4 << 20  # bytes; at most 32,768 texts of a block are told apart
 SLOT_BITS = 22  # ratios are kept by a hash of the expression: 16 MB, whatever was counted
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,12 +90,17 @@ def counts(docs: DataFrame) -> DataFrame:
             labels = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
             for first, marks, ends in symbols(_large(batch.column("text"))):
                 codes = grams(marks, ends)
-                doc = np.repeat(labels[first : first + len(ends)], np.diff(ends, prepend=0))
-                for label in (-1, 0, 1):
-                    found = pa.array(codes[doc == label]).value_counts()
+                number = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                label = labels[first : first + len(ends)][number]
+                # A class counts a gram once a document, so no document speaks for more than one.
+                own = (number % (1 << 15)) << 48 | codes
+                for which, seen in ((-1, codes[label < 0]), (0, own[label == 0]), (1, own[label == 1])):
+                    if which >= 0:
+                        seen = pa.array(seen).unique().to_numpy() & ((1 << 48) - 1)
+                    found = pa.array(seen).value_counts()
                     code, n = found.field("values"), found.field("counts")
                     none = pa.array(np.zeros(len(code), np.int64))
-                    yield pa.RecordBatch.from_arrays([code, n, n if label == 1 else none, n if label == 0 else none], ["code", "n_all", "n_toxic", "n_plain"])
+                    yield pa.RecordBatch.from_arrays([code, n, n if which == 1 else none, n if which == 0 else none], ["code", "n_all", "n_toxic", "n_plain"])
 
     found = docs.select("text", "label").mapInArrow(count, "code long, n_all long, n_toxic long, n_plain long")
     return found.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_plain")])
@@ -136,10 +144,10 @@ def ratios(counted: DataFrame) -> DataFrame:
     )
 
     def seen(n: str, total: str) -> Column:
-        return F.when(F.col(total) > 0, F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(total)).otherwise(0.0)
+        return F.when(F.col(total) > 0, F.greatest(F.col(n) - CLASS_DISCOUNT, F.lit(0.0)) / F.col(total)).otherwise(0.0)
 
     def left(kinds: str, total: str) -> Column:
-        return F.when(F.col(total) > 0, DISCOUNT * F.col(kinds) / F.col(total)).otherwise(1.0)
+        return F.when(F.col(total) > 0, CLASS_DISCOUNT * F.col(kinds) / F.col(total)).otherwise(1.0)
 
     full = classes.join(opened, "context").join(shared.withColumnRenamed("code", "tail"), "tail")
     ratio = F.log(seen("n_toxic", "t") + left("tk", "t") * F.col("p")) - F.log(seen("n_plain", "o") + left("ok", "o") * F.col("p"))
@@ -185,37 +193,61 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, row (a number of the row), held_out, score and predicted of every document."""
-    spark = docs.sparkSession
+class Model(NamedTuple):
+    """Ratios by slot, broadcast, and the weights of peak, mean and constant; no weights: nothing is known."""
+
+    table: Broadcast
+    weights: tuple[float, float, float] | None
+
+    def logit(self, seen: np.ndarray) -> np.ndarray:
+        return seen @ np.array(self.weights[:2]) + self.weights[2] if self.weights else np.full(len(seen), -np.inf)
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
+    """Counts over all documents, ratios from labelled ones, weights from the calibration fold's."""
     chosen = F.broadcast(tables.stored(training_labels(labels, "toxic", limit), "toxic-labels"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), tables.text_of().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_of().alias("text"))
     labelled = texts.join(chosen, "doc_id", "left")
     counted = tables.stored(counts(labelled.withColumn("label", F.when(F.col("fold") != CALIBRATION_FOLD, F.col("label")))), "gram-counts")
     found = by_slot(ratios(counted)).toArrow()
-    table = spark.sparkContext.broadcast((found["slot"].to_numpy(), found["ratio"].to_numpy()))
+    table = docs.sparkSession.sparkContext.broadcast((found["slot"].to_numpy(), found["ratio"].to_numpy()))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*table.value)
         for batch in batches:
             seen = own.evidence(_large(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(seen[:, 0]), pa.array(seen[:, 1])], ["doc_id", "row", "peak", "mean"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), batch.column("label")], ["peak", "mean", "label"])
 
-    judged = tables.stored(texts.mapInArrow(judge, "doc_id long, row long, peak double, mean double"), "toxic-evidence")
-    known = judged.join(chosen.where(F.col("fold") == CALIBRATION_FOLD), "doc_id").select("peak", "mean", "label").toPandas()
+    known = texts.join(chosen.where(F.col("fold") == CALIBRATION_FOLD), "doc_id").select("text", "label")
+    known = known.mapInArrow(evidence, "peak double, mean double, label int").orderBy("label", "peak", "mean").toPandas()
     y = known["label"].to_numpy()
-    if 0 < y.sum() < len(y):
-        a, b, c = fit_logistic(known[["peak", "mean"]].to_numpy(), y).tolist()
-        logit = a * F.col("peak") + b * F.col("mean") + c
-        value = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(500.0)), F.lit(-500.0))))
-    else:
-        value = F.lit(0.0)
-    scored = judged.select("doc_id", "row", (tables.fold_of() == 0).alias("held_out"), value.alias("score"))
+    both = 0 < y.sum() < len(y)
+    return Model(table, tuple(fit_logistic(known[["peak", "mean"]].to_numpy(), y).tolist()) if both else None)
+
+
+def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    model = fit(docs, labels, limit)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(*model.table.value)
+        for batch in batches:
+            logit = model.logit(own.evidence(_large(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "held_out", "score"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (tables.fold_of() == 0).alias("held_out"), tables.text_of().alias("text"))
+    scored = texts.mapInArrow(judge, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with the columns they have."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    scored = score(docs, labels).where("predicted = 0").select("row")
-    return docs.select(F.monotonically_increasing_id().alias("row"), whole.alias("_row")).join(scored, "row", "left_semi").select("_row.*")
+def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
+    """The documents whose score is below one half, with the columns they have."""
+    model = fit(docs, labels, limit)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(*model.table.value)
+        for batch in batches:
+            logit = model.logit(own.evidence(_large(batch.column("text").cast(pa.string()).fill_null(""))))
+            yield batch.filter(pa.array(logit < 0))
+
+    return docs.mapInArrow(clean, docs.schema)
