@@ -10,7 +10,7 @@ Likelihoods are compared per character: over each stretch of WINDOW characters a
 A document's score is a logistic function of its most toxic stretch and its mean, fitted on labelled
 documents that the counts did not use. Whole texts are read, twice: to count and to score.
 
-Null and empty texts have no stretches and get the score of a text without evidence. Null ids are
+Texts without letters, null and empty ones among them, have no stretches and the score 0. Null ids are
 never labelled; repeated ids are scored row by row, a label holds for all rows of its id, and of
 several labels of one id the largest holds. Without labels of both classes all scores are 0.
 """
@@ -174,7 +174,7 @@ class Scorer:
         self.table[slots] = values
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
-        """Of each text, the largest mean ratio of a stretch and the mean ratio of all characters."""
+        """Of each text, the largest mean ratio of a stretch and the mean ratio of all characters; NaN without letters."""
         out = np.zeros((len(texts), 2))
         for first, marks, ends in symbols(texts):
             codes = grams(marks, ends)
@@ -190,6 +190,7 @@ class Scorer:
             best = np.maximum.reduceat((total[stop] - total[begin]) / WINDOW, starts)
             out[first : first + len(ends), 0] = best
             out[first : first + len(ends), 1] = (total[ends] - total[starts]) / sizes
+            out[first : first + len(ends)][np.add.reduceat(marks > 0, starts) == 0] = np.nan
         return out
 
 
@@ -200,7 +201,8 @@ class Model(NamedTuple):
     weights: tuple[float, float, float] | None
 
     def logit(self, seen: np.ndarray) -> np.ndarray:
-        return seen @ np.array(self.weights[:2]) + self.weights[2] if self.weights else np.full(len(seen), -np.inf)
+        none = np.full(len(seen), -np.inf)
+        return np.where(np.isnan(seen[:, 0]), none, seen @ np.array(self.weights[:2]) + self.weights[2]) if self.weights else none
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
@@ -219,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), batch.column("label")], ["peak", "mean", "label"])
 
     known = texts.join(chosen.where(F.col("fold") == CALIBRATION_FOLD), "doc_id").select("text", "label")
-    known = known.mapInArrow(evidence, "peak double, mean double, label int").orderBy("label", "peak", "mean").toPandas()
+    known = known.mapInArrow(evidence, "peak double, mean double, label int").where(~F.isnan("peak")).orderBy("label", "peak", "mean").toPandas()
     y = known["label"].to_numpy()
     both = 0 < y.sum() < len(y)
     return Model(table, tuple(fit_logistic(known[["peak", "mean"]].to_numpy(), y).tolist()) if both else None)
@@ -233,7 +235,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
         own = Scorer(*model.table.value)
         for batch in batches:
             logit = model.logit(own.evidence(_large(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(logit, -500, 500))))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.where(logit > -500, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0))], ["doc_id", "held_out", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (tables.fold_of() == 0).alias("held_out"), tables.text_of().alias("text"))
     scored = texts.mapInArrow(judge, "doc_id long, held_out boolean, score double")
