@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,24 @@ def _broadcast(spark: SparkSession, value, nbytes: int):
     return spark.sparkContext.broadcast(value)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers that hold a vector, those vectors as a 2-d array)."""
-    rows = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
-    values = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return rows, values.reshape(len(rows), -1) if len(rows) else values.reshape(0, 0)
+def _matrix(column: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers that hold a vector of the given width and finite values, those vectors as a 2-d array).
+
+    Other rows are left out, so they get no result instead of a wrong one. Without a model there is no
+    width; then only the rows matter.
+    """
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    if width is None:
+        rows = np.flatnonzero(sizes >= 0)
+        return rows, np.zeros((len(rows), 0))
+    rows = np.flatnonzero(sizes == width)
+    values = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), width)
+    sound = np.isfinite(values).all(axis=1)
+    return rows[sound], values[sound]
+
+
+def _width(sets: dict[str, CentroidSet]) -> int | None:
+    return next((s.matrix.shape[1] for s in sets.values()), None)
 
 
 def _forward(x: np.ndarray, weights: DenseWeights) -> np.ndarray:
@@ -111,12 +125,12 @@ def _spread(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) ->
 
 
 def issue_tagger(spark: SparkSession, sets: dict[str, CentroidSet]):
-    """Column function (embedding, category) -> nearest issue; null for a null embedding."""
+    """Column function (embedding, category) -> nearest issue; null without a vector of the centroids' width."""
     shared = _broadcast(spark, sets, sum(s.nbytes for s in sets.values()))
 
     @F.arrow_udf(ISSUE_TYPE)
     def tag(embedding: pa.Array, category: pa.Array) -> pa.Array:
-        rows, x = _matrix(embedding)
+        rows, x = _matrix(embedding, _width(shared.value))
         scopes = np.array(category.to_pylist(), dtype=object)[rows]
         cluster, tags, distance, sources = _tag(x, scopes, shared.value)
         n = len(embedding)
@@ -139,7 +153,7 @@ def dense_forward(spark: SparkSession, weights: DenseWeights):
 
     @F.arrow_udf("array<double>")
     def forward(embedding: pa.Array) -> pa.Array:
-        rows, x = _matrix(embedding)
+        rows, x = _matrix(embedding, shared.value.layers[0][0].shape[0])
         n, width = len(embedding), len(LABELS)
         full, missing = np.zeros((n, width)), np.ones(n, dtype=bool)
         if len(rows):
@@ -167,7 +181,7 @@ def review_scorer(
     def score(embedding: pa.Array, category: pa.Array) -> pa.Array:
         model, centroid_sets = shared.value
         n = len(embedding)
-        rows, x = _matrix(embedding)
+        rows, x = _matrix(embedding, model.layers[0][0].shape[0])
         probs = _forward(x, model) if len(rows) else np.zeros((0, len(LABELS)))
         ranked = np.sort(probs, axis=1)
         margins = ranked[:, -1] - ranked[:, -2]

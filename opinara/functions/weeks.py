@@ -9,17 +9,30 @@ from pyspark.sql import functions as F
 
 from opinara.schema import FALLBACK_SCOPE, UNKNOWN_WEEK
 
-# Calendar dates, alone or followed by a time of day and an offset. Compact dates
-# ("20250115") and week dates ("2025-W03-1") count as invalid.
-ISO_DATE = (
-    r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-)
+# The forms that Python's datetime.fromisoformat takes (fixed by the standard): calendar and week
+# dates, extended or compact, alone or followed by a separator, a time of day and an offset.
+_DAY = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?)"
+_CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?|[0-5]\d([0-5]\d([.,]\d+)?)?)?"
+ISO_DATE = rf"^{_DAY}([^0-9]{_CLOCK}(Z|[+-]\d{{2}}(:?\d{{2}}(:?\d{{2}})?)?)?)?$"
+
+
+def week_start(label: Column) -> Column:
+    """The Monday of a week like 2025-W03 or 2025W03."""
+    year, week = F.substring(label, 1, 4).try_cast("int"), F.regexp_extract(label, r"W(\d{2})", 1).try_cast("int")
+    first = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4))).cast("date")
+    return F.date_add(first, (week - 1) * 7)
 
 
 def iso_date(text: Column) -> Column:
     """The calendar date of an ISO string, null when blank or invalid."""
-    return F.when(text.rlike(ISO_DATE), F.substring(text, 1, 10).try_cast("date"))
+    day = F.regexp_extract(text, ISO_DATE, 1)
+    digits = F.regexp_replace(day, "-", "")
+    plain = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
+    weekday = F.coalesce(F.regexp_extract(digits, r"W\d{2}([1-7])", 1).try_cast("int"), F.lit(1))
+    by_week = F.date_add(week_start(digits), weekday - 1)
+    number = F.regexp_extract(digits, r"W(\d{2})", 1)
+    real = (week_of(by_week) == F.concat(F.substring(digits, 1, 4), F.lit("-W"), number)) & (F.substring(digits, 1, 4) != "0000")
+    return F.when(day == "", None).when(F.contains(day, F.lit("W")), F.when(real, by_week)).otherwise(plain)
 
 
 def week_of(day: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from opinara.functions.scores import number_or_zero
 from opinara.operators.ranking import small_side
 from opinara.schema import HIGH_CONFIDENCE, LABELS, MIN_CORRECTIONS, MIN_SESSIONS, SESSION_DOMINANCE, SESSION_MIN_VOTES
+from opinara.session import cut
 
 
 def invalid_labels(df: DataFrame, column: str = "manual_label") -> DataFrame:
@@ -27,12 +28,11 @@ def session(column: str = "session_id") -> Column:
 def merge_corrections(incoming: DataFrame, existing: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Upsert corrections per (review, session); returns (corrections, rejects).
 
-    The latest vote of a session wins. A vote without a session replaces the first existing
-    correction of its review. Unknown reviews and votes equal to the predicted label are rejected.
-    Text, label and margin always come from the review.
+    Every vote is judged by itself: unknown reviews and votes equal to the predicted label are
+    rejected and change nothing. Of a session's accepted votes the latest wins. A vote without a
+    session replaces the first existing correction of its review. Text, label and margin always
+    come from the review.
     """
-    last = F.max_by(F.struct("manual_label", "date"), F.struct("date", "manual_label"))
-    votes = incoming.groupBy("review_id", F.coalesce("session_id", F.lit("")).alias("session_id")).agg(last.alias("v"))
     known = reviews.select(
         F.col("review_id"),
         F.col("batch_id").alias("r_batch"),
@@ -40,14 +40,24 @@ def merge_corrections(incoming: DataFrame, existing: DataFrame, reviews: DataFra
         F.col("sentiment").alias("r_label"),
         F.col("confidence_margin").alias("r_margin"),
     )
-    judged = votes.join(known, "review_id", "left").withColumn(
-        "reason",
-        F.when(F.col("r_label").isNull(), "NOT_FOUND").when(F.col("v.manual_label") == F.col("r_label"), "NO_OP"),
+    votes = incoming.select("review_id", F.coalesce("session_id", F.lit("")).alias("session_id"), "manual_label", "date")
+    # Counted alike votes meet the reviews once; the counts bring rejected ones back one by one.
+    alike = votes.groupBy("review_id", "session_id", "manual_label", "date").agg(F.count(F.lit(1)).alias("votes"))
+    no_op = F.col("manual_label") == F.col("r_label")
+    judged = cut(
+        alike.join(known, "review_id", "left").withColumn(
+            "reason", F.when(F.col("r_label").isNull(), "NOT_FOUND").when(no_op, "NO_OP")
+        )
     )
     rejects = judged.filter("reason IS NOT NULL").select(
-        "review_id", "session_id", F.col("v.manual_label").alias("manual_label"), F.col("v.date").alias("date"), "reason"
+        "review_id", "session_id", "manual_label", "date", "reason", F.explode(F.sequence(F.lit(1), "votes")).alias("_n")
+    )
+    rejects = rejects.drop("_n")
+    last = F.max_by(F.struct("manual_label", "date"), F.struct("date", "manual_label"))
+    fields = ["r_batch", "r_text", "r_label", "r_margin"]
+    accepted = judged.filter("reason IS NULL").groupBy("review_id", "session_id").agg(
+        last.alias("v"), *[F.any_value(name).alias(name) for name in fields]
     )
-    accepted = judged.filter("reason IS NULL")
 
     first_id = F.min_by("correction_id", F.struct("date", "correction_id"))
     by_session = (

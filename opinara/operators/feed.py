@@ -86,9 +86,10 @@ def feed_page(filtered: DataFrame, page: int = 1, limit: int = 20, shallow_rows:
     return rows.withColumns({"total": F.lit(total).cast("long"), "total_pages": F.lit(pages).cast("long")})
 
 
-def feed_after(filtered: DataFrame, last_date: str, last_id, limit: int = 20) -> DataFrame:
+def feed_after(filtered: DataFrame, last_date: str | None, last_id, limit: int = 20) -> DataFrame:
     """The page after a known row: constant cost at any depth."""
-    later = (F.col("review_date") < last_date) | ((F.col("review_date") == last_date) & (F.col("review_id") > last_id))
+    day = F.coalesce("review_date", F.lit(""))  # reviews without a date come last
+    later = (day < (last_date or "")) | ((day == (last_date or "")) & (F.col("review_id") > last_id))
     return filtered.filter(later).orderBy(*newest_first()).limit(limit)
 
 

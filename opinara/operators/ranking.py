@@ -136,6 +136,12 @@ def with_position(df: DataFrame, *order: Column, name: str = "position") -> Data
     )
 
 
+def _magnitude(v: Column) -> Column:
+    """An increasing function of all doubles with finite values."""
+    finite = F.signum(v) * F.log1p(F.abs(v))
+    return F.when(v == float("inf"), 1000.0).when(v == float("-inf"), -1000.0).otherwise(finite)
+
+
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Interpolated percentiles: rows (by..., p, percentile).
 
@@ -176,7 +182,10 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
         if widest is None or widest <= SLICE_ROWS:
             break
         wide = targets.filter((F.col("_low") < F.col("_high")) & (F.col("_n") > SLICE_ROWS))
-        share = (F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+        # Ranges that no double can span are cut by order of magnitude; infinities are bins of their own.
+        spans = F.abs(F.col("_high") - F.col("_low")) < F.lit(float("inf"))
+        on = lambda c: F.when(spans, F.col(c)).otherwise(_magnitude(F.col(c)))
+        share = (on("_v") - on("_low")) / (on("_high") - on("_low"))
         binned = inside(wide).withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         counts = binned.groupBy(*span, "_bin").agg(
             F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
@@ -206,4 +215,8 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float], by: Seq
         F.min_by("_value", "_rank").alias("_lower"), F.max_by("_value", "_rank").alias("_upper")
     )
     fraction = place - F.floor(place)
-    return edges.select(*by, "p", (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * fraction).alias("percentile"))
+    between = F.col("_lower") * (1 - fraction) + F.col("_upper") * fraction
+    between = F.when((fraction == 0) | (F.col("_lower") == F.col("_upper")), F.col("_lower")).otherwise(
+        F.when(F.abs(F.col("_upper") - F.col("_lower")) < F.lit(float("inf")), F.col("_lower") + (F.col("_upper") - F.col("_lower")) * fraction).otherwise(between)
+    )
+    return edges.select(*by, "p", between.alias("percentile"))

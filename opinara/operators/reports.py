@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opinara.functions.weeks import week_of_parameter
+from opinara.functions.weeks import iso_date, week_of_parameter, week_start
 from opinara.schema import LABELS
 
 SHOWN = tuple(reversed(LABELS))
@@ -203,10 +203,16 @@ def score_deltas(trend: DataFrame) -> DataFrame:
     )
 
 
+def _week_before(name: str, *keys: str) -> Column:
+    """The value of the calendar week before, null if that week is not on record."""
+    follows = F.date_sub(week_start(F.col("week")), 7) == week_start(_previous("week", *keys))
+    return F.when(follows, _previous(name, *keys))
+
+
 def negative_spikes(trend: DataFrame, growth_pct: float) -> DataFrame:
-    """Weeks in which a category's negatives grew by at least the given percentage."""
+    """Weeks in which a category's negatives grew by at least the given percentage over last week."""
     scored = weekly_scores(trend.filter("week != 'unknown'"))
-    grown = scored.withColumn("previous", _previous("negative", "batch_id", "category"))
+    grown = scored.withColumn("previous", _week_before("negative", "batch_id", "category"))
     change = (F.col("negative") - F.col("previous")) * 100.0 / F.col("previous")
     return (
         grown.withColumn("growth_pct", F.when(F.col("previous") > 0, F.round(change, 2)))
@@ -216,10 +222,12 @@ def negative_spikes(trend: DataFrame, growth_pct: float) -> DataFrame:
 
 
 def growing_issues(issues: DataFrame, min_growth: int = 15) -> DataFrame:
-    """Tags seen at least ``min_growth`` times more than the week before."""
+    """Tags seen at least ``min_growth`` times more than last week; a tag's first week has none before."""
     weekly = issues.filter("week != 'unknown'").groupBy("batch_id", "issue_tag", "week")
     counts = weekly.agg(F.sum("count").cast("long").alias("count"))
-    before = F.coalesce(_previous("count", "batch_id", "issue_tag"), F.lit(0))
+    keys = ("batch_id", "issue_tag")
+    known = _previous("week", *keys).isNotNull()
+    before = F.when(known, F.coalesce(_week_before("count", *keys), F.lit(0)))
     return counts.withColumn("growth", F.col("count") - before).filter(F.col("growth") >= min_growth)
 
 
@@ -236,9 +244,14 @@ def low_score_alerts(summary: DataFrame, threshold: float = 35.0) -> DataFrame:
 
 
 def volume_surges(reviews: DataFrame, factor: float = 2.5) -> DataFrame:
-    """Days whose volume exceeds ``factor`` times the mean of all earlier days of the batch."""
-    days = reviews.groupBy("batch_id", "review_date").agg(F.count(F.lit(1)).alias("volume"))
-    earlier = Window.partitionBy("batch_id").orderBy("review_date").rowsBetween(Window.unboundedPreceding, -1)
+    """Days whose volume exceeds ``factor`` times the mean of all earlier days of the batch.
+
+    Reviews without a valid date belong to no day.
+    """
+    day = iso_date(F.col("review_date"))
+    days = reviews.groupBy("batch_id", day.alias("_day")).agg(F.count(F.lit(1)).alias("volume")).filter("_day IS NOT NULL")
+    days = days.withColumn("review_date", F.col("_day").cast("string"))
+    earlier = Window.partitionBy("batch_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     return (
         days.withColumn("_mean", F.avg("volume").over(earlier))
         .filter(F.col("volume") > F.col("_mean") * factor)

@@ -89,12 +89,12 @@ def a12(spark, folder):
 @query(
     "w4_corrections_sorted",
     with_views(
-        "SELECT correction_id, manual_label, date FROM corrections ORDER BY manual_label DESC, correction_id LIMIT 100", "corrections"
+        "SELECT correction_id, manual_label, date FROM corrections", "corrections"
     ),
 )
 def w4(spark, folder):
     rows = corrections.correction_list(V.corrections(spark, folder), sort_by="manual_label", ascending=False)
-    return rows.select("correction_id", "manual_label", "date").limit(100)
+    return rows.select("correction_id", "manual_label", "date")
 
 
 # --- trust gates ---
@@ -192,18 +192,19 @@ def c6_relabel(spark, folder):
 
 
 MERGED = """known AS (SELECT * FROM reviews WHERE category NOT IN ('purchase', 'view')),
-latest AS (SELECT review_id, coalesce(session_id, '') AS session_id, arg_max(struct_pack(m := manual_label, d := date),
-    struct_pack(d := date, m := manual_label)) AS v FROM votes GROUP BY ALL),
-judged AS (SELECT l.*, k.batch_id, k.sentiment, k.confidence_margin, CASE WHEN k.review_id IS NULL THEN 'NOT_FOUND'
-    WHEN l.v.m = k.sentiment THEN 'NO_OP' END AS reason FROM latest l LEFT JOIN known k ON k.review_id = l.review_id),
+judged AS (SELECT v.review_id, coalesce(v.session_id, '') AS session_id, v.manual_label, v.date, k.batch_id, k.sentiment, k.confidence_margin,
+    CASE WHEN k.review_id IS NULL THEN 'NOT_FOUND' WHEN v.manual_label = k.sentiment THEN 'NO_OP' END AS reason
+    FROM votes v LEFT JOIN known k ON k.review_id = v.review_id),
+latest AS (SELECT review_id, session_id, batch_id, sentiment, arg_max(struct_pack(m := manual_label, d := date),
+    struct_pack(d := date, m := manual_label)) AS v FROM judged WHERE reason IS NULL GROUP BY ALL),
 existing AS (SELECT * FROM corrections WHERE confidence_margin < 0.5),
 by_session AS (SELECT review_id, session_id, arg_min(correction_id, struct_pack(d := date, c := correction_id)) AS cid
     FROM existing WHERE session_id <> '' GROUP BY ALL),
 by_review AS (SELECT review_id, arg_min(correction_id, struct_pack(d := date, c := correction_id)) AS cid FROM existing GROUP BY review_id),
 fresh AS (SELECT j.*, coalesce(CASE WHEN j.session_id <> '' THEN s.cid ELSE r.cid END,
       md5(CAST(j.review_id AS VARCHAR) || ':' || j.session_id)) AS correction_id
-    FROM judged j LEFT JOIN by_session s ON s.review_id = j.review_id AND s.session_id = j.session_id
-    LEFT JOIN by_review r ON r.review_id = j.review_id WHERE j.reason IS NULL),
+    FROM latest j LEFT JOIN by_session s ON s.review_id = j.review_id AND s.session_id = j.session_id
+    LEFT JOIN by_review r ON r.review_id = j.review_id),
 winners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY correction_id ORDER BY v.d DESC, session_id DESC) AS place FROM fresh)
     WHERE place = 1)"""
 
@@ -235,7 +236,7 @@ def c1(spark, folder):
 
 @query(
     "c1_rejected_corrections",
-    _merged_sql("SELECT review_id, session_id, v.m AS manual_label, v.d AS date, reason FROM judged WHERE reason IS NOT NULL"),
+    _merged_sql("SELECT review_id, session_id, manual_label, date, reason FROM judged WHERE reason IS NOT NULL"),
 )
 def c1_rejects(spark, folder):
     _, rejects = _merge(spark, folder)

@@ -516,12 +516,20 @@ def p2(spark, folder):
     return reports.trend_percentages(reports.trend_report(V.trend(spark, folder), "b1"))
 
 
+def _monday(week: str) -> str:
+    return f"date_trunc('week', CAST(substr({week}, 1, 4) || '-01-04' AS DATE)) + INTERVAL 7 DAY * (CAST(substr({week}, 7, 2) AS INT) - 1)"
+
+
+LAST_WEEK = f"{_monday('week')} - INTERVAL 7 DAY = {_monday('lag(week) OVER w')}"
+
+
 @query(
     "p3_negative_spikes",
     with_views(
         f"""SELECT * FROM (SELECT batch_id, category, week, previous, negative,
   round((negative - previous) * 100.0E0 / nullif(previous, 0), 2) AS growth_pct FROM
-  (SELECT *, lag(negative) OVER (PARTITION BY batch_id, category ORDER BY week) AS previous FROM ({SCORED}))) WHERE growth_pct >= 10""",
+  (SELECT *, CASE WHEN {LAST_WEEK} THEN lag(negative) OVER w END AS previous FROM ({SCORED})
+   WINDOW w AS (PARTITION BY batch_id, category ORDER BY week))) WHERE growth_pct >= 10""",
         "trend",
     ),
 )
@@ -532,9 +540,10 @@ def p3(spark, folder):
 @query(
     "p4_growing_issues",
     with_views(
-        """SELECT * FROM (SELECT batch_id, issue_tag, week, count,
-  count - coalesce(lag(count) OVER (PARTITION BY batch_id, issue_tag ORDER BY week), 0) AS growth FROM
-  (SELECT batch_id, issue_tag, week, CAST(sum(count) AS BIGINT) AS count FROM issues WHERE week <> 'unknown' GROUP BY ALL))
+        f"""SELECT * FROM (SELECT batch_id, issue_tag, week, count,
+  count - CASE WHEN lag(week) OVER w IS NOT NULL THEN coalesce(CASE WHEN {LAST_WEEK} THEN lag(count) OVER w END, 0) END AS growth FROM
+  (SELECT batch_id, issue_tag, week, CAST(sum(count) AS BIGINT) AS count FROM issues WHERE week <> 'unknown' GROUP BY ALL)
+  WINDOW w AS (PARTITION BY batch_id, issue_tag ORDER BY week))
 WHERE growth >= 15""",
         "issues",
     ),
@@ -572,7 +581,7 @@ def p6(spark, folder):
     with_views(
         """SELECT batch_id, review_date, volume, round(m, 4) AS mean_before FROM
 (SELECT *, avg(volume) OVER (PARTITION BY batch_id ORDER BY review_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM
-  (SELECT batch_id, review_date, count(*) AS volume FROM reviews GROUP BY ALL)) WHERE volume > m * 1.1""",
+  (SELECT batch_id, review_date, count(*) AS volume FROM reviews WHERE TRY_CAST(review_date AS DATE) IS NOT NULL GROUP BY ALL)) WHERE volume > m * 1.1""",
         "reviews",
     ),
 )

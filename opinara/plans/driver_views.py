@@ -87,10 +87,10 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, folder: str) -> DataFrame:
-    rows = reviews(spark, folder).filter(F.col("category").isin("click", "error"))
+    rows = reviews(spark, folder)
     session = F.concat("session_id", F.lit("_"), _text(F.col("k") % 5))
     return rows.select(
-        F.floor(F.col("review_id") / 5).alias("review_id"),
+        F.when(F.col("review_id") % 40 == 0, F.col("review_id")).otherwise(F.floor(F.col("review_id") / 5)).alias("review_id"),
         F.when(F.col("review_id") % 17 != 0, session).alias("session_id"),
         F.col("sentiment").alias("manual_label"),
         F.col("review_date").alias("date"),

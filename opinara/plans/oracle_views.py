@@ -85,10 +85,10 @@ FROM probs""",
     "all_cells": (("predictions",), f"SELECT {CELLS} FROM predictions"),
     "votes": (
         ("reviews",),
-        """SELECT review_id // 5 AS review_id,
+        """SELECT CASE WHEN review_id % 40 = 0 THEN review_id ELSE review_id // 5 END AS review_id,
   CASE WHEN review_id % 17 <> 0 THEN session_id || '_' || CAST(k % 5 AS VARCHAR) END AS session_id,
   sentiment AS manual_label, review_date AS date, confidence_margin, review_id AS vote_id
-FROM reviews WHERE category IN ('click', 'error')""",
+FROM reviews""",
     ),
     "dominance": (
         ("votes",),

@@ -154,3 +154,12 @@ def test_calibration(spark):
     compared = K.compare_clusterings(named, K.label_centroids(named, "cluster_id", F.col("category"), 0.7).unionByName(
         K.label_centroids(named, "cluster_id", F.lit(FALLBACK_SCOPE), 0.7))).first()
     assert compared["own_clusters"] == 600 and compared["distance_reduction"] > 0
+
+
+def test_vectors_of_other_widths_get_no_tag(spark):
+    centroids = spark.createDataFrame([(FALLBACK_SCOPE, 0, [0.0, 0.0]), (FALLBACK_SCOPE, 1, [9.0, 9.0])], "scope string, cluster_id int, centroid array<double>")
+    sets = {FALLBACK_SCOPE: CentroidSet(np.array([r.centroid for r in centroids.collect()]), ("low", "high"), (None, None))}
+    tag = issue_tagger(spark, sets)
+    rows = [(1, [1.0]), (2, [9.0, 8.0, 7.0]), (3, [8.0, 9.0]), (4, [float("nan"), 0.0]), (5, None), (6, [None, 1.0])]
+    frame = spark.createDataFrame(rows, "id int, v array<double>").select("id", tag(F.col("v"), F.lit("x")).alias("t"))
+    assert {r.id: r.t and r.t.issue_tag for r in frame.collect()} == {1: None, 2: None, 3: "high", 4: None, 5: None, 6: None}

@@ -131,3 +131,13 @@ def test_one_review_with_most_votes(spark):
     kept = C.flag_sessions(votes).filter("review_id = 'hot' AND NOT suspicious")
     assert got["votes"] == kept.count() and got["sessions"] == kept.select("session_id").distinct().count()
     assert got["majority"] == "negative"
+
+
+def test_a_no_op_vote_takes_nothing_back(spark):
+    reviews = spark.createDataFrame([(1, "b", "t", "negative", 0.4)], "review_id long, batch_id string, text string, sentiment string, confidence_margin double")
+    none = spark.createDataFrame([], "correction_id string, review_id long, batch_id string, text string, label string, manual_label string, date string, session_id string, confidence_margin double")
+    votes = [(1, "s", "positive", "2024-01-01"), (1, "s", "negative", "2024-01-02"), (1, "s", "negative", "2024-01-02"), (9, None, "neutral", "2024-01-03")]
+    incoming = spark.createDataFrame(votes, "review_id long, session_id string, manual_label string, date string")
+    merged, rejects = C.merge_corrections(incoming, none, reviews)
+    assert [(r.review_id, r.manual_label, r.date) for r in merged.collect()] == [(1, "positive", "2024-01-01")]
+    assert sorted((r.review_id, r.reason) for r in rejects.collect()) == [(1, "NO_OP"), (1, "NO_OP"), (9, "NOT_FOUND")]

@@ -91,3 +91,11 @@ def test_small_side_broadcasts_only_within_its_limit(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+
+
+def test_percentiles_with_infinities(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SLICE_ROWS", 5)
+    values = [float("inf"), float("-inf"), 1e308, -1e308, *map(float, range(47))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    found = {r.p: r.percentile for r in ranking.exact_percentiles(rows, "x", [0.0, 0.25, 0.5, 1.0]).collect()}
+    assert found == {0.0: float("-inf"), 0.25: 10.5, 0.5: 23.0, 1.0: float("inf")}

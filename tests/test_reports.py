@@ -137,3 +137,26 @@ def test_batches(spark):
     assert reports.batch_stats(batches.filter("status = 'pending'")).first()["avg_processing_time_seconds"] is None
     assert reports.batch_status(batches, "c").first()["progress_pct"] == 0.0
     assert reports.batch_status(batches, "zzz").count() == 0
+
+
+def test_alerts_compare_calendar_weeks(spark):
+    rows = [("b", "c", w, 0, 0, n) for w, n in [("2024-W01", 10), ("2024-W02", 20), ("2024-W09", 60), ("unknown", 99)]]
+    trend = spark.createDataFrame(rows, "batch_id string, category string, week string, positive long, neutral long, negative long")
+    assert [(r.week, r.growth_pct) for r in reports.negative_spikes(trend, 50.0).collect()] == [("2024-W02", 100.0)]
+    counts = [("b", "t", "s", w, n) for w, n in [("2024-W52", 50), ("2025-W01", 52), ("2025-W04", 60)]]
+    issues = spark.createDataFrame(counts, "batch_id string, issue_tag string, cluster_source string, week string, count long")
+    assert [(r.week, r.growth) for r in reports.growing_issues(issues).collect()] == [("2025-W04", 60)]
+
+
+def test_days_without_a_date_are_no_days(spark):
+    rows = [("b", d) for d in ["", "2024-02-31", "2024-01-01", "2024-01-01", "2024-01-02", *["2024-01-03"] * 5]]
+    found = reports.volume_surges(spark.createDataFrame(rows, "batch_id string, review_date string"), 2.5).collect()
+    assert [(r.review_date, r.volume, r.mean_before) for r in found] == [("2024-01-03", 5, 1.5)]
+
+
+def test_page_after_reaches_reviews_without_a_date(spark):
+    from opinara.operators import feed
+
+    rows = spark.createDataFrame([(1, "2024-01-02"), (2, None), (3, "2024-01-01"), (4, None)], "review_id long, review_date string")
+    assert [r.review_id for r in feed.feed_after(rows, "2024-01-02", 1).collect()] == [3, 2, 4]
+    assert [r.review_id for r in feed.feed_after(rows, None, 2).collect()] == [4]

@@ -85,3 +85,22 @@ def test_small_scalars(spark):
     assert values(spark, scores.shorten(F.col("t"), 3), ["abc", "abcd"], "i int, t string") == ["abc", "abc…"]
     assert values(spark, scores.margin_bucket(F.col("m")), [0.15, 0.1501], "i int, m double") == ["uncertain", "confident"]
     assert values(spark, let(F.col("m") + 1, lambda x: x * x), [1, 2], "i int, m int") == [4, 9]
+
+
+def test_iso_forms_as_python_reads_them(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from opinara.functions import weeks
+
+    texts = ["2031-05-09", "20310509", "2031-W19-5", "2031W195", "2031-W19", "2026-W53-7", "2031-W53-1", "2031-02-30", "2031-W00-1", "20310509T0102", "2031-05-09 7", "2031-W19-8", ""]
+    shown = spark.createDataFrame([(t,) for t in texts], "t string").select("t", weeks.iso_date(F.col("t")).alias("d")).collect()
+
+    def read(text):
+        try:
+            return datetime.fromisoformat(text).date()
+        except ValueError:
+            return None
+
+    assert [r.d for r in shown] == [read(t) for t in texts]
