@@ -5,14 +5,12 @@ Input rows carry id, category, features (array<float>) and, for naming, text.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StopWordsRemover
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,7 +25,6 @@ GLOBAL_CLUSTERS = 15
 CATEGORY_CLUSTERS = 10
 VOCABULARY = 2000
 MIN_CLUSTER = 5
-MAX_TERMS = 200_000
 SEPARATOR = "\u0001"
 
 
@@ -307,25 +304,17 @@ def cluster_terms(
         frequent = counts.orderBy(*order).limit(vocabulary)
     sizes = cut(docs.groupBy(*scope, "cluster_id").agg(F.count(F.lit(1)).alias("size")))
     totals = sizes.groupBy(*scope).agg(F.sum("size").alias("docs"))
-    table = lookup(frequent, totals, scope).select("term", "df", "docs").orderBy("term").limit(MAX_TERMS + 1).collect()
-    if len(table) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} vocabulary terms; lower the vocabulary or name fewer scopes at once")
-    if not table:
-        nothing = {"rank": F.lit(0), "term": F.lit(""), "weight": F.lit(0.0)}
-        return sizes.filter(F.lit(False)).withColumns(nothing)
-
-    # Weights as sparse vectors; the only shuffle is one mean vector per cluster and task.
-    vocab = [row["term"] for row in table]
-    idf = [math.log((1.0 + row["docs"]) / (1.0 + row["df"])) + 1.0 for row in table]
-    counter = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="_tf")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
-    unit = Normalizer(p=2.0, inputCol="_w", outputCol="_unit")
-    weighted = unit.transform(scale.transform(counter.transform(docs)))
-    means = weighted.groupBy(*scope, "cluster_id").agg(Summarizer.mean(F.col("_unit")).alias("m"))
-    listed = means.select(*scope, "cluster_id", F.posexplode(vector_to_array("m")).alias("_i", "weight")).filter("weight > 0")
-    shown = [(i, term.split(SEPARATOR)[-1]) for i, term in enumerate(vocab)]
-    names = rows.sparkSession.createDataFrame(shown, "_i int, term string")  # at most MAX_TERMS rows
-    named = listed.join(F.broadcast(names), "_i").withColumn("weight", F.round("weight", 9))
+    idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0
+    table = small_side(lookup(frequent, totals, scope).select("term", idf.alias("idf")))
+
+    # Only weights that are not zero: one row per document and term, summed up per cluster and term.
+    numbered = docs.withColumn("_doc", F.monotonically_increasing_id())
+    uses = numbered.select("_doc", *scope, "cluster_id", F.explode("terms").alias("term")).groupBy("_doc", *scope, "cluster_id", "term")
+    weighted = uses.agg(F.count(F.lit(1)).alias("tf")).join(table, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
+    summed = weighted.withColumn("_unit", F.col("_w") / length).groupBy(*scope, "cluster_id", "term").agg(F.sum("_unit").alias("total"))
+    listed = lookup(summed, sizes, [*scope, "cluster_id"]).withColumn("weight", F.round(F.col("total") / F.col("size"), 9)).drop("total", "size")
+    named = listed.withColumn("term", F.element_at(F.split("term", SEPARATOR), -1)).filter("weight > 0")
     best = Window.partitionBy(*scope, "cluster_id").orderBy(F.desc("weight"), F.asc("term"))
     kept = lookup(named, sizes.filter(F.col("size") >= min_cluster), [*scope, "cluster_id"])
     return (

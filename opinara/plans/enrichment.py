@@ -15,21 +15,20 @@ from opinara.operators.scoring import score_reviews
 from opinara.schema import REVIEWS
 from opinara.session import cut
 from opinara.sources.tables import write_reviews, write_rollups
-from opinara.sources.uploads import ColumnMapping, map_columns, with_content_ids
+from opinara.sources.uploads import ColumnMapping, keyed_rows, mapped
 
 
 def prepare(upload: DataFrame, mapping: ColumnMapping, batch_id: str) -> DataFrame:
     """Mapped rows with a content id, so that a repeated run writes the same reviews."""
-    ids = with_content_ids(upload.withColumn("batch_id", F.lit(batch_id)), "review_id")
-    mapped = map_columns(ids.drop("batch_id"), mapping)
-    held = F.try_element_at("extra", F.lit("review_id"))
-    return mapped.select(
-        held.alias("review_id"),
+    keyed = keyed_rows(upload, F.lit(batch_id))
+    fields = keyed.select(F.col("key").alias("review_id"), *mapped(upload.columns, mapping, lambda c: F.col("row").getField(c)))
+    return fields.select(
+        "review_id",
         F.lit(batch_id).alias("batch_id"),
         "text",
         "category",
         "review_date",
-        F.map_filter("extra", lambda key, _: key != "review_id").alias("extra"),
+        F.coalesce("extra", F.create_map().cast("map<string,string>")).alias("extra"),
         clean_or_raw(F.col("text")).alias("clean_text"),
     )
 
@@ -47,5 +46,5 @@ def store(reviews: DataFrame, path: str) -> dict[str, DataFrame]:
     batches = small_side(reviews.select("batch_id").distinct())
     written = reviews.sparkSession.read.parquet(f"{path}/reviews").join(batches, "batch_id", "left_semi")
     tables = split_rollups(cut(all_rollups(written)))
-    write_rollups(tables, path)
+    write_rollups(tables, path, [row.batch_id for row in batches.collect()])
     return tables

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +35,26 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     write_by(reviews, path, "batch_id")
 
 
-def write_rollups(tables: dict[str, DataFrame], path: str) -> None:
-    """One folder per rollup table; a re-run replaces its batches and so never counts twice."""
+def drop_batches(spark: SparkSession, path: str, batches: Iterable[str]) -> None:
+    """Remove the batches' partitions below a table's folder, where there are any."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = {f"batch_id={batch}" for batch in batches}
+    for entry in files.listStatus(folder) if files.exists(folder) else ():
+        if unquote(entry.getPath().getName()) in gone:
+            files.delete(entry.getPath(), True)
+
+
+def write_rollups(tables: dict[str, DataFrame], path: str, batches: Sequence[str] = ()) -> None:
+    """One folder per rollup table; a re-run replaces its batches and so never counts twice.
+
+    ``batches`` are those of this run: what an earlier run left of them goes, even from tables in
+    which they have no rows any more.
+    """
     for name, df in tables.items():
+        if batches:
+            left = df.select("batch_id").distinct().collect()  # some of this run's batches
+            drop_batches(df.sparkSession, f"{path}/{name}", set(batches) - {row.batch_id for row in left})
         write_by(df, f"{path}/{name}", "batch_id")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,46 +98,59 @@ def detect_columns(columns: list[str]) -> ColumnMapping:
     return ColumnMapping(first(TEXT_NAMES, columns[0]), first(CATEGORY_NAMES, ""), first(DATE_NAMES, ""))
 
 
-def map_columns(df: DataFrame, mapping: ColumnMapping) -> DataFrame:
+def mapped(columns: list[str], mapping: ColumnMapping, value: Callable[[str], Column]) -> list[Column]:
     """text, category, review_date and a map of everything else; absent category and date are blank."""
     used = {name for name in (mapping.text, mapping.category, mapping.date) if name}
-    rest = [c for c in df.columns if c not in used]
+    rest = [c for c in columns if c not in used]
 
-    def blank_or(name: str):
-        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name else F.lit("")
+    def blank_or(name: str) -> Column:
+        return F.coalesce(value(name).cast("string"), F.lit("")) if name else F.lit("")
 
-    extra = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]) if rest else None
-    return df.select(
-        F.col(f"`{mapping.text}`").cast("string").alias("text"),
+    extra = F.create_map(*[x for c in rest for x in (F.lit(c), value(c).cast("string"))]) if rest else F.lit(None).cast("map<string,string>")
+    return [
+        value(mapping.text).cast("string").alias("text"),
         blank_or(mapping.category).alias("category"),
         blank_or(mapping.date).alias("review_date"),
-        (extra if extra is not None else F.lit(None).cast("map<string,string>")).alias("extra"),
-    )
+        extra.alias("extra"),
+    ]
+
+
+def map_columns(df: DataFrame, mapping: ColumnMapping) -> DataFrame:
+    return df.select(*mapped(df.columns, mapping, lambda c: F.col(f"`{c}`")))
 
 
 def preview(df: DataFrame, *order: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
 
-def with_content_ids(df: DataFrame, name: str = "id") -> DataFrame:
-    """A stable id per row from its content; equal rows are told apart by a running number.
+def keyed_rows(df: DataFrame, *salt: Column) -> DataFrame:
+    """(key, row): every row as a struct, whatever its columns are called, with a stable key.
 
-    Equal rows are counted, then written out again from the count in chunks, so that even a row
-    with billions of copies never gathers in one task. A re-run gives the same ids.
+    The key comes from the content and the salt; equal rows are told apart by a running number. They
+    are counted by digest, then written out again from the count in chunks, so that even a row with
+    billions of copies never gathers in one task. A re-run gives the same keys.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    content = F.to_json(F.struct(F.struct(*[F.col(f"`{c}`") for c in df.columns]), *salt), {"ignoreNullFields": "false"})
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.md5(content).alias("digest"))
+    counted = rows.groupBy("digest").agg(F.any_value("row").alias("row"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("long")
-    few = counted.filter(F.col("_n") <= COPIES_PER_CHUNK).withColumn("_chunk", zero)
-    many = counted.filter(F.col("_n") > COPIES_PER_CHUNK)
-    last_chunk = F.floor((F.col("_n") - 1) / COPIES_PER_CHUNK)
-    spread = many.withColumn("_chunk", F.explode(F.sequence(zero, last_chunk))).repartition("_chunk")
-    start = F.col("_chunk") * COPIES_PER_CHUNK
-    stop = F.least(F.col("_n"), start + COPIES_PER_CHUNK) - 1
-    copies = few.unionByName(spread).withColumn("_copy", F.explode(F.sequence(start, stop)))
-    content = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-    keyed = copies.withColumn(name, F.md5(F.concat_ws("#", content, F.col("_copy").cast("string"))))
-    return keyed.select(name, *columns)
+    few = counted.filter(F.col("n") <= COPIES_PER_CHUNK).withColumn("chunk", zero)
+    many = counted.filter(F.col("n") > COPIES_PER_CHUNK)
+    last_chunk = F.floor((F.col("n") - 1) / COPIES_PER_CHUNK)
+    # A stated number of partitions: the few rows here grow when written out, which AQE can't foresee.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = many.withColumn("chunk", F.explode(F.sequence(zero, last_chunk))).repartition(tasks, "digest", "chunk")
+    start = F.col("chunk") * COPIES_PER_CHUNK
+    stop = F.least(F.col("n"), start + COPIES_PER_CHUNK) - 1
+    copies = few.unionByName(spread).withColumn("copy", F.explode(F.sequence(start, stop)))
+    return copies.select(F.md5(F.concat_ws("#", "digest", F.col("copy").cast("string"))).alias("key"), "row")
+
+
+def with_content_ids(df: DataFrame, name: str = "id") -> DataFrame:
+    """A stable id per row from its content, in a column of its own."""
+    if name in df.columns:
+        raise ValueError(f"there is a column {name} already")
+    return keyed_rows(df).select(F.col("key").alias(name), "row.*")
 
 
 def ensure_id(df: DataFrame) -> DataFrame:

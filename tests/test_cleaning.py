@@ -17,23 +17,23 @@ def run(spark, function, texts):
 
 
 GOLDEN = [
-    ("This is <b>bold</b> text", "This is bold text"),
-    ("Check https://example.com for details", "Check for details"),
-    ("go to WWW.EXAMPLE.COM now", "Go to now"),
-    ("See imageidABC123_xyz for reference", "See for reference"),
+    ("A <i>slanted</i> word", "A slanted word"),
+    ("Look at https://shop.test/a?b=1 there", "Look at there"),
+    ("try WWW.SHOP.TEST/x today", "Try today"),
+    ("photo imageidQ7-w_2 attached", "Photo attached"),
     ("a VideoIDx- end", "A - end"),
-    ("Id: aabbccddeeff00112233445566 end", "Id: end"),
-    ("short aabbccddeeff end", "Short aabbccddeeff end"),
-    ("Ref: 550e8400-e29b-41d4-a716-446655440000 done", "Ref: done"),
-    ("good product. really nice. works well", "Good product. Really nice. Works well"),
+    ("Key 0123456789abcdef0123456789 stop", "Key stop"),
+    ("brief 0123456789ab stop", "Brief 0123456789ab stop"),
+    ("Case 01234567-89ab-cdef-0123-456789abcdef closed", "Case closed"),
+    ("arrived late. box was wet. kept it", "Arrived late. Box was wet. Kept it"),
     ("one. . two.  three.four", "One. . Two. Three.four"),
     ("", None),
     ("   ", None),
     ("<br>", None),
     (None, None),
-    ("too   much \t space", "Too much space"),
+    ("gaps   much \t over", "Gaps much over"),
     ("5 &gt; 3 &amp; 2 &lt; 4", "5 > 3 & 2 < 4"),
-    ("caféaabbccddeeff00112233445566", "Caféaabbccddeeff00112233445566"),
+    ("thé0123456789abcdef0123456789", "Thé0123456789abcdef0123456789"),
     ("ßeta. été", "SSeta. été"),
     ("a\u0007b\u0085c", "A b c"),
 ]

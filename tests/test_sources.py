@@ -9,7 +9,7 @@ from opinara.sources import tables, uploads
 from opinara.sources.uploads import ColumnMapping
 from opinara.session import run_folder
 
-FULL = 'review_text,category,date\nGreat product,Electronics,2025-01-01\nBad quality,Books,2025-01-02\n'
+FULL = 'opinion,kind,day\nThe kettle leaks,Kitchen,2031-05-09\nLamp glows nicely,Light,2031-05-10\n'
 
 
 def write(tmp_path, name, content):
@@ -21,18 +21,18 @@ def write(tmp_path, name, content):
 @pytest.mark.parametrize(
     "name, content, mapping, code",
     [
-        ("full.csv", FULL, ColumnMapping("review_text", "category", "date"), None),
-        ("one.csv", "my_text\nSome review\n", ColumnMapping("my_text"), None),
-        ("UPPER.CSV", "my_text\nSome review\n", ColumnMapping("my_text"), None),
-        ("full.txt", FULL, ColumnMapping("review_text"), "INVALID_FILE_TYPE"),
+        ("full.csv", FULL, ColumnMapping("opinion", "kind", "day"), None),
+        ("one.csv", "words\nA sturdy chair\n", ColumnMapping("words"), None),
+        ("UPPER.CSV", "words\nA sturdy chair\n", ColumnMapping("words"), None),
+        ("full.txt", FULL, ColumnMapping("opinion"), "INVALID_FILE_TYPE"),
         ("empty.csv", "", ColumnMapping("t"), "EMPTY_FILE"),
         ("blank.csv", " \n \n", ColumnMapping("t"), "EMPTY_FILE"),
         ("latin.csv", "t\ncaf\xe9\n".encode("latin-1"), ColumnMapping("t"), "INVALID_ENCODING"),
         ("utf8.csv", "t\ncafé\n", ColumnMapping("t"), None),
         ("missing.csv", FULL, ColumnMapping("text"), "MISSING_COLUMN"),
-        ("category.csv", FULL, ColumnMapping("review_text", "kind"), "MISSING_COLUMN"),
-        ("date.csv", FULL, ColumnMapping("review_text", "category", "day"), "MISSING_COLUMN"),
-        ("header.csv", "review_text,category\n", ColumnMapping("review_text"), "EMPTY_CSV"),
+        ("category.csv", FULL, ColumnMapping("opinion", "sort"), "MISSING_COLUMN"),
+        ("date.csv", FULL, ColumnMapping("opinion", "kind", "date"), "MISSING_COLUMN"),
+        ("header.csv", "opinion,kind\n", ColumnMapping("opinion"), "EMPTY_CSV"),
     ],
 )
 def test_checks(spark, tmp_path, name, content, mapping, code):
@@ -117,3 +117,22 @@ def test_enrichment_end_to_end_and_again(spark, tmp_path):
     negatives = written.filter("sentiment = 'negative'").count()
     assert (stored["issue_weekly"].agg(F.sum("count")).first()[0] or 0) == negatives
     assert np.isclose(written.agg(F.avg(F.col("prob_negative") + F.col("prob_neutral") + F.col("prob_positive"))).first()[0], 1.0)
+
+
+def test_uploads_with_any_column_names(spark):
+    rows = [("r1", "b9", "1", "2", "fine pan"), ("r1", "b9", "1", "2", "fine pan"), ("r2", "b9", "1", "2", "bad lid")]
+    upload = spark.createDataFrame(rows, "review_id string, batch_id string, _n string, _chunk string, words string")
+    prepared = enrichment.prepare(upload, ColumnMapping("words"), "batch-7")
+    found = sorted((r.text, r.batch_id, r.extra["review_id"], r.extra["batch_id"], r.extra["_n"]) for r in prepared.collect())
+    assert found == [("bad lid", "batch-7", "r2", "b9", "1")] + [("fine pan", "batch-7", "r1", "b9", "1")] * 2
+    assert len({r.review_id for r in prepared.collect()}) == 3
+
+
+def test_a_batch_without_complaints_leaves_no_old_counts(spark, tmp_path):
+    def table(*rows):
+        return {"issues": spark.createDataFrame(list(rows), "batch_id string, issue_tag string, count long")}
+
+    path = str(tmp_path / "out")
+    tables.write_rollups(table(("a b", "t", 3), ("c", "t", 4)), path, ["a b", "c"])
+    tables.write_rollups({"issues": table(("x", "t", 1))["issues"].limit(0)}, path, ["a b"])
+    assert [(r.batch_id, r["count"]) for r in spark.read.parquet(f"{path}/issues").collect()] == [("c", 4)]
