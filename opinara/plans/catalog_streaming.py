@@ -96,34 +96,28 @@ def t2(spark, folder):
 @query(
     "t3_weekly_windows",
     with_views(
-        f"""SELECT * FROM (SELECT date_trunc('week', ts) AS week_start, category, {SENTIMENT_SUMS} FROM reviews GROUP BY ALL)
-WHERE week_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM reviews)""",
+        f"SELECT date_trunc('week', ts) AS week_start, category, {SENTIMENT_SUMS} FROM reviews GROUP BY ALL",
         "reviews",
     ),
 )
 def t3(spark, folder):
     out = run_folder(spark, "weeks")
-    stream = V.review_shape(_event_stream(spark, folder)).withColumn("ts", S.utc_instant(F.col("ts")))
-    S.finish(S.append_to(S.weekly_windows(stream), out, run_folder(spark, "state")))
-    done = tables.read_table(spark, out)
-    return done.withColumn("week_start", S.utc_wall_clock(F.col("week_start")))
+    stream = V.review_shape(_event_stream(spark, folder, per_trigger=2)).withColumn("ts", S.utc_instant(F.col("ts")))
+    S.finish(S.upsert_counters(S.weekly_windows(stream), out, run_folder(spark, "state"), S.WEEK_KEYS))
+    return S.read_counters(spark, out).withColumn("week_start", S.utc_wall_clock(F.col("week_start")))
 
 
 @query("t4_once_per_review", with_views("SELECT review_id, category, sentiment FROM reviews", "reviews"))
 def t4(spark, folder):
     out = run_folder(spark, "once")
     stream = V.review_shape(_event_stream(spark, folder, files=2, copies=2, per_trigger=2))
-    timed = stream.select("review_id", "category", "sentiment", S.utc_instant(F.col("ts")).alias("ts"))
-    single = S.once_per_review(timed, delay="60 days")
-    S.finish(S.append_to(single.drop("ts"), out, run_folder(spark, "state")))
-    return tables.read_table(spark, out)
+    S.finish(S.store_once(stream.select("review_id", "category", "sentiment"), out, run_folder(spark, "state")))
+    return S.read_once(spark, out)
 
 
 @query("t5_progress", with_views("SELECT count(*) AS rows, count(sentiment) AS scored FROM reviews", "reviews"))
 def t5(spark, folder):
-    stream = S.with_progress(V.review_shape(_event_stream(spark, folder, files=2, per_trigger=1)))
-    query = S.finish(S.append_to(stream.select("review_id"), run_folder(spark, "seen"), run_folder(spark, "state")))
-    seen = spark.createDataFrame(S.progress_of(query), "micro_batch long, rows long, scored long")
-    return seen.agg(F.sum("rows").alias("rows"), F.sum("scored").alias("scored"))
-
-
+    stream = V.review_shape(_event_stream(spark, folder, files=2, per_trigger=1)).select("review_id", "sentiment")
+    progress = run_folder(spark, "progress")
+    S.finish(S.append_counted(stream, run_folder(spark, "seen"), run_folder(spark, "state"), progress))
+    return S.progress_of(spark, progress).agg(F.sum("rows").alias("rows"), F.sum("scored").alias("scored"))

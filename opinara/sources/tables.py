@@ -35,14 +35,30 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     write_by(reviews, path, "batch_id")
 
 
+def _files(spark: SparkSession, path: str):
+    """The folder and its file system, by Hadoop's public interface."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, name: str = "") -> list[str]:
+    """Names of what lies in a folder, or just the given one; none if there is no folder."""
+    folder, files = _files(spark, path)
+    found = [entry.getPath().getName() for entry in files.listStatus(folder)] if files.exists(folder) else []
+    return [x for x in found if x == name or not name and x[:1] not in "._"]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder, files = _files(spark, path)
+    files.delete(folder, True)
+
+
 def drop_batches(spark: SparkSession, path: str, batches: Iterable[str]) -> None:
     """Remove the batches' partitions below a table's folder, where there are any."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = {f"batch_id={batch}" for batch in batches}
-    for entry in files.listStatus(folder) if files.exists(folder) else ():
-        if unquote(entry.getPath().getName()) in gone:
-            files.delete(entry.getPath(), True)
+    for name in folders(spark, path):
+        if unquote(name) in gone:
+            delete(spark, f"{path}/{name}")
 
 
 def write_rollups(tables: dict[str, DataFrame], path: str, batches: Sequence[str] = ()) -> None:

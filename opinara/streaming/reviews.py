@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from opinara.operators.rollups import TREND_KEYS, sentiment_counts, with_week
+from opinara.sources import tables
 from opinara.sources.uploads import csv_options
 
 
@@ -32,9 +36,36 @@ def review_key(*columns: str) -> Column:
     return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
 
 
-def once_per_review(stream: DataFrame, key: str = "review_id", event_time: str = "ts", delay: str = "7 days") -> DataFrame:
-    """Drop repeats of a review that arrive within the delay; state older than that is released."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+def _owner(checkpoint: str) -> str:
+    """A name for what one checkpoint's stream writes; another checkpoint counts its batches anew."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path) if tables.folders(spark, path) else None
+
+
+def store_once(stream: DataFrame, path: str, checkpoint: str, key: str = "review_id") -> StreamingQuery:
+    """Write each review once, however late it comes and however often.
+
+    A micro-batch is held against the keys that are stored, except its own on a retry, and writes its
+    own folder. Nothing is held as state, so nothing first seen late is lost. ``read_once`` reads it.
+    """
+    owner = _owner(checkpoint)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        fresh, stored = rows.dropDuplicates([key]), _stored(rows.sparkSession, path)
+        if stored is not None:
+            others = stored.where((F.col("owner") != owner) | (F.col("batch") != batch))
+            fresh = fresh.join(others.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/owner={owner}/batch={batch}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).trigger(availableNow=True).start()
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("owner", "batch")
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -48,47 +79,75 @@ def running_counters(stream: DataFrame) -> DataFrame:
     return with_week(stream).groupBy(*TREND_KEYS).agg(*sentiment_counts())
 
 
-def upsert_counters(counters: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def upsert_counters(counters: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = TREND_KEYS) -> StreamingQuery:
     """Keep a counter table current from update-mode output.
 
-    Every micro-batch writes the changed totals under its own number, overwriting on a retry.
-    Readers take the latest number per key (``read_counters``), so no row is rewritten in place.
+    Every micro-batch writes the whole table anew: its totals, and those of keys it does not change. A
+    checkpoint has a generation of its own, later ones win, so a stream that starts over after a lost
+    checkpoint replaces what the lost one had counted. Two versions stay, the current one and the one
+    before for readers, whatever the number of micro-batches.
     """
+    spark, owner = counters.sparkSession, _owner(checkpoint)
+    known = [name.split("-") for name in tables.folders(spark, path)]
+    generations = {int(g) for g, _, _ in known}
+    generation = next((int(g) for g, o, _ in known if o == owner), max(generations, default=-1) + 1)
+    on = list(keys)
 
     def write(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/version={batch}")
+        own = (generation, batch)
+        earlier = sorted(v for v in _versions(changed.sparkSession, path) if v[:2] < own)
+        whole = changed
+        if earlier:
+            before = changed.sparkSession.read.parquet(f"{path}/{earlier[-1][2]}")
+            whole = changed.unionByName(before.join(changed.select(*on), on, "left_anti"))
+        whole.write.mode("overwrite").parquet(f"{path}/{generation}-{owner}-{batch}")
+        for _, _, name in earlier[:-1]:
+            tables.delete(changed.sparkSession, f"{path}/{name}")
 
     writer = counters.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).trigger(availableNow=True).start()
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    parts = [(name.split("-"), name) for name in tables.folders(spark, path)]
+    return [(int(g), int(b), name) for (g, _, b), name in parts if tables.folders(spark, f"{path}/{name}", "_SUCCESS")]
+
+
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    values = [c for c in versions.columns if c not in (*TREND_KEYS, "version")]
-    latest = versions.groupBy(*TREND_KEYS).agg(F.max_by(F.struct(*values), "version").alias("v"))
-    return latest.select(*TREND_KEYS, "v.*")
+    return spark.read.parquet(f"{path}/{max(_versions(spark, path))[2]}")
+
+
+WEEK_KEYS = ("week_start", "category")
 
 
-def weekly_windows(stream: DataFrame, event_time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Tumbling weeks that start on Monday (the epoch was a Thursday); late rows count until the delay."""
+def weekly_windows(stream: DataFrame, event_time: str = "ts") -> DataFrame:
+    """Tumbling weeks that start on Monday (the epoch was a Thursday), for update mode.
+
+    State is one row per week and category and is kept, so late rows always count.
+    """
     week = F.window(event_time, "7 days", startTime="4 days")
-    grouped = stream.withWatermark(event_time, delay).groupBy(week.alias("window"), "category")
+    grouped = stream.groupBy(week.alias("window"), "category")
     return grouped.agg(*sentiment_counts()).withColumn("week_start", F.col("window.start")).drop("window")
 
 
-def with_progress(stream: DataFrame, name: str = "progress") -> DataFrame:
-    """Rows seen and rows scored per micro-batch, reported to streaming listeners."""
-    return stream.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("sentiment").isNotNull()).alias("scored"))
+def append_counted(stream: DataFrame, path: str, checkpoint: str, progress: str) -> StreamingQuery:
+    """Write each micro-batch to its own folder, and rows seen and rows scored beside it."""
+    owner = _owner(checkpoint)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        folder = f"owner={owner}/batch={batch}"
+        rows.write.mode("overwrite").parquet(f"{path}/{folder}")
+        written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{folder}")
+        seen = written.agg(F.count(F.lit(1)).alias("rows"), F.count("sentiment").alias("scored"))
+        seen.write.mode("overwrite").parquet(f"{progress}/{folder}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    return writer.foreachBatch(write).trigger(availableNow=True).start()
 
 
-def progress_of(query: StreamingQuery, name: str = "progress") -> list[tuple[int, int, int]]:
-    """(micro-batch, rows, scored) from the query's own progress reports."""
-    out = []
-    for report in query.recentProgress:
-        metrics = report.observedMetrics.get(name)
-        if metrics is not None:
-            out.append((report.batchId, metrics["rows"], metrics["scored"]))
-    return out
+def progress_of(spark: SparkSession, progress: str) -> DataFrame:
+    """micro_batch, rows and scored of every micro-batch there has been."""
+    return spark.read.parquet(progress).select(F.col("batch").cast("long").alias("micro_batch"), "rows", "scored")
 
 
 def finish(query: StreamingQuery) -> StreamingQuery:

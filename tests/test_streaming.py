@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from opinara.operators import rollups
 from opinara.plans import driver_views as V
 from opinara.session import run_folder
+from opinara.sources import tables
 from opinara.streaming import reviews as S
 
 
@@ -21,43 +22,53 @@ def test_counters_grow_over_runs(spark, folder):
     assert sorted(map(tuple, S.read_counters(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_repeats_are_dropped_across_runs(spark, folder):
-    rows = V.reviews(spark, folder).select("review_id", F.col("ts").cast("timestamp").alias("ts"))
-    inbox, out, state = run_folder(spark, "inbox"), run_folder(spark, "out"), run_folder(spark, "state")
+def test_a_new_checkpoint_replaces_old_totals_and_nothing_piles_up(spark, folder):
+    events = V.table(spark, folder, "events")
+    inbox, out = run_folder(spark, "inbox"), run_folder(spark, "out")
+    want = None
     for _ in range(2):
-        rows.coalesce(1).write.mode("append").parquet(inbox)
-        S.finish(S.append_to(S.once_per_review(stream_of(spark, inbox, rows.schema), delay="90 days"), out, state))
-    assert spark.read.parquet(out).count() == rows.count()
+        events.repartition(4).write.mode("append").parquet(inbox)
+        counters = S.running_counters(V.review_shape(stream_of(spark, inbox, events.schema)))
+        S.finish(S.upsert_counters(counters, out, run_folder(spark, "state")))
+        assert len(tables.folders(spark, out)) == 2
+    want = rollups.trend_weekly(V.review_shape(events.union(events)))
+    assert sorted(map(tuple, S.read_counters(spark, out).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_late_rows_within_the_delay_count_and_weeks_start_on_monday(spark):
-    data = [
+def test_reviews_are_stored_once_however_late(spark):
+    schema = "review_id long, ts string"
+    inbox, out, state = run_folder(spark, "inbox"), run_folder(spark, "out"), run_folder(spark, "state")
+    parts = [[(1, "2024-06-01"), (1, "2024-06-01")], [(3, "2024-07-01")], [(2, "2020-01-01"), (3, "2024-07-01")]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        S.finish(S.store_once(stream_of(spark, inbox, schema), out, state))
+    S.finish(S.store_once(stream_of(spark, inbox, schema), out, run_folder(spark, "state")))  # the checkpoint was lost
+    assert sorted(r.review_id for r in S.read_once(spark, out).collect()) == [1, 2, 3]
+
+
+def test_late_rows_count_and_weeks_start_on_monday(spark):
+    first = [
         ("2025-01-13 00:00:00", "a", "positive"), ("2025-01-19 23:59:59", "a", "negative"), ("2025-01-20 00:00:00", "a", "neutral"),
         ("2025-01-12 23:59:59", "a", "positive"),
     ]
+    later = [("2025-01-18 12:00:00", "a", "positive"), ("2025-01-10 00:00:00", "a", "positive"), ("2025-01-23 00:00:00", "a", "neutral")]
     schema = "ts timestamp, category string, sentiment string"
-
-    def frame(rows):
-        return spark.createDataFrame(rows, "ts string, category string, sentiment string").withColumn("ts", F.col("ts").cast("timestamp"))
-
     inbox, out, state = run_folder(spark, "inbox"), run_folder(spark, "out"), run_folder(spark, "state")
-    frame(data).coalesce(1).write.mode("append").parquet(inbox)
-    S.finish(S.append_to(S.weekly_windows(spark.readStream.schema(schema).parquet(inbox), delay="2 days"), out, state))
-    # the watermark stands at 18 January: the week before is closed, this week is open
-    frame([("2025-01-18 12:00:00", "a", "positive"), ("2025-01-10 00:00:00", "a", "positive"), ("2025-01-23 00:00:00", "a", "neutral")]).coalesce(1).write.mode("append").parquet(inbox)
-    S.finish(S.append_to(S.weekly_windows(spark.readStream.schema(schema).parquet(inbox), delay="2 days"), out, state))
-    got = {str(r["week_start"])[:10]: (r["positive"], r["neutral"], r["negative"]) for r in spark.read.parquet(out).collect()}
-    assert got == {"2025-01-06": (1, 0, 0), "2025-01-13": (2, 0, 1)}
+    for rows in (first, later):
+        frame = spark.createDataFrame(rows, "ts string, category string, sentiment string").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(inbox)
+        S.finish(S.upsert_counters(S.weekly_windows(spark.readStream.schema(schema).parquet(inbox)), out, state, S.WEEK_KEYS))
+    got = {str(r["week_start"])[:10]: (r["positive"], r["neutral"], r["negative"]) for r in S.read_counters(spark, out).collect()}
+    assert got == {"2025-01-06": (2, 0, 0), "2025-01-13": (2, 0, 1), "2025-01-20": (0, 2, 0)}
 
 
 def test_progress(spark, folder):
     rows = V.reviews(spark, folder).select("review_id", "sentiment")
-    inbox = run_folder(spark, "inbox")
-    rows.repartition(2).write.parquet(inbox)
-    watched = S.with_progress(stream_of(spark, inbox, rows.schema))
-    query = S.finish(S.append_to(watched, run_folder(spark, "out"), run_folder(spark, "state")))
-    reports = S.progress_of(query)
-    assert sum(r[1] for r in reports) == rows.count() and len(reports) >= 2
+    inbox, progress = run_folder(spark, "inbox"), run_folder(spark, "progress")
+    rows.repartition(5).write.parquet(inbox)
+    S.finish(S.append_counted(stream_of(spark, inbox, rows.schema), run_folder(spark, "out"), run_folder(spark, "state"), progress))
+    reports = S.progress_of(spark, progress).collect()
+    assert sum(r.rows for r in reports) == rows.count() and len(reports) == 5
 
 
 def test_same_row_same_key(spark):
