@@ -40,9 +40,10 @@ class CentroidSet:
 
 @dataclass(frozen=True)
 class DenseWeights:
-    """(weight, bias) per layer, weight shaped (inputs, outputs); ReLU between layers."""
+    """(weight, bias) per layer, weight shaped (inputs, outputs); ReLU or a sigmoid between layers."""
 
     layers: tuple[tuple[np.ndarray, np.ndarray], ...] = field(default_factory=tuple)
+    activation: str = "relu"
 
     @property
     def nbytes(self) -> int:
@@ -78,7 +79,8 @@ def _width(sets: dict[str, CentroidSet]) -> int | None:
 def _forward(x: np.ndarray, weights: DenseWeights) -> np.ndarray:
     *hidden, (last_w, last_b) = weights.layers
     for w, b in hidden:
-        x = np.maximum(x @ w + b, 0.0)
+        x = x @ w + b
+        x = np.maximum(x, 0.0) if weights.activation == "relu" else 1.0 / (1.0 + np.exp(-np.clip(x, -500.0, 500.0)))
     logits = x @ last_w + last_b
     logits -= logits.max(axis=1, keepdims=True)
     exps = np.exp(logits)

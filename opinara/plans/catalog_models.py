@@ -22,6 +22,8 @@ from opinara.plans.oracle_views import (
     with_views,
 )
 from opinara.schema import FALLBACK_SCOPE, LABELS
+from opinara.session import run_folder
+from opinara.sources import tables
 
 CUT = 0.95
 
@@ -64,25 +66,27 @@ def x14(spark, folder):
     "x15_softmax",
     _pred_sql(
         """SELECT id, round(exp(prob_negative - m) / (exp(prob_negative - m) + exp(prob_neutral - m) + exp(prob_positive - m)), 9) AS s0,
+  round(exp(prob_neutral - m) / (exp(prob_negative - m) + exp(prob_neutral - m) + exp(prob_positive - m)), 9) AS s1,
   round(exp(prob_positive - m) / (exp(prob_negative - m) + exp(prob_neutral - m) + exp(prob_positive - m)), 9) AS s2
 FROM (SELECT *, greatest(prob_negative, prob_neutral, prob_positive) AS m FROM predictions)"""
     ),
 )
 def x15(spark, folder):
     soft = _pred(spark, folder).select("id", scores.softmax(scores.probabilities()).alias("s"))
-    return soft.select("id", F.round(F.col("s")[0], 9).alias("s0"), F.round(F.col("s")[2], 9).alias("s2"))
+    return soft.select("id", *[F.round(F.col("s")[i], 9).alias(f"s{i}") for i in range(3)])
 
 
 @query(
     "x16_l2_normalise",
     with_views(
-        "SELECT id, round(features[1] / greatest(sqrt(list_inner_product(features, features)), 1e-9), 6) AS first, CAST(len(features) AS INTEGER) AS dims FROM vectors",
+        """SELECT id, i, round(x / length, 6) AS x FROM (SELECT id, unnest(features) AS x, unnest(range(len(features))) AS i,
+  greatest(sqrt(list_inner_product(features, features)), 1e-9) AS length FROM vectors)""",
         "vectors",
     ),
 )
 def x16(spark, folder):
     scaled = V.vectors(spark, folder).select("id", scores.l2_normalise(F.col("features")).alias("v"))
-    return scaled.select("id", F.round(F.col("v")[0], 6).alias("first"), F.size("v").alias("dims"))
+    return scaled.select("id", F.posexplode("v").alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 HIDDEN = (32, 16)
@@ -427,6 +431,28 @@ def m9(spark, folder):
     return models.metrics(models.perceptron(train)(test))
 
 
+@query(
+    "m9_stored_weights",
+    with_views("SELECT count(*) AS rows, count(*) AS equal, count(*) AS scored FROM vectors", "vectors"),
+)
+def m9_stored(spark, folder):
+    """Weights that were trained, stored and read again give the network's own probabilities and score reviews."""
+    train, _ = _split(spark, folder)
+    predict, weights = models.trained(train)
+    path = run_folder(spark, "weights")
+    tables.write_weights(spark, weights, path)
+    stored = tables.read_weights(spark, path)
+    rows = V.vectors(spark, folder)
+    probs = [f"prob_{name}" for name in LABELS]
+    again = models.by_weights(stored)(rows).select("id", *[F.col(c).alias(f"own_{c}") for c in probs])
+    both = predict(rows).join(again, "id")
+    alike = [F.abs(F.col(c) - F.col(f"own_{c}")) < 1e-9 for c in probs]
+    counts = both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(alike[0] & alike[1] & alike[2]).alias("equal"))
+    scorer = vectors.review_scorer(spark, stored, {})
+    seen = rows.select(scorer(F.col("features"), F.col("category")).alias("s")).agg(F.count("s.sentiment").alias("scored"))
+    return counts.withColumn("scored", F.lit(seen.first()[0]))
+
+
 @query("m10_calibrated_svc")
 def m10(spark, folder):
     train, test = _split(spark, folder)

@@ -66,10 +66,16 @@ def x1_pages(spark, folder):
     return pages.select("page_id", cleaning.clean_for_inference(F.col("html")).alias("clean"))
 
 
-@query("x2_clean_or_raw", "SELECT page_id, url AS shown FROM pages")
+@query(
+    "x2_clean_or_raw",
+    f"""SELECT doc_id AS id, coalesce(clean, text) AS shown FROM documents JOIN ({INFERENCE}) USING (doc_id)
+UNION ALL SELECT -1 - page_id, url FROM pages""",
+)
 def x2(spark, folder):
-    pages = V.table(spark, folder, "pages")
-    return pages.select("page_id", cleaning.clean_or_raw(F.col("url")).alias("shown"))
+    """Cleaned texts, and urls, of which cleaning leaves nothing, as they are."""
+    rows = V.texts(spark, folder).select(F.col("doc_id").alias("id"), "text")
+    rows = rows.unionByName(V.table(spark, folder, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("url").alias("text")))
+    return rows.select("id", cleaning.clean_or_raw(F.col("text")).alias("shown"))
 
 
 @query("x3_clean_for_training", TRAINING)

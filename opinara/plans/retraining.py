@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.functions.vectors import DenseWeights
 from opinara.operators import corrections as C
 from opinara.operators.evaluation import confusion, quality_gate
 from opinara.operators.models import Predictor, logistic
 from opinara.session import cut
+from opinara.sources.tables import write_weights
 
 
 def verdicts(votes: DataFrame, known_ids: DataFrame, order: list[str]) -> DataFrame:
@@ -18,6 +20,15 @@ def verdicts(votes: DataFrame, known_ids: DataFrame, order: list[str]) -> DataFr
     return C.route(C.ballots(flagged, order, ["confidence_margin"]), known_ids)
 
 
+def publish(spark: SparkSession, weights: DenseWeights, gate: DataFrame, path: str) -> bool:
+    """Store the weights where the scorer reads them, if both gates hold; else leave what is there."""
+    row = gate.first()
+    passed = bool(row["publish"])
+    if passed:
+        write_weights(spark, weights, path)
+    return passed
+
+
 def retrain(
     dataset: DataFrame, routed: DataFrame, new_features: DataFrame | None = None, fit: Callable[[DataFrame], Predictor] = logistic
 ) -> tuple[Predictor, DataFrame]:

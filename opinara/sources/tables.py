@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Sequence
 from urllib.parse import unquote
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.functions.vectors import DenseWeights
 from opinara.schema import CENTROIDS, CORRECTION_EXPORT
 from opinara.sources.uploads import csv_options
 
@@ -100,6 +103,25 @@ def write_splits(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_weights(spark: SparkSession, weights: DenseWeights, path: str) -> None:
+    """Store a classifier: one row per layer and input, and one for the biases (input -1)."""
+    rows = [
+        (n, weights.activation, k, [float(x) for x in values])
+        for n, (matrix, bias) in enumerate(weights.layers)
+        for k, values in [(-1, bias), *enumerate(matrix)]
+    ]
+    spark.createDataFrame(rows, "layer int, activation string, input int, weights array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DenseWeights:
+    rows = spark.read.parquet(path).orderBy("layer", "input").collect()  # as many as the network has inputs
+    layers = []
+    for _, group in itertools.groupby(rows, key=lambda r: r.layer):
+        bias, *matrix = [np.array(r.weights) for r in group]
+        layers.append((np.array(matrix), bias))
+    return DenseWeights(tuple(layers), rows[0].activation)
+
+
 def write_centroids(centroids: DataFrame, path: str) -> None:
     """Store a centroid table; every name must be filled in."""
     blank = centroids.filter(F.trim(F.coalesce("name", F.lit(""))) == "")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opinara.operators import models as M
 from opinara.plans import retraining
+from opinara.schema import LABELS
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +82,34 @@ def test_retraining_round(spark, halves):
     row = gate.first()
     assert row["negative_recall"] > 0.7 and row["publish"] in (True, False)
     assert predict(test).count() == test.count()
+
+
+def test_trained_weights_reach_the_scorer(spark, tmp_path):
+    from opinara.functions.vectors import review_scorer
+    from opinara.plans import retraining
+    from opinara.sources import tables
+
+    rows = [(k, LABELS[k % 3], [float(k % 3 == 0), float(k % 3 == 1), float(k % 3 == 2), 0.1 * (k % 5)]) for k in range(90)]
+    train = spark.createDataFrame(rows, "id long, label string, features array<float>")
+    predict, weights = M.trained(train, hidden=(6, 4), max_iter=40)
+    path = str(tmp_path / "weights")
+    gate = spark.createDataFrame([(True,), (False,)], "publish boolean")
+    assert not retraining.publish(spark, weights, gate.where("NOT publish"), path)
+    assert retraining.publish(spark, weights, gate.where("publish"), path)
+    stored = tables.read_weights(spark, path)
+    own = {r.id: r for r in predict(train).collect()}
+    for r in M.by_weights(stored)(train).collect():
+        assert all(abs(r[f"prob_{n}"] - own[r.id][f"prob_{n}"]) < 1e-9 for n in LABELS)
+    scorer = review_scorer(spark, stored, {}, positive=0.0, negative=0.0)
+    scored = train.select("label", scorer(F.col("features"), F.lit("x")).alias("s")).collect()
+    assert sum(r.label == r.s.sentiment for r in scored) >= 85
+    other, _ = M.trained(train, hidden=(5,), max_iter=1)
+    kept = tables.read_weights(spark, path)
+    assert [w.shape for w, _ in kept.layers] == [(4, 6), (6, 4), (4, 3)]
+
+
+def test_many_copies_of_one_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES_PER_CHUNK", 10)
+    rows = [(k, "negative" if k else "positive", [float(k)]) for k in range(101)]
+    copied = M._balanced(spark.createDataFrame(rows, "id long, label string, features array<float>"), 1)
+    assert {r.label: r["count"] for r in copied.groupBy("label").count().collect()} == {"negative": 100, "positive": 100}
