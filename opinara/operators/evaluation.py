@@ -18,7 +18,6 @@ from opinara.schema import (
     LABELS,
     MARGIN_SWEEP,
     NEGATIVE_MARGIN,
-    POSITIVE_MARGIN,
     UNCERTAIN_MARGIN,
 )
 
@@ -243,9 +242,3 @@ def accuracy_by_category(errors: DataFrame) -> DataFrame:
 def best_by(results: DataFrame, name: str, metric: str) -> DataFrame:
     """The winning row's name and metric; ties go to the first name."""
     return results.agg(F.min_by(F.struct(name, metric), F.struct(-F.col(metric), F.col(name))).alias("best")).select("best.*")
-
-
-def rule_from_margin(positive: float = POSITIVE_MARGIN) -> Column:
-    from opinara.functions.scores import asymmetric_rule
-
-    return asymmetric_rule(F.col("pred"), F.col("lead"), positive)

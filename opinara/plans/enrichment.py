@@ -12,9 +12,9 @@ from opinara.functions.vectors import DenseWeights
 from opinara.operators.ranking import small_side
 from opinara.operators.rollups import all_rollups, split_rollups
 from opinara.operators.scoring import score_reviews
-from opinara.schema import REVIEWS
+from opinara.schema import BATCHES, REVIEWS
 from opinara.session import cut
-from opinara.sources.tables import write_reviews, write_rollups
+from opinara.sources.tables import write_by, write_reviews, write_rollups
 from opinara.sources.uploads import ColumnMapping, keyed_rows, mapped
 
 
@@ -48,3 +48,22 @@ def store(reviews: DataFrame, path: str) -> dict[str, DataFrame]:
     tables = split_rollups(cut(all_rollups(written)))
     write_rollups(tables, path, [row.batch_id for row in batches.collect()])
     return tables
+
+
+def record_batch(
+    upload: DataFrame, mapping: ColumnMapping, batch_id: str, path: str, filename: str, started: datetime, ended: datetime | None = None
+) -> DataFrame:
+    """Write and return the batch's own row: how many rows came, how many are stored, and how long it took.
+
+    Its status is done if as many reviews are stored as rows came, else failed.
+    """
+    spark = upload.sparkSession
+    total = upload.count()
+    processed = spark.read.parquet(f"{path}/reviews").filter(F.col("batch_id") == batch_id).count()
+    ended = ended or datetime.now(timezone.utc).replace(tzinfo=None)
+    used = {name: column for name, column in (("text", mapping.text), ("category", mapping.category), ("date", mapping.date)) if column}
+    status = "done" if processed == total else "failed"
+    row = (batch_id, filename, started, total, processed, status, used, list(upload.columns), (ended - started).total_seconds())
+    record = spark.createDataFrame([row], BATCHES)
+    write_by(record, f"{path}/batches", "batch_id")
+    return record

@@ -136,3 +136,19 @@ def test_a_batch_without_complaints_leaves_no_old_counts(spark, tmp_path):
     tables.write_rollups(table(("a b", "t", 3), ("c", "t", 4)), path, ["a b", "c"])
     tables.write_rollups({"issues": table(("x", "t", 1))["issues"].limit(0)}, path, ["a b"])
     assert [(r.batch_id, r["count"]) for r in spark.read.parquet(f"{path}/issues").collect()] == [("c", 4)]
+
+
+def test_batch_record(spark, tmp_path):
+    from datetime import datetime
+
+    path = str(tmp_path / "out")
+    upload = spark.createDataFrame([("a", "x"), ("b", "y")], "words string, kind string")
+    stored = spark.createDataFrame([("r1", "b1"), ("r2", "b1"), ("r3", "b2")], "review_id string, batch_id string")
+    tables.write_by(stored, f"{path}/reviews", "batch_id")
+    mapping = ColumnMapping("words", "kind")
+    start, stop = datetime(2031, 5, 9, 10, 0, 0), datetime(2031, 5, 9, 10, 0, 2)
+    row = enrichment.record_batch(upload, mapping, "b1", path, "up.csv", start, stop).first()
+    assert (row.total_reviews, row.processed_count, row.status, row.processing_duration_seconds) == (2, 2, "done", 2.0)
+    assert (row.column_mapping, row.csv_columns) == ({"text": "words", "category": "kind"}, ["words", "kind"])
+    assert enrichment.record_batch(upload, mapping, "b2", path, "up.csv", start, stop).first().status == "failed"
+    assert sorted(r.batch_id for r in spark.read.parquet(f"{path}/batches").collect()) == ["b1", "b2"]
