@@ -231,7 +231,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in FOUND.split(", ")])
 
-        found = found.unionByName(texts.mapInArrow(search, FOUND))
+        found = found.unionByName(texts.mapInArrow(tables.released(search), FOUND))
     best = F.max(F.struct("overlap", "score", "question_overlap", "answer_overlap")).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", "best.score", "best.overlap", "best.question_overlap", "best.answer_overlap"
@@ -249,5 +249,5 @@ def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
                 stay[[n for n, *_ in hits(shared.value, stride, batch.column("text").cast(pa.string()).fill_null(""))]] = False
                 yield batch.filter(pa.array(stay))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(tables.released(clean), docs.schema)
     return docs

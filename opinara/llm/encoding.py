@@ -15,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = b" \t\n\v\f\r"
-CACHED_PIECES = 600_000  # pieces a worker remembers, some 100 MB; beyond it keeps those met in several blocks
+CACHED_PIECES = 250_000  # pieces a worker remembers, some 50 MB; beyond it keeps those met in several blocks
+RESTING_PIECES = 60_000  # of these it keeps between tasks
 JOINED_PIECES = 64
 BLOCK_BYTES = 8 << 20  # text handled at once; a longer text is a block of its own
 #: A piece that may be joined with others: an optional space, then printable ASCII or Latin letters.
@@ -84,11 +85,16 @@ class Encoder:
         self.blocks = np.zeros(1 << 18, np.int32)  # in how many blocks a piece was met
         self.known = 0
 
-    def _forget(self) -> None:
-        """Keep the pieces met most often, half of what fits at most."""
+    def rest(self) -> None:
+        """Between tasks, keep only the most frequent pieces."""
+        if self.known > RESTING_PIECES:
+            self._forget(RESTING_PIECES)
+
+    def _forget(self, most: int) -> None:
+        """Keep the pieces met most often, so many at most."""
         blocks = self.blocks[: self.known]
         least = 2
-        while np.count_nonzero(blocks >= least) > CACHED_PIECES // 2:
+        while np.count_nonzero(blocks >= least) > most:
             least += 1
         stay = np.flatnonzero(blocks >= least)
         names = list(self.slots)
@@ -151,7 +157,7 @@ class Encoder:
         ).dictionary_encode()
         distinct, index = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         if self.known + len(distinct) > CACHED_PIECES:
-            self._forget()
+            self._forget(CACHED_PIECES // 2)
         if new := [p for p in distinct if p not in self.slots]:
             self._learn(new)
         slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))

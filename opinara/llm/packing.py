@@ -52,9 +52,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
                     [batch.column("doc_id").take(pa.array(doc + first)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), packed.cast(pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        own.rest()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_of().alias("text"))
-    return narrow.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return narrow.mapInArrow(tables.released(cut), "doc_id long, piece int, start long, length long, ids binary")
 
 
 def best_fit(lengths: Sequence[int], size: int) -> list[list[int]]:
@@ -171,7 +172,7 @@ def pack(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
         columns = [*(flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat).flatten(), pa.array(sequence), pa.array(offset)]
         yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    packed = dealt.repartitionById(groups, F.col("_group")).mapInArrow(fill, whole.schema)
+    packed = dealt.repartitionById(groups, F.col("_group")).mapInArrow(tables.released(fill), whole.schema)
     return packed.unionByName(whole)
 
 

@@ -171,7 +171,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, per_cla
             columns = [batch.column("doc_id"), batch.column("row"), *(pa.array(v, pa.float64()) for v in (mean, *edge))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "mean", "top", "low"])
 
-    judged = tables.stored(texts.mapInArrow(judge, "doc_id long, row long, mean double, top double, low double"), "quality-evidence")
+    judged = tables.stored(texts.mapInArrow(tables.released(judge), "doc_id long, row long, mean double, top double, low double"), "quality-evidence")
     known = judged.join(chosen.where(F.col("fold") == CALIBRATION_FOLD), "doc_id").select("mean", "top", "low", "label").toPandas()
     y = known["label"].to_numpy()
     w = fit_logistic(known[["mean", "top", "low"]].to_numpy(), y).tolist() if 0 < y.sum() < len(y) else [1.0, 0.0, 0.0, 0.0]

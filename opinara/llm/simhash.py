@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(out.view(np.int64))], ["doc_id", "text_key", "fingerprint"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(tables.text_of()).alias("text_key"), tables.text_of().alias("text"))
-    return narrow.mapInArrow(prints, "doc_id long, text_key long, fingerprint long")
+    return narrow.mapInArrow(tables.released(prints), "doc_id long, text_key long, fingerprint long")
 
 
 def segment_masks(segments: int) -> list[int]:
@@ -129,7 +129,7 @@ def links(points: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     visitors = visitors.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visits"), "fingerprint")
     homes = homes.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("visits"), "fingerprint")
     dealt = homes.unionByName(visitors).repartition("cell", "block").sortWithinPartitions("cell", "block", "visits")
-    return dealt.mapInArrow(_linked(distance), "a long, b long")
+    return dealt.mapInArrow(tables.released(_linked(distance)), "a long, b long")
 
 
 def _linked(distance: int):

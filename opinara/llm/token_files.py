@@ -49,9 +49,10 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> D
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(counts)), pa.array(counts, pa.int64()), packed.cast(pa.binary())], ["doc_id", "n_tokens", "ids"]
                 )
+        own.rest()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_of().alias("text"))
-    return narrow.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return narrow.mapInArrow(tables.released(encode), "doc_id long, n_tokens long, ids binary")
 
 
 def id_counts(ids: DataFrame) -> dict[int, int]:
@@ -67,7 +68,7 @@ def id_counts(ids: DataFrame) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    summed = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = ids.select("ids").mapInArrow(tables.released(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {row.id: row.n for row in summed.collect()}
 
 
@@ -205,9 +206,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if held:
             yield flush()
 
-    bits = ids.mapInArrow(to_bits, "shard int, doc_id long, n_tokens long, payload binary, blocks binary")
+    bits = ids.mapInArrow(tables.released(to_bits), "shard int, doc_id long, n_tokens long, payload binary, blocks binary")
     dealt = bits.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "payload")
-    dealt.mapInArrow(to_segments, SEGMENT_ROW).write.option("compression", "none").parquet(f"{folder}/segments")
+    dealt.mapInArrow(tables.released(to_segments), SEGMENT_ROW).write.option("compression", "none").parquet(f"{folder}/segments")
 
 
 SEGMENT_ROW = "shard int, place long, n_ids long, doc_ids array<long>, sizes array<long>, payload binary, blocks binary"
@@ -252,7 +253,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return segments.drop("n_ids").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return segments.drop("n_ids").mapInArrow(tables.released(decode), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digests(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:

@@ -33,7 +33,7 @@ ORDER = 6
 WINDOW = 16
 DISCOUNT = 0.75  # of the shared orders
 CLASS_DISCOUNT = 1.0  # of the class counts: a gram of a single document says no more than its parts
-BLOCK = 4 << 20  # bytes; at most 32,768 texts of a block are told apart
+BLOCK = 2 << 20  # bytes; at most 32,768 texts of a block are told apart
 SLOT_BITS = 22  # ratios are kept by a hash of the expression: 16 MB, whatever was counted
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,10 +63,11 @@ def symbols(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def grams(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each symbol, it and the ORDER - 1 before it in its text as one number; gaps before a text."""
-    padded = np.append(np.zeros(ORDER - 1, np.uint8), marks).astype(np.int64)
+    padded = np.append(np.zeros(ORDER - 1, np.uint8), marks)
     out = np.zeros(len(marks), np.int64)
     for k in range(ORDER):
-        out = (out << 8) | padded[k : k + len(marks)]
+        out <<= 8
+        out |= padded[k : k + len(marks)]
     starts = np.append(0, ends[:-1])
     for k in range(ORDER - 1):  # a text's first symbols have nothing of the text before
         here = starts[starts + k < ends] + k
@@ -90,10 +91,10 @@ def counts(docs: DataFrame) -> DataFrame:
             labels = batch.column("label").fill_null(-1).to_numpy(zero_copy_only=False)
             for first, marks, ends in symbols(_large(batch.column("text"))):
                 codes = grams(marks, ends)
-                number = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-                label = labels[first : first + len(ends)][number]
+                number = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
+                label = labels[first : first + len(ends)].astype(np.int8)[number]
                 # A class counts a gram once a document, so no document speaks for more than one.
-                own = (number % (1 << 15)) << 48 | codes
+                own = (number.astype(np.int64) % (1 << 15)) << 48 | codes
                 for which, seen in ((-1, codes[label < 0]), (0, own[label == 0]), (1, own[label == 1])):
                     if which >= 0:
                         seen = pa.array(seen).unique().to_numpy() & ((1 << 48) - 1)
@@ -102,7 +103,7 @@ def counts(docs: DataFrame) -> DataFrame:
                     none = pa.array(np.zeros(len(code), np.int64))
                     yield pa.RecordBatch.from_arrays([code, n, n if which == 1 else none, n if which == 0 else none], ["code", "n_all", "n_toxic", "n_plain"])
 
-    found = docs.select("text", "label").mapInArrow(count, "code long, n_all long, n_toxic long, n_plain long")
+    found = docs.select("text", "label").mapInArrow(tables.released(count), "code long, n_all long, n_toxic long, n_plain long")
     return found.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n_all", "n_toxic", "n_plain")])
 
 
@@ -162,7 +163,7 @@ def by_slot(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(slot_of(batch.column("code").to_numpy())).cast(pa.int32()), batch.column("ratio").cast(pa.float32())], ["slot", "ratio"])
 
-    found = rows.mapInArrow(slots, "slot int, ratio float")
+    found = rows.mapInArrow(tables.released(slots), "slot int, ratio float")
     return found.groupBy("slot").agg(F.max_by("ratio", F.struct(F.abs("ratio"), "ratio")).alias("ratio"))
 
 
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), batch.column("label")], ["peak", "mean", "label"])
 
     known = texts.join(chosen.where(F.col("fold") == CALIBRATION_FOLD), "doc_id").select("text", "label")
-    known = known.mapInArrow(evidence, "peak double, mean double, label int").where(~F.isnan("peak")).orderBy("label", "peak", "mean").toPandas()
+    known = known.mapInArrow(tables.released(evidence), "peak double, mean double, label int").where(~F.isnan("peak")).orderBy("label", "peak", "mean").toPandas()
     y = known["label"].to_numpy()
     both = 0 < y.sum() < len(y)
     return Model(table, tuple(fit_logistic(known[["peak", "mean"]].to_numpy(), y).tolist()) if both else None)
@@ -238,7 +239,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.where(logit > -500, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0))], ["doc_id", "held_out", "score"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (tables.fold_of() == 0).alias("held_out"), tables.text_of().alias("text"))
-    scored = texts.mapInArrow(judge, "doc_id long, held_out boolean, score double")
+    scored = texts.mapInArrow(tables.released(judge), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
@@ -252,4 +253,4 @@ def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataF
             logit = model.logit(own.evidence(_large(batch.column("text").cast(pa.string()).fill_null(""))))
             yield batch.filter(pa.array(logit < 0))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tables.released(clean), docs.schema)
