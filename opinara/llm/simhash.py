@@ -227,7 +227,11 @@ def first_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     Of rows with that id and different texts the one with the smallest text_key stays, of rows equal
     in both any one. A component without ids keeps one row by the same rule.
     """
-    found = classes(docs, distance)
+    return least_rows(docs, classes(docs, distance))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row that ``first_of_each`` keeps of each root, from doc_id, text_key and root of all rows."""
     order = F.struct(F.col("doc_id").isNull().alias("_blank"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_key").alias("_key"))
     chosen = found.groupBy("root").agg(F.min(order).alias("least")).select("least.*")
     keys = ["_blank", "_id", "_key"]

@@ -1,0 +1,67 @@
+import numpy as np
+import pytest
+
+from opinara.llm import nearcopies
+from opinara.llm.components import components
+
+
+def pieces(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1))}
+
+
+def roots(texts):
+    """Of each text the first that it is joined with, by comparing all pairs."""
+    sets, own = [pieces(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both / (len(sets[i]) + len(sets[j]) - both) >= 0.8 and own[i] != own[j]:
+                low, high = sorted((own[i], own[j]))
+                own = [low if r == high else r for r in own]
+    return own
+
+
+def copies():
+    """Texts with chains of copies, some words of each exchanged, about one phrase that is everywhere."""
+    draw = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = ["", " \n", None, "one two", "One  two", "one"]
+    for _ in range(14):
+        text = draw.choice(words, int(draw.integers(6, 150))).tolist()
+        for _ in range(9):
+            texts.append(" ".join([*text, "all rights reserved by the owner of this page"]))
+            for at in draw.integers(0, len(text), int(draw.integers(0, 4))):
+                text[at] = str(draw.choice(words))
+    return texts
+
+
+def test_a_stage_keeps_one_of_near_copies(spark):
+    import corpus_pipeline
+
+    base = np.random.default_rng(2).choice([f"w{k}" for k in range(900)], 100).tolist()
+    near = [*base[:30], "x", *base[31:70], "y", *base[71:]]  # 86 of 106 shingles, 11 bits of a fingerprint apart
+    far = [*base[:20], "x", *base[21:50], "y", *base[51:80], "z", *base[81:]]  # 81 of 111
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate((base, near, far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+
+
+@pytest.mark.parametrize("common", [4, 1 << 30])
+def test_classes_against_all_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(nearcopies, "COMMON", common)
+    texts = copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = {}
+    for r in nearcopies.classes(docs).collect():
+        least.setdefault(r.root, []).append(r.doc_id)
+    got = {k: min(ids) for ids in least.values() for k in ids}
+    want = roots(texts)
+    assert len(set(want)) > 20 and [got[k] for k in range(len(texts))] == want
+    assert sorted(r.doc_id for r in nearcopies.first_of_each(docs).collect()) == sorted(set(want))
+
+
+def test_odd_rows_of_near_copies(odd, none):
+    kept = nearcopies.first_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id or 0, len(r.text)) for r in kept.collect()) == [(0, 1), (1, 0), (3, 5), (3, 10), (4, 500_000), (6, 300)]
+    assert nearcopies.classes(none).count() == 0 and nearcopies.first_of_each(none).count() == 0
