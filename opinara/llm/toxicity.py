@@ -34,7 +34,7 @@ WINDOW = 16
 DISCOUNT = 0.75  # of the shared orders
 CLASS_DISCOUNT = 1.0  # of the class counts: a gram of a single document says no more than its parts
 BLOCK = 2 << 20  # bytes; at most 32,768 texts of a block are told apart
-SLOT_BITS = 22  # ratios are kept by a hash of the expression: 16 MB, whatever was counted
+PART = 1 << 21  # ratios of a broadcast part: 24 MB, and up to 17 MB to find them
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 #: A byte's symbol: gap 0, letters 1 to 26, other bytes by their value; eight bits each.
@@ -76,7 +76,8 @@ def grams(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def slot_of(codes: np.ndarray) -> np.ndarray:
-    return ((codes.astype(np.uint64) * _P) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    """Keys in scattered order; the factor is odd, so no two codes share one."""
+    return codes.astype(np.uint64) * _P
 
 
 def _large(texts: pa.Array) -> pa.Array:
@@ -117,7 +118,7 @@ def _context(column: str = "code") -> Column:
 
 
 def ratios(counted: DataFrame) -> DataFrame:
-    """slot and log ratio (toxic to plain) of the grams that a class has seen, and of contexts.
+    """code and log ratio (toxic to plain) of the grams that a class has seen, and of contexts.
 
     A gram's ratio is log p(symbol | context, toxic) - log p(symbol | context, plain). A context's,
     under code -1 - context, is for any symbol that neither class has seen there.
@@ -156,32 +157,82 @@ def ratios(counted: DataFrame) -> DataFrame:
     return rows
 
 
-def by_slot(rows: DataFrame) -> DataFrame:
-    """slot and ratio: of the expressions in a slot the strongest counts. At most 2 ** SLOT_BITS rows."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slot_of(batch.column("code").to_numpy())).cast(pa.int32()), batch.column("ratio").cast(pa.float32())], ["slot", "ratio"])
-
-    found = rows.mapInArrow(tables.released(slots), "slot int, ratio float")
-    return found.groupBy("slot").agg(F.max_by("ratio", F.struct(F.abs("ratio"), "ratio")).alias("ratio"))
+def in_parts(rows: DataFrame) -> list[Broadcast]:
+    """All ratios by key, in order of the keys, as broadcast parts of at most PART; one at least."""
+    found = rows.select("code", F.col("ratio").cast("float")).toArrow()
+    keys = slot_of(found["code"].to_numpy())
+    order = np.argsort(keys)
+    keys, values = keys[order], found["ratio"].to_numpy()[order]
+    return [rows.sparkSession.sparkContext.broadcast((keys[k : k + PART], values[k : k + PART])) for k in range(0, max(len(keys), 1), PART)]
+
+
+class Ratios:
+    """Ratios by sorted keys, found by where the leading bits of a key start."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        if len(keys):
+            span = int(keys[-1]) - int(keys[0])
+            self.shift = np.uint64(max(span.bit_length() - (len(keys) - 1).bit_length(), 0))
+            slots = ((keys - keys[0]) >> self.shift).astype(np.int64)
+            self.starts = np.append(0, np.cumsum(np.bincount(slots))).astype(np.int32)
+
+    def find(self, keys: np.ndarray, out: np.ndarray) -> None:
+        """Write the ratios of the keys that are here; nothing is written for others."""
+        if not len(self.keys):
+            return
+        row = np.flatnonzero((keys >= self.keys[0]) & (keys <= self.keys[-1]))
+        slots = ((keys[row] - self.keys[0]) >> self.shift).astype(np.int64)
+        at, stop = self.starts[slots], self.starts[slots + 1]
+        on = at < stop
+        while on.any():
+            row, at, stop = row[on], at[on], stop[on]
+            hit = self.keys[at] == keys[row]
+            out[row[hit]] = self.values[at[hit]]
+            at = at + 1
+            on = ~hit & (at < stop)
 
 
 class Scorer:
-    """Evidence in texts from a table of ratios by slot."""
+    """Evidence in texts from ratios by key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        own = Ratios(keys[order], values[order])
+        self.parts = lambda: iter([own])
+
+    @classmethod
+    def of(cls, parts: list[Broadcast]) -> Scorer:
+        """A single part is held, of several one at a time."""
+        if len(parts) == 1:
+            return cls(*parts[0].value)
+
+        def each() -> Iterator[Ratios]:
+            for part in parts:
+                own = Ratios(*part.value)
+                if getattr(part, "_path", None):  # a worker reads it again from its file
+                    part.__dict__.pop("_value", None)
+                yield own
+
+        out = cls(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+        out.parts = each
+        return out
 
-    def __init__(self, slots: np.ndarray, values: np.ndarray) -> None:
-        self.table = np.full(1 << SLOT_BITS, np.nan, np.float32)
-        self.table[slots] = values
+    def ratios(self, codes: np.ndarray) -> np.ndarray:
+        """The ratio of each code, NaN where there is none."""
+        keys, out = slot_of(codes), np.full(len(codes), np.nan, np.float32)
+        for part in self.parts():
+            part.find(keys, out)
+        return out
 
     def evidence(self, texts: pa.Array) -> np.ndarray:
         """Of each text, the largest mean ratio of a stretch and the mean ratio of all characters; NaN without letters."""
         out = np.zeros((len(texts), 2))
         for first, marks, ends in symbols(texts):
             codes = grams(marks, ends)
-            ratio = self.table[slot_of(codes)]
+            ratio = self.ratios(codes)
             new = np.flatnonzero(np.isnan(ratio))
-            ratio[new] = np.nan_to_num(self.table[slot_of(-1 - (codes[new] >> 8))])
+            ratio[new] = np.nan_to_num(self.ratios(-1 - (codes[new] >> 8)))
             total = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
             starts = np.append(0, ends[:-1])
             sizes = ends - starts
@@ -196,9 +247,9 @@ class Scorer:
 
 
 class Model(NamedTuple):
-    """Ratios by slot, broadcast, and the weights of peak, mean and constant; no weights: nothing is known."""
+    """Ratios in broadcast parts, and the weights of peak, mean and constant; no weights: nothing is known."""
 
-    table: Broadcast
+    table: list[Broadcast]
     weights: tuple[float, float, float] | None
 
     def logit(self, seen: np.ndarray) -> np.ndarray:
@@ -212,11 +263,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_of().alias("text"))
     labelled = texts.join(chosen, "doc_id", "left")
     counted = tables.stored(counts(labelled.withColumn("label", F.when(F.col("fold") != CALIBRATION_FOLD, F.col("label")))), "gram-counts")
-    found = by_slot(ratios(counted)).toArrow()
-    table = docs.sparkSession.sparkContext.broadcast((found["slot"].to_numpy(), found["ratio"].to_numpy()))
+    table = in_parts(ratios(counted))
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(*table.value)
+        own = Scorer.of(table)
         for batch in batches:
             seen = own.evidence(_large(batch.column("text")))
             yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), batch.column("label")], ["peak", "mean", "label"])
@@ -233,7 +283,7 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Data
     model = fit(docs, labels, limit)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(*model.table.value)
+        own = Scorer.of(model.table)
         for batch in batches:
             logit = model.logit(own.evidence(_large(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.where(logit > -500, 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0))], ["doc_id", "held_out", "score"])
@@ -248,7 +298,7 @@ def keep(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataF
     model = fit(docs, labels, limit)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(*model.table.value)
+        own = Scorer.of(model.table)
         for batch in batches:
             logit = model.logit(own.evidence(_large(batch.column("text").cast(pa.string()).fill_null(""))))
             yield batch.filter(pa.array(logit < 0))
