@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontamination, encoding, packing, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
+from opinara.llm import decontamination, encoding, packing, periodic, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(tables.table(spark, sf_dir, "pages"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find(periodic.with_loops(tables.table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
+    "op11_periodic": op11_periodic,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.REPORT_SQL,
