@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontamination, encoding, packing, periodic, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
+from opinara.llm import decontamination, encoding, lexical, packing, periodic, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.find(periodic.with_loops(tables.table(spark, sf_dir, "documents"))))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -70,8 +74,10 @@ QUERIES: dict[str, Query] = {
     "op9_url_filters": op9_url_filters,
     "op10_warc": op10_warc,
     "op11_periodic": op11_periodic,
+    "op12_lexical": op12_lexical,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.REPORT_SQL,
     "op10_warc": warc.ARCHIVE_SQL,
+    "op12_lexical": lexical.SEARCH_SQL,
 }
