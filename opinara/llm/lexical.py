@@ -154,9 +154,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stratified(counted: DataFrame, documents: int, words: int) -> DataFrame:
     """The index: one row for each block of a stratum, from what ``count_terms`` gives."""
-    dealt = counted.where("n > 0").withColumn("m", F.expr(f"10L + (90L * n * {documents}L) div {words}L")).where(F.size("terms") > 0)
+    # A row's number, not its content, so that repeated rows spread over blocks too.
+    numbered = counted.withColumn("_row", F.monotonically_increasing_id())
+    dealt = numbered.where("n > 0").withColumn("m", F.expr(f"10L + (90L * n * {documents}L) div {words}L")).where(F.size("terms") > 0)
     blocks = dealt.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("blocks"))
-    dealt = dealt.join(blocks, "m").withColumn("block", F.pmod(F.xxhash64("doc_id", "terms", "tfs"), F.col("blocks"))).drop("blocks")
+    dealt = dealt.join(blocks, "m").withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks"))).drop("blocks", "_row")
     dealt = dealt.repartition("m", "block").sortWithinPartitions("m", "block")
     return tables.stored(dealt.mapInArrow(tables.released(_blocks), BLOCK), "lexical-index")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import decontamination, encoding, lexical, packing, periodic, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
+from opinara.llm import decontamination, encoding, lattice, lexical, packing, periodic, quality, rules, sharding, simhash, tables, token_files, toxicity, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(tables.table(spark, sf_dir, "documents"), tables.table(spark, sf_dir, "benchmark"))
 
 
+def op13_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.classes(tables.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
     "op11_periodic": op11_periodic,
     "op12_lexical": op12_lexical,
+    "op13_lattice": op13_lattice,
 }
 ORACLES: dict[str, str] = {
     "op5_quality_rules": rules.REPORT_SQL,
