@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes all that the one before has kept, as a table written and read again. Four stages
-return documents with the columns they came with, the last returns packed pieces. Null and empty texts
+return documents with the columns they came with, the last returns packed pieces with their token ids. Null and empty texts
 fail the quality rules; rows without an id and repeated rows pass through the stages like others, but
 of equal rows near-duplicate removal keeps one. An empty table gives an empty result.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opinara.llm import decontamination, encoding, nearcopies, packing, rules, tables, toxicity
+from opinara.llm import decontamination, encoding, packing, rules, simhash, tables, toxicity
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return nearcopies.first_of_each(docs)
+    return simhash.first_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, encoding.tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, encoding.tokenizer_file("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = b" \t\n\v\f\r"
-CACHED_PIECES = 250_000  # pieces a worker remembers, some 50 MB; beyond it keeps those met in several blocks
-RESTING_PIECES = 60_000  # of these it keeps between tasks
+CACHED_PIECES = 250_000  # pieces a worker remembers, some 50 MB; beyond it keeps the more frequent half
+RESTING_PIECES = 150_000  # of these it keeps between tasks, again the most frequent
 JOINED_PIECES = 64
 BLOCK_BYTES = 8 << 20  # text handled at once; a longer text is a block of its own
 #: A piece that may be joined with others: an optional space, then printable ASCII or Latin letters.
@@ -82,7 +82,7 @@ class Encoder:
         self.slots: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 18, np.int64)
-        self.blocks = np.zeros(1 << 18, np.int32)  # in how many blocks a piece was met
+        self.uses = np.zeros(1 << 18, np.int64)  # how often a piece was met; older uses weigh less
         self.known = 0
 
     def rest(self) -> None:
@@ -91,21 +91,19 @@ class Encoder:
             self._forget(RESTING_PIECES)
 
     def _forget(self, most: int) -> None:
-        """Keep the pieces met most often, so many at most."""
-        blocks = self.blocks[: self.known]
-        least = 2
-        while np.count_nonzero(blocks >= least) > most:
-            least += 1
-        stay = np.flatnonzero(blocks >= least)
+        """Keep the pieces met most often, so many at most; what they were met counts half from now on."""
+        uses = self.uses[: self.known]
+        stay = np.sort(np.argpartition(-uses, most - 1)[:most]) if self.known > most else np.arange(self.known)
         names = list(self.slots)
         ends = self.ends[: self.known]
         begins = np.append(0, ends[:-1])
         sizes = (ends - begins)[stay]
         upto = np.cumsum(sizes)
         ids = self.ids[np.repeat(begins[stay] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+        uses = uses[stay] // 2
         self._start()
         self._grow(len(ids), len(stay))
-        self.ids[: len(ids)], self.ends[: len(stay)] = ids, upto
+        self.ids[: len(ids)], self.ends[: len(stay)], self.uses[: len(stay)] = ids, upto, uses
         self.slots = {names[k]: n for n, k in enumerate(stay.tolist())}
         self.known = len(stay)
 
@@ -114,7 +112,7 @@ class Encoder:
             self.ids = np.append(self.ids, np.zeros(max(len(self.ids), ids), np.uint32))
         if pieces > len(self.ends):
             more = max(len(self.ends), pieces)
-            self.ends, self.blocks = np.append(self.ends, np.zeros(more, np.int64)), np.append(self.blocks, np.zeros(more, np.int32))
+            self.ends, self.uses = np.append(self.ends, np.zeros(more, np.int64)), np.append(self.uses, np.zeros(more, np.int64))
 
     def _learn(self, pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
@@ -161,7 +159,7 @@ class Encoder:
         if new := [p for p in distinct if p not in self.slots]:
             self._learn(new)
         slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))
-        self.blocks[slot] += 1
+        self.uses[slot] += np.bincount(index, minlength=len(slot))
         ends = self.ends[slot]
         begins = np.where(slot > 0, self.ends[slot - 1], 0)
         sizes = (ends - begins)[index]

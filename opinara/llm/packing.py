@@ -87,8 +87,8 @@ def improve(bins: list[list[int]], lengths: Sequence[int], size: int) -> list[li
 
     One step takes the best move out of a bin, the donor: one or two of its documents go to another
     bin, against nothing or one shorter document, such that they fit and squared fills gain. Each
-    round offers all bins, emptier ones first, and a donor moves as long as it can; a round that
-    empties no bin is the last.
+    round offers all bins, emptier ones first, and a donor moves as long as it can; a round without
+    a move is the last, as is one that reaches the least number of bins there can be.
     """
     least = max(-(-sum(lengths) // size), sum(2 * x > size for x in lengths))
     full = [b for b in bins if sum(lengths[k] for k in b) == size]
@@ -101,12 +101,13 @@ def improve(bins: list[list[int]], lengths: Sequence[int], size: int) -> list[li
     # What can come back for a donor's documents: each document of a loose bin, or nothing.
     back = np.append(np.array(lengths, np.int64)[docs], np.zeros(len(loose), np.int64))
     place = np.append(np.repeat(np.arange(len(loose)), [len(b) for b in loose]), np.arange(len(loose)))
-    used, before = len(bins), len(bins) + 1
-    while least < used < before:
-        before = used
+    used, moved = len(bins), True
+    while moved and used > least:
+        moved = False
         for donor in np.argsort(fills, kind="stable").tolist():
             while loose[donor] and fills[donor] < size and (move := _best_move(loose[donor], lengths, fills, back, place, donor, size)):
                 out, choice, gain = move
+                moved = True
                 target = int(place[choice])
                 for k in out:
                     loose[donor].remove(k)
@@ -176,15 +177,13 @@ def pack(cut: DataFrame, size: int = SIZE, group: int = GROUP) -> DataFrame:
     return packed.unionByName(whole)
 
 
-def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:
-    """sequence_id, ids: the joined pieces of every sequence, in the order of their offsets."""
-    keys = ["doc_id", "piece", "start", "length"]
-    ordered = packed.select(*keys, "sequence_id", "offset").join(cut, keys)
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id and ids: the pieces of every sequence joined in the order of their offsets, from packed rows with ids."""
     joined = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return ordered.groupBy("sequence_id").agg(F.aggregate(joined, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(joined, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of all documents."""
-    digests = pieces(docs, tokenizer, size, end_id).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(tables.stored(digests, "pieces"), size)
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of all documents; its ids if wanted."""
+    columns = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * with_ids]
+    return pack(tables.stored(pieces(docs, tokenizer, size, end_id).select(*columns), "pieces"), size)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +54,9 @@ def borders(df: DataFrame, column: str, pieces: int) -> list[int]:
     return sorted(int(x) for x in found)
 
 
-def piece_of(value: int | None, cut: Sequence[int], spread: int) -> int:
-    """The piece of a value; copies of a value that fills several pieces go to all of these."""
-    if value is None:
-        return 0
-    low, high = bisect.bisect_left(cut, value), bisect.bisect_right(cut, value)
-    return low + spread % (high - low) if high > low else low
+def pieces_of(values: pa.Array, cut: Sequence[int], spread: int) -> np.ndarray:
+    """The piece of each value; copies of a value that fills several pieces go to all of these by turns."""
+    numbers = values.fill_null(0).to_numpy()
+    low, high = (np.searchsorted(np.array(cut, np.int64), numbers, side) for side in ("left", "right"))
+    place = low + (spread + np.arange(len(numbers))) % np.maximum(high - low, 1)
+    return np.where(values.is_null().to_numpy(zero_copy_only=False), 0, place)

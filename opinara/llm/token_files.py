@@ -32,27 +32,51 @@ END_ID = 2
 MAX_BITS = 16
 
 
+def binaries(data: bytes | np.ndarray, edges: np.ndarray) -> pa.Array:
+    """Neighbouring pieces of some bytes as binary values."""
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
+    return packed.cast(pa.binary())
+
+
+def _flat(values: pa.Array) -> np.ndarray:
+    """The bytes of all binary values, one after the other; there are no nulls."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every document."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and tally of every document.
+
+    The tally is null but in the last row of each task, which has how often each id occurs in all
+    rows of the task, as little-endian 64-bit numbers.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
+        total, waiting = np.zeros(0, np.int64), None
+
+        def out(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray, last: bool) -> pa.RecordBatch:
+            tally = [None] * (len(counts) - 1) + [total.astype("<i8").tobytes() if last else None]
+            columns = [doc_ids, pa.array(counts, pa.int64()), binaries(ids.astype("<u4").tobytes(), np.append(0, np.cumsum(counts) * 4)), pa.array(tally, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "tally"])
+
         for batch in batches:
             for first, ids, counts in own.texts(batch.column("text")):
                 if end_id is not None:
-                    ends = np.cumsum(counts)
-                    ids = np.insert(ids, ends, end_id)
+                    ids = np.insert(ids, np.cumsum(counts), end_id)
                     counts = counts + 1
-                edges = np.append(0, np.cumsum(counts) * 4)
-                data = pa.py_buffer(ids.astype("<u4").tobytes())
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int64)), data])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(counts)), pa.array(counts, pa.int64()), packed.cast(pa.binary())], ["doc_id", "n_tokens", "ids"]
-                )
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                if waiting:
+                    yield out(*waiting, False)
+                waiting = (batch.column("doc_id").slice(first, len(counts)), counts, ids)
+        if waiting:
+            yield out(*waiting, True)
         own.rest()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tables.text_of().alias("text"))
-    return narrow.mapInArrow(tables.released(encode), "doc_id long, n_tokens long, ids binary")
+    return narrow.mapInArrow(tables.released(encode), "doc_id long, n_tokens long, ids binary, tally binary")
 
 
 def id_counts(ids: DataFrame) -> dict[int, int]:
@@ -61,14 +85,14 @@ def id_counts(ids: DataFrame) -> dict[int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                found = np.bincount(np.frombuffer(value.as_buffer(), "<u4"), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            for value in batch.column("tally"):
+                own = np.frombuffer(value.as_buffer(), "<i8")
+                total = np.append(total, np.zeros(max(len(own) - len(total), 0), np.int64))
+                total[: len(own)] += own
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    summed = ids.select("ids").mapInArrow(tables.released(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = ids.select("tally").where("tally IS NOT NULL").mapInArrow(tables.released(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {row.id: row.n for row in summed.collect()}
 
 
@@ -165,25 +189,27 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     def to_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Code(code.value, max_bits), 0
         for batch in batches:
-            doc_ids, sizes = batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            doc_ids, sizes = batch.column("doc_id"), batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            shard = tables.pieces_of(doc_ids, cut, seen)
+            upto = np.cumsum(sizes)
             first = 0
             while first < len(doc_ids):
-                last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), SEGMENT, "right")) + first)
-                values = batch.column("ids").slice(first, last - first)
-                flat = np.frombuffer(b"".join(v.as_buffer() for v in values), "<u4")
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] - sizes[first] + SEGMENT, "right")))
+                flat = _flat(batch.column("ids").slice(first, last - first)).view("<u4")
                 payload, edges, offsets, per_doc = own.encode(flat, sizes[first:last])
                 to = np.append(0, np.cumsum(per_doc))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([tables.piece_of(d, cut, seen + k) for k, d in enumerate(doc_ids[first:last])], pa.int32()),
-                        pa.array(doc_ids[first:last], pa.int64()),
+                        pa.array(shard[first:last], pa.int32()),
+                        doc_ids.slice(first, last - first),
                         pa.array(sizes[first:last], pa.int64()),
-                        pa.array([payload[a:b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
-                        pa.array([offsets[a:b].astype("<i8").tobytes() for a, b in zip(to, to[1:], strict=False)], pa.binary()),
+                        binaries(payload, edges),
+                        binaries(offsets.astype("<i8").tobytes(), to * 8),
                     ],
                     ["shard", "doc_id", "n_tokens", "payload", "blocks"],
                 )
-                seen, first = seen + last - first, last
+                first = last
+            seen += len(doc_ids)
 
     def to_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, place, held, size = -1, 0, [], 0
@@ -206,7 +232,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if held:
             yield flush()
 
-    bits = ids.mapInArrow(tables.released(to_bits), "shard int, doc_id long, n_tokens long, payload binary, blocks binary")
+    bits = ids.drop("tally").mapInArrow(tables.released(to_bits), "shard int, doc_id long, n_tokens long, payload binary, blocks binary")
     dealt = bits.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n_tokens", "payload")
     dealt.mapInArrow(tables.released(to_segments), SEGMENT_ROW).write.option("compression", "none").parquet(f"{folder}/segments")
 
@@ -242,13 +268,12 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 in_block[np.cumsum(per_doc)[filled] - 1] = counts[filled] - (per_doc[filled] - 1) * BLOCK
                 ids = own.decode(payload, np.frombuffer(blocks, "<i8"), in_block)
                 edges = np.append(0, np.cumsum(counts))
-                data = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
                         pa.array(edges[:-1] + base[shard] + place, pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.array([data[4 * a : 4 * b] for a, b in zip(edges, edges[1:], strict=False)], pa.binary()),
+                        binaries(ids.astype("<u4").tobytes(), edges * 4),
                     ],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )

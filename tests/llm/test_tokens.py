@@ -105,14 +105,36 @@ def test_pieces_and_places(small, odd):
         assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 1
 
 
-def test_sequences_hold_the_ids(small):
-    docs = small["documents"].where("doc_id < 20")
-    cut = packing.pieces(docs, encoding.tokenizer_file("byte_bpe_50k.json"))
-    packed = packing.pack(cut.drop("ids"))
-    rows = {r.sequence_id: bytes(r.ids) for r in packing.sequences(cut, packed).collect()}
-    ids = {(r.doc_id, r.piece): bytes(r.ids) for r in cut.collect()}
-    for r in packed.collect():
-        assert rows[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == ids[r.doc_id, r.piece]
+def test_sequences_hold_the_ids(spark, small):
+    # Repeated ids and rows are documents of their own.
+    docs = small["documents"].where("doc_id < 20").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id < 4")).unionByName(spark.createDataFrame([(1, "other words"), (None, None)], docs.schema))
+    packed = packing.pack_documents(docs, encoding.tokenizer_file("byte_bpe_50k.json"), with_ids=True)
+    rows = {r.sequence_id: bytes(r.ids) for r in packing.sequences(packed).collect()}
+    got = packed.collect()
+    for r in got:
+        assert rows[r.sequence_id][4 * r.offset : 4 * (r.offset + r.length)] == bytes(r.ids)
+    assert sum(map(len, rows.values())) == 4 * sum(r.length for r in got)
+    encoder = encoding.encoder(encoding.tokenizer_file("byte_bpe_50k.json"))
+    whole = sorted(sum((encoder.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in docs.collect()), []))
+    assert sorted(np.frombuffer(b"".join(rows.values()), "<u4").tolist()) == whole
+
+
+def test_encoder_keeps_frequent_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(encoding, "RESTING_PIECES", 50)
+    own = encoding.Encoder(encoding.tokenizer_file("byte_bpe_50k.json"))
+    text = " ".join(["often"] * 9 + [f"word{k}" for k in range(300)])
+    expected = own.tokenizer.encode(text, add_special_tokens=False).ids
+    for _ in range(3):
+        (_, ids, counts), = own.texts(pa.array([text]))
+        assert ids.tolist() == expected and counts.tolist() == [len(expected)]
+        own.rest()
+        assert own.known == 50 == len(own.slots) and b" often" in own.slots
+    uses = own.uses[own.slots[b" often"]]
+    own.rest()
+    assert own.known == 50 and own.uses[own.slots[b" often"]] == uses
 
 
 @pytest.mark.parametrize("low,high", [(300, 1500), (900, 2047), (600, 800)])
