@@ -7,12 +7,14 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from opinara.functions.binding import let
 from opinara.schema import FALLBACK_SCOPE, UNKNOWN_WEEK
 
 # The forms that Python's datetime.fromisoformat takes (fixed by the standard): calendar and week
 # dates, extended or compact, alone or followed by a separator, a time of day and an offset.
 _DAY = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?)"
 _CLOCK = r"([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d+)?)?|[0-5]\d([0-5]\d([.,]\d+)?)?)?"
+PLAIN_DATE = r"^\d{4}-\d{2}-\d{2}$"
 ISO_DATE = rf"^{_DAY}([^0-9]{_CLOCK}(Z|[+-]\d{{2}}(:?\d{{2}}(:?\d{{2}})?)?)?)?$"
 
 
@@ -23,16 +25,25 @@ def week_start(label: Column) -> Column:
     return F.date_add(first, (week - 1) * 7)
 
 
+def _other_form(text: Column) -> Column:
+    """The date of an ISO string in any form; each intermediate value is named, so that it is worked out once."""
+
+    def by_week(digits: Column) -> Column:
+        label = F.concat(F.substring(digits, 1, 4), F.lit("-"), F.substring(digits, 5, 3))
+        weekday = F.coalesce(F.substring(digits, 8, 1).try_cast("int"), F.lit(1))
+        # A week that its year doesn't have would be the next year's.
+        return let(F.date_add(week_start(digits), weekday - 1), lambda day: F.when((week_of(day) == label) & ~digits.startswith("0000"), day))
+
+    def by_digits(digits: Column) -> Column:
+        return F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
+
+    found = F.replace(F.regexp_extract(text, ISO_DATE, 1), F.lit("-"))
+    return let(found, lambda digits: F.when(F.contains(digits, F.lit("W")), by_week(digits)).when(digits != "", by_digits(digits)))
+
+
 def iso_date(text: Column) -> Column:
     """The calendar date of an ISO string, null when blank or invalid."""
-    day = F.regexp_extract(text, ISO_DATE, 1)
-    digits = F.regexp_replace(day, "-", "")
-    plain = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
-    weekday = F.coalesce(F.regexp_extract(digits, r"W\d{2}([1-7])", 1).try_cast("int"), F.lit(1))
-    by_week = F.date_add(week_start(digits), weekday - 1)
-    number = F.regexp_extract(digits, r"W(\d{2})", 1)
-    real = (week_of(by_week) == F.concat(F.substring(digits, 1, 4), F.lit("-W"), number)) & (F.substring(digits, 1, 4) != "0000")
-    return F.when(day == "", None).when(F.contains(day, F.lit("W")), F.when(real, by_week)).otherwise(plain)
+    return F.when(F.rlike(text, F.lit(PLAIN_DATE)), text.try_cast("date")).otherwise(_other_form(text))
 
 
 def week_of(day: Column) -> Column:
@@ -42,7 +53,9 @@ def week_of(day: Column) -> Column:
 
 
 def week_label(text: Column) -> Column:
-    return F.coalesce(week_of(iso_date(text)), F.lit(UNKNOWN_WEEK))
+    """The ISO week of an ISO string; nearly all are plain dates, whose week is compiled code."""
+    plain = F.when(F.rlike(text, F.lit(PLAIN_DATE)), week_of(text.try_cast("date")))
+    return F.coalesce(plain.otherwise(let(_other_form(text), week_of)), F.lit(UNKNOWN_WEEK))
 
 
 def parse_iso(value: str) -> date:
