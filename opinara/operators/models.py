@@ -12,12 +12,10 @@ from functools import reduce
 import numpy as np
 from pyspark.ml import Model
 from pyspark.ml.classification import (
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
-    OneVsRest,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -25,6 +23,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.vectors import DenseWeights, dense_forward
 from opinara.functions.scores import argmax, asymmetric_rule, label_id, margin
+from opinara.operators import boosting
 from opinara.operators.evaluation import confusion, overall
 from opinara.operators.ranking import hash_key, resident, small_side
 from opinara.operators.splits import class_weights, row_weights, sized_sample
@@ -149,28 +148,14 @@ def by_weights(weights: DenseWeights) -> Predictor:
     return predict
 
 
-def boosted_trees(train: DataFrame, trees: int = 300, depth: int = 6, step: float = 0.1, seed: int = 42) -> Predictor:
-    """One boosted ensemble per class; class scores become probabilities through a softmax."""
-    data = _prepared(train)
-    try:
-        base = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)
-        model = OneVsRest(classifier=base, featuresCol="vec", labelCol="y", weightCol="weight").fit(data)
-    finally:
-        data.unpersist()
-    return _one_vs_rest(model.models)
-
+def boosted_trees(train: DataFrame, trees: int = 300, depth: int = 6, step: float = 0.1) -> Predictor:
+    """One boosted softmax ensemble over all classes."""
+    rows = _weighted(train).select("features", label_id(F.col("label")).alias("y"), "weight")
+    model = boosting.fit(rows, len(LABELS), trees, depth, step)
 
-def _one_vs_rest(models: Sequence[Model]) -> Predictor:
     def predict(rows: DataFrame) -> DataFrame:
-        scored = _vectors(rows)
-        for c, model in enumerate(models):
-            model.setFeaturesCol("vec").setPredictionCol(f"_p{c}").setRawPredictionCol(f"_r{c}")
-            if hasattr(model, "setProbabilityCol"):
-                model.setProbabilityCol(f"_q{c}")
-            scored = model.transform(scored)
-        odds = [F.exp(vector_to_array(f"_r{c}")[1]) for c in range(len(models))]
-        total = reduce(lambda a, b: a + b, odds)
-        return _tabulate(scored, F.array(*[o / total for o in odds]))
+        score = boosting.probabilities(rows.sparkSession, model)
+        return _tabulate(_vectors(rows).withColumn("_p", score(F.col("features"))), F.col("_p"))
 
     return predict
 
