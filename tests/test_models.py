@@ -38,11 +38,6 @@ def test_models_learn(halves, fit):
     assert predictions.filter(F.abs(total - 1) > 1e-6).isEmpty() and predictions.count() == test.count()
 
 
-def test_balancing_repeats_rare_rows(halves):
-    counts = {r["label"]: r["count"] for r in M._balanced(halves[0], 1).groupBy("label").count().collect()}
-    assert max(counts.values()) < 1.25 * min(counts.values())
-
-
 def quick(train):
     return M.logistic(train, max_iter=5)
 
@@ -106,10 +101,3 @@ def test_trained_weights_reach_the_scorer(spark, tmp_path):
     other, _ = M.trained(train, hidden=(5,), max_iter=1)
     kept = tables.read_weights(spark, path)
     assert [w.shape for w, _ in kept.layers] == [(4, 6), (6, 4), (4, 3)]
-
-
-def test_many_copies_of_one_row_are_dealt_out(spark, monkeypatch):
-    monkeypatch.setattr(M, "COPIES_PER_CHUNK", 10)
-    rows = [(k, "negative" if k else "positive", [float(k)]) for k in range(101)]
-    copied = M._balanced(spark.createDataFrame(rows, "id long, label string, features array<float>"), 1)
-    assert {r.label: r["count"] for r in copied.groupBy("label").count().collect()} == {"negative": 100, "positive": 100}

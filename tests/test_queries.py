@@ -10,8 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 import __spark_entry__ as entry  # noqa: E402
 from tools.check_queries import compare, connect  # noqa: E402
 
-SLOW = {"m9_perceptron", "m10_calibrated_svc", "m11_boosted_trees",
-        "m17_upweight_sweep", "m20_model_comparison", "m21_quality_vs_quantity", "m21_category_curves"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="session")
