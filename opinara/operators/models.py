@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from opinara.functions.vectors import DenseWeights, dense_forward
 from opinara.functions.scores import argmax, asymmetric_rule, label_id, margin
-from opinara.operators import boosting, network
+from opinara.operators import boosting, linear, network
 from opinara.operators.evaluation import confusion, overall
-from opinara.operators.ranking import hash_key, resident
-from opinara.operators.splits import class_weights, row_weights, sized_sample
+from opinara.operators.ranking import hash_key, resident, small_side, with_hash_cuts
+from opinara.operators.splits import class_weights, row_weights
 from opinara.schema import LABELS, NEGATIVE_RECALL_FLOOR
 from opinara.session import cut
 
@@ -200,32 +200,48 @@ def upweight_sweep(
     )
 
 
-def quality_vs_quantity(
-    verified: DataFrame,
-    raw: DataFrame,
-    test: DataFrame,
-    sizes: Sequence[int],
-    fit: Callable[[DataFrame], Predictor] = logistic,
-    seed: int = 42,
-) -> DataFrame:
-    """Verified rows against raw rows at equal size, raw at ten times the size, and both together."""
+def _measured(fits: dict[int, np.ndarray], test: DataFrame, models: Column) -> DataFrame:
+    """Metrics of each model on the test rows that ``models`` lists it for, by ``model``."""
+    asked = _vectors(test).withColumn("model", F.explode(models))
+    scored = linear.predictions(asked, fits).withColumn("eval_set", F.col("model").cast("string"))
+    return metrics(_tabulate(scored.drop("category"), F.col("probs")), by=["eval_set"]).withColumn("model", F.col("eval_set").cast("int")).drop("eval_set")
+
+
+def _taught(rows: DataFrame, models: Column) -> DataFrame:
+    return rows.select("features", label_id(F.col("label")).alias("y"), F.lit(1.0).alias("weight"), models.alias("models"))
+
+
+def quality_vs_quantity(verified: DataFrame, raw: DataFrame, test: DataFrame, sizes: Sequence[int], max_iter: int = 100, seed: int = 42) -> DataFrame:
+    """Verified rows against raw rows at equal size, raw at ten times the size, and both together.
+
+    Samples are nested, the first rows by hash, and drawn once; all models are fitted in the same passes.
+    """
+    spark = test.sparkSession
     verified, raw = cut(verified), cut(raw)
     n_verified, n_raw = verified.count(), raw.count()
-    out = []
+    named, of_verified, of_raw = [], [], []  # (name, rows); (model, rows it takes)
 
-    def run(name: str, rows: DataFrame, size: int) -> None:
-        scores = metrics(fit(rows)(test))
-        out.append(scores.select(F.lit(name).alias("training"), F.lit(size).cast("long").alias("train_size"), "*"))
+    def add(name: str, from_verified: int, from_raw: int) -> None:
+        of_verified.append((len(named), from_verified))
+        of_raw.append((len(named), from_raw))
+        named.append((len(named), name, from_verified + from_raw))
 
     for size in dict.fromkeys(s for s in [*sizes, n_verified] if s <= n_verified):
-        run("verified_only", sized_sample(verified, size, seed), size)
+        add("verified_only", size, 0)
         if size <= n_raw:
-            run("raw_only", sized_sample(raw, size, seed), size)
-        wide = min(size * 10, n_raw)
-        run("raw_ten_times", sized_sample(raw, wide, seed), wide)
-        extra = min(size, n_raw)
-        run("verified_plus_raw", verified.unionByName(sized_sample(raw, extra, seed)), n_verified + extra)
-    return reduce(DataFrame.unionByName, out)
+            add("raw_only", 0, size)
+        add("raw_ten_times", 0, min(size * 10, n_raw))
+        add("verified_plus_raw", n_verified, min(size, n_raw))
+
+    def with_models(rows: DataFrame, wanted: list[tuple[int, int]]) -> DataFrame:
+        joined, inside = with_hash_cuts(rows, hash_key(F.col("id"), seed), {str(m): F.lit(n) for m, n in wanted})
+        return _taught(joined, F.array_compact(F.array(*[F.when(inside[str(m)], F.lit(m)) for m, n in wanted])))
+
+    taught = with_models(verified, of_verified).unionByName(with_models(raw, of_raw))
+    fits = linear.fit_all(taught, len(named), len(LABELS), max_iter)
+    found = _measured(fits, test, F.array(*[F.lit(m) for m, _, _ in named]))
+    table = spark.createDataFrame(named, "model int, training string, train_size long")
+    return table.join(found, "model").drop("model")
 
 
 def category_curves(
@@ -234,25 +250,30 @@ def category_curves(
     categories: Sequence[str],
     fractions: Sequence[float] = (0.25, 0.5, 0.75, 1.0),
     minimum: tuple[int, int, int] = (200, 50, 50),
-    fit: Callable[[DataFrame], Predictor] = logistic,
+    max_iter: int = 100,
     seed: int = 42,
 ) -> DataFrame:
-    """Macro F1 of a category by training size; ``minimum`` guards train, test and sample sizes."""
+    """Macro F1 of a category by training size; ``minimum`` guards train, test and sample sizes.
+
+    A category's samples are nested, the first rows by hash, and all are drawn at once; all categories and
+    sizes are fitted in the same passes.
+    """
+    spark = train.sparkSession
     min_train, min_test, min_sample = minimum
-    out = []
-    for category in categories:
-        rows, held = train.filter(F.col("category") == category), test.filter(F.col("category") == category)
-        n = rows.count()
-        if n < min_train or held.count() < min_test:
-            continue
-        for fraction in fractions:
-            size = int(n * fraction)
-            if size < min_sample:
-                continue
-            scores = metrics(fit(sized_sample(rows, size, seed))(held))
-            out.append(
-                scores.select(F.lit(category).alias("category"), F.lit(size).cast("long").alias("train_size"), "macro_f1")
-            )
-    if not out:
-        return train.sparkSession.createDataFrame([], "category string, train_size long, macro_f1 double")
-    return reduce(DataFrame.unionByName, out)
+    parts = len(fractions)
+    counts = train.groupBy("category").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_train)
+    held = test.groupBy("category").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= min_test)
+    wanted = set(categories)
+    eligible = [(r.category, k * parts, r.n) for k, r in enumerate(r for r in counts.join(held, "category").orderBy("category").collect() if r.category in wanted)]
+    curves = [(base + j, category, int(n * f)) for category, base, n in eligible for j, f in enumerate(fractions) if int(n * f) >= min_sample]
+    if not curves:
+        return spark.createDataFrame([], "category string, train_size long, macro_f1 double")
+    table = small_side(spark.createDataFrame([(c, base, [int(n * f) >= min_sample for f in fractions]) for c, base, n in eligible], "category string, base int, used array<boolean>"))
+    rows = train.join(table, "category")
+    joined, inside = with_hash_cuts(rows, hash_key(F.col("id"), seed), {str(j): F.floor(F.col("total") * f) for j, f in enumerate(fractions)}, ["category"])
+    own = [F.when(F.col("used")[j] & inside[str(j)], F.col("base") + j) for j in range(parts)]
+    fits = linear.fit_all(_taught(joined, F.array_compact(F.array(*own))), len(eligible) * parts, len(LABELS), max_iter)
+    asked = F.array_compact(F.array(*[F.when(F.col("used")[j], F.col("base") + j) for j in range(parts)]))
+    found = _measured(fits, test.join(table, "category"), asked)
+    sizes = spark.createDataFrame(curves, "model int, category string, train_size long")
+    return sizes.join(found, "model").select("category", "train_size", "macro_f1")

@@ -52,9 +52,9 @@ def test_experiments(spark, halves):
     assert swept["satisfied_floor"] and swept["frozen_recall"] > 0
     blocked = M.upweight_sweep(train, held, registry, factors=(4.0,), floor=1.1, fit=quick).first()
     assert not blocked["satisfied_floor"] and blocked["negative_recall"] is None
-    curve = M.quality_vs_quantity(train.filter("id < 100"), train.filter("id >= 100"), test, sizes=(40,), fit=quick).collect()
+    curve = M.quality_vs_quantity(train.filter("id < 100"), train.filter("id >= 100"), test, sizes=(40,), max_iter=5).collect()
     assert {(r["training"], r["train_size"]) for r in curve} >= {("verified_only", 40), ("raw_only", 40), ("raw_ten_times", 280)}
-    per = M.category_curves(train, test, ["a", "b", "missing"], fractions=(0.5, 1.0), minimum=(50, 10, 10), fit=quick)
+    per = M.category_curves(train, test, ["a", "b", "missing"], fractions=(0.5, 1.0), minimum=(50, 10, 10), max_iter=5)
     assert sorted((r["category"], r["train_size"]) for r in per.collect()) == [("a", 90), ("a", 180), ("b", 90), ("b", 180)]
 
 
