@@ -90,7 +90,7 @@ def x16(spark, folder):
     return scaled.select("id", F.posexplode("v").alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
-HIDDEN = (32, 16)
+HIDDEN = (256, 128)
 ROUNDED = ", ".join(f"round(prob_{name}, 6) AS prob_{name}" for name in LABELS)
 
 

@@ -268,9 +268,9 @@ WHERE place = 1""",
     "forward": (
         ("vectors",),
         f"""SELECT id, category, list_transform(logits, lambda x: exp(x - list_max(logits))) AS e FROM
-(SELECT id, category, {_layer("h2", 16, 3, 2)} AS logits FROM
-  (SELECT id, category, {_relu(_layer("h1", 32, 16, 1))} AS h2 FROM
-    (SELECT id, category, {_relu(_layer("features", 64, 32, 0))} AS h1 FROM vectors)))""",
+(SELECT id, category, {_layer("h2", 128, 3, 2)} AS logits FROM
+  (SELECT id, category, {_relu(_layer("h1", 256, 128, 1))} AS h2 FROM
+    (SELECT id, category, {_relu(_layer("features", 64, 256, 0))} AS h1 FROM vectors)))""",
     ),
     "class_probs": (
         ("forward",),

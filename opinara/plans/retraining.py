@@ -17,7 +17,7 @@ from opinara.sources.tables import write_weights
 
 def verdicts(votes: DataFrame, known_ids: DataFrame, order: list[str]) -> DataFrame:
     flagged = C.flag_sessions(votes)
-    return C.route(C.ballots(flagged, order, ["confidence_margin"]), known_ids)
+    return C.route(C.ballots(flagged, order, ["confidence_margin"]), known_ids.distinct())  # a repeated id must not repeat a verdict
 
 
 def publish(spark: SparkSession, weights: DenseWeights, gate: DataFrame, path: str) -> bool:
