@@ -5,8 +5,9 @@ bytes slide through a chunk two bytes at a time, the strongest response of each
 kept (max pooling), and a hidden layer turns these into the chunk's logit. A document's probability is
 a logistic function of the mean, largest and smallest logit of its chunks.
 
-Filters, embeddings and the hidden layer are learned on chunks of at most PER_CLASS labelled documents
-of either class, spread evenly over each document; the logistic function is fitted on whole labelled
+Filters, embeddings and the hidden layer are learned on all chunks of at most PER_CLASS labelled documents
+of either class, where documents weigh alike however long they are; of more than MAX_CHUNKS chunks, so many
+are drawn by hash. The logistic function is fitted on whole labelled
 documents that the network has not seen. Scoring reads every chunk of every text.
 
 Null and empty texts are one empty chunk. Null ids are never labelled; repeated ids are scored row by
@@ -31,7 +32,7 @@ WIDTH, STEP = 7, 2
 POSITIONS = (CHUNK - WIDTH) // STEP + 1
 EMBEDDING, FILTERS, HIDDEN = 8, 16, 16
 PER_CLASS = 2_000
-CHUNKS_PER_DOC = 4
+MAX_CHUNKS = 200_000  # labelled chunks that take part in fitting
 EPOCHS, BATCH, RATE = 12, 256, 0.01
 STEP_CHUNKS = 512
 
@@ -106,10 +107,15 @@ class Network:
             w[name] -= RATE * (mean / (1 - 0.9**self._steps)) / (np.sqrt(spread / (1 - 0.999**self._steps)) + 1e-8)
 
 
-def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Network:
-    """A network fitted to chunks (rows of bytes) and the labels of their documents; classes weigh alike."""
+def train(x: np.ndarray, y: np.ndarray, share: np.ndarray | None = None, seed: int = 11) -> Network:
+    """A network fitted to chunks (rows of bytes) and the labels of their documents; classes weigh alike.
+
+    ``share`` is what part of its document a chunk stands for.
+    """
     network, rng = Network(seed), np.random.default_rng(seed)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    share = np.ones(len(y)) if share is None else share
+    ones, all_of_it = share[y == 1].sum(), share.sum()
+    weight = share * np.where(y == 1, 0.5 / max(ones, 1e-9), 0.5 / max(all_of_it - ones, 1e-9)) * len(y)
     for _ in range(EPOCHS):
         order = rng.permutation(len(x))
         for k in range(0, len(x), BATCH):
@@ -128,11 +134,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = _bytes_of(batch.column("text"))
         places, text = chunks(data, offsets[:-1], offsets[1:])
-        first, n = np.searchsorted(text, np.arange(batch.num_rows)), np.bincount(text, minlength=batch.num_rows)
-        pick = np.concatenate([f + np.unique(np.linspace(0, c - 1, CHUNKS_PER_DOC).astype(np.int64)) for f, c in zip(first, n, strict=True)]) if batch.num_rows else np.zeros(0, np.int64)
-        rows = cut(data, places[pick], offsets[1:][text[pick]])
-        of = lambda name: batch.column(name).take(pa.array(text[pick]))
-        yield pa.RecordBatch.from_arrays([of("doc_id"), of("label"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "chunk"])
+        share = 1 / np.bincount(text, minlength=batch.num_rows)
+        for k in range(0, len(places), STEP_CHUNKS):
+            own = text[k : k + STEP_CHUNKS]
+            rows = cut(data, places[k : k + STEP_CHUNKS], offsets[1:][own])
+            of = [batch.column(name).take(pa.array(own)) for name in ("doc_id", "label")]
+            yield pa.RecordBatch.from_arrays([*of, pa.array(share[own]), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "share", "chunk"])
 
 
 def fit(docs: DataFrame, chosen: DataFrame, per_class: int = PER_CLASS) -> Network | None:
@@ -140,12 +147,12 @@ def fit(docs: DataFrame, chosen: DataFrame, per_class: int = PER_CLASS) -> Netwo
     learn = chosen.where(F.col("fold") != CALIBRATION_FOLD)
     both = [learn.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     known = F.broadcast(tables.stored(both[0].unionByName(both[1]).select("doc_id", "label"), "quality-labels"))
-    rows = docs.join(known, "doc_id").select("doc_id", "label", "text").mapInArrow(_examples, "doc_id long, label int, chunk binary")
-    rows = rows.orderBy("doc_id", "chunk").toPandas()
+    rows = docs.join(known, "doc_id").select("doc_id", "label", "text").mapInArrow(_examples, "doc_id long, label int, share double, chunk binary")
+    rows = rows.orderBy(F.xxhash64("doc_id", "chunk"), "doc_id", "chunk").limit(MAX_CHUNKS).toPandas()
     y = rows["label"].to_numpy()
     if not 0 < y.sum() < len(y):
         return None
-    return train(np.frombuffer(b"".join(rows["chunk"]), np.uint8).reshape(-1, CHUNK), y)
+    return train(np.frombuffer(b"".join(rows["chunk"]), np.uint8).reshape(-1, CHUNK), y, rows["share"].to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, per_class: int = PER_CLASS) -> DataFrame:
