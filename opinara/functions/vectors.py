@@ -19,10 +19,7 @@ from opinara.schema import FALLBACK_SCOPE, LABELS, NEGATIVE_MARGIN, OTHER_ISSUE,
 MODEL_BYTES_LIMIT = 512 * 1024 * 1024
 
 ISSUE_TYPE = "struct<cluster_id:int,issue_tag:string,issue_distance:double,cluster_source:string>"
-SCORE_TYPE = (
-    "struct<sentiment:string,confidence_margin:double,prob_negative:double,prob_neutral:double,"
-    "prob_positive:double,cluster_id:int,issue_tag:string,issue_distance:double,cluster_source:string>"
-)
+SCORE_TYPE = "struct<sentiment:string,confidence_margin:double,prob_negative:double,prob_neutral:double,prob_positive:double>"
 
 
 @dataclass(frozen=True)
@@ -166,44 +163,25 @@ def dense_forward(spark: SparkSession, weights: DenseWeights):
     return forward
 
 
-def review_scorer(
-    spark: SparkSession,
-    weights: DenseWeights,
-    sets: dict[str, CentroidSet],
-    positive: float = POSITIVE_MARGIN,
-    negative: float = NEGATIVE_MARGIN,
-):
-    """Column function (embedding, category) -> sentiment, margin, probabilities and issue.
-
-    One trip to Python serves both outputs: only rows that end up negative get an issue.
-    """
-    shared = _broadcast(spark, (weights, sets), weights.nbytes + sum(s.nbytes for s in sets.values()))
+def review_scorer(spark: SparkSession, weights: DenseWeights, positive: float = POSITIVE_MARGIN, negative: float = NEGATIVE_MARGIN):
+    """Column function embedding -> sentiment, margin and probabilities; null without a vector of the network's width."""
+    shared = _broadcast(spark, weights, weights.nbytes)
 
     @F.arrow_udf(SCORE_TYPE)
-    def score(embedding: pa.Array, category: pa.Array) -> pa.Array:
-        model, centroid_sets = shared.value
-        n = len(embedding)
+    def score(embedding: pa.Array) -> pa.Array:
+        model, n = shared.value, len(embedding)
         rows, x = _matrix(embedding, model.layers[0][0].shape[0])
         probs = _forward(x, model) if len(rows) else np.zeros((0, len(LABELS)))
         ranked = np.sort(probs, axis=1)
         margins = ranked[:, -1] - ranked[:, -2]
         predicted = probs.argmax(axis=1) if len(rows) else np.zeros(0, dtype=int)
         unsure = ((predicted == 2) & (margins < positive)) | ((predicted == 0) & (margins < negative))
-        predicted = np.where(unsure, 1, predicted)
-        complaint = np.flatnonzero(predicted == 0)
-        scopes = np.array(category.to_pylist(), dtype=object)[rows]
-        cluster, tags, distance, sources = _tag(x[complaint], scopes[complaint], centroid_sets)
-        names = np.array(LABELS, dtype=object)[predicted]
-        where = rows[complaint]
+        names = np.array(LABELS, dtype=object)[np.where(unsure, 1, predicted)]
         return pa.StructArray.from_arrays(
             [
                 _spread(rows, names, n, pa.string()),
                 _spread(rows, margins, n, pa.float64()),
                 *[_spread(rows, probs[:, i], n, pa.float64()) for i in range(len(LABELS))],
-                _spread(where, cluster, n, pa.int32()),
-                _spread(where, tags, n, pa.string()),
-                _spread(where, distance, n, pa.float64()),
-                _spread(where, sources, n, pa.string()),
             ],
             names=[part.split(":")[0] for part in SCORE_TYPE[len("struct<") : -1].split(",")],
         )

@@ -63,14 +63,6 @@ def in_eligible(rows: DataFrame, gate: int = CLUSTER_VOLUME_GATE) -> DataFrame:
     return rows.join(eligible, "category", "left_semi")
 
 
-def load_sets(centroids: DataFrame) -> dict[str, CentroidSet]:
-    """Centroid rows as broadcastable sets. The table's size is a model setting and is checked first."""
-    centroids = cut(centroids)
-    if category_blocks(centroids) > 2:
-        raise ValueError("centroid table too large to broadcast; tag in category blocks")
-    return _sets(centroids)
-
-
 def _sets(table: DataFrame) -> dict[str, CentroidSet]:
     grouped: dict[str, list] = {}
     for row in table.orderBy("scope", "cluster_id").collect():
@@ -197,14 +189,11 @@ def cluster_quality(tagged: DataFrame, by: Sequence[str] = (), digits: int = 6)
 
 
 def compare_clusterings(rows: DataFrame, centroids: DataFrame, digits: int = 6) -> DataFrame:
-    """Global set against per-category sets with fallback: one pass tags each row both ways."""
-    spark = rows.sparkSession
-    everything = load_sets(centroids)
-    fallback_only = issue_tagger(spark, {FALLBACK_SCOPE: everything[FALLBACK_SCOPE]})
-    mixed = issue_tagger(spark, everything)
-    both = rows.select(
-        fallback_only(F.col("features"), F.col("category")).alias("g"), mixed(F.col("features"), F.col("category")).alias("c")
-    )
+    """Global set against per-category sets with fallback: each row is tagged both ways."""
+    found = [F.struct("cluster_id", "issue_tag", "issue_distance", "cluster_source").alias(name) for name in "gc"]
+    centroids = cut(centroids)
+    once = tag_issues(rows.select("category", "features"), centroids.filter(F.col("scope") == FALLBACK_SCOPE)).select("category", "features", found[0])
+    both = tag_issues(once, centroids).select("g", found[1])
 
     def columns(prefix: str, name: str) -> list[Column]:
         other = F.count_if(F.col(f"{prefix}.issue_tag") == OTHER_ISSUE)

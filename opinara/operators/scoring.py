@@ -12,21 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.vectors import DenseWeights, review_scorer
-from opinara.operators.clustering import category_blocks, load_sets
+from opinara.operators.clustering import tag_issues
 from opinara.operators.curation import id_difference
-from opinara.session import cut
 
 
 def score_reviews(
     reviews: DataFrame, weights: DenseWeights, centroids: DataFrame, features: str = "features"
 ) -> DataFrame:
-    """Sentiment, margin, probabilities and, for negatives, the issue: one Arrow pass per row."""
-    centroids = cut(centroids)
-    if category_blocks(centroids) > 1:
-        raise ValueError("centroid table too large for the fused pass; score first, then tag_issues on the negatives")
-    scorer = review_scorer(reviews.sparkSession, weights, load_sets(centroids))
-    scored = reviews.withColumn("_score", scorer(F.col(features), F.col("category")))
-    return scored.select(*reviews.columns, "_score.*")
+    """Sentiment, margin, probabilities and, for negatives, the issue, for centroid tables of any size."""
+    scorer = review_scorer(reviews.sparkSession, weights)
+    scored = reviews.withColumn("_score", scorer(F.col(features)))
+    complaint = F.when(F.col("_score.sentiment") == "negative", F.col(features))
+    tagged = tag_issues(scored.withColumn("_complaint", complaint), centroids, "_complaint")
+    issue = [F.col(name) for name in ("cluster_id", "issue_tag", "issue_distance", "cluster_source")]
+    return tagged.select(*[F.col(c) for c in reviews.columns], "_score.*", *issue)
 
 
 def text_vectoriser(docs: DataFrame, text: str = "text", width: int = 256, out: str = "vector") -> PipelineModel:

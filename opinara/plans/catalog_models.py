@@ -494,8 +494,8 @@ def m9_stored(spark, folder):
     both = predict(rows).join(again, "id")
     alike = [F.abs(F.col(c) - F.col(f"own_{c}")) < 1e-9 for c in probs]
     counts = both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(alike[0] & alike[1] & alike[2]).alias("equal"))
-    scorer = vectors.review_scorer(spark, stored, {})
-    seen = rows.select(scorer(F.col("features"), F.col("category")).alias("s")).agg(F.count("s.sentiment").alias("scored"))
+    scorer = vectors.review_scorer(spark, stored)
+    seen = rows.select(scorer(F.col("features")).alias("s")).agg(F.count("s.sentiment").alias("scored"))
     return counts.withColumn("scored", F.lit(seen.first()[0]))
 
 

@@ -209,3 +209,19 @@ def test_few_and_odd_vectors(spark):
     assert list(kmeans.fit(frame.where("id = 4"), (5,), (1,))) == []
     with pytest.raises(ValueError, match="vector"):
         K.fit_global(frame.where("id = 4"))
+
+
+def test_large_centroid_tables_score_and_compare_alike(spark, monkeypatch):
+    rows, _ = blobs(spark)
+    own = K.label_centroids(rows, "truth", F.col("category"), 0.5)
+    centroids = K.label_centroids(rows, "truth", F.lit(FALLBACK_SCOPE), 0.5).unionByName(own)
+    weights = DenseWeights(((np.random.default_rng(2).normal(size=(6, 3)), np.zeros(3)),))
+
+    def outcome():
+        scored = scoring.score_reviews(rows.select("id", "category", "features"), weights, centroids)
+        return sorted(scored.drop("features").collect(), key=lambda r: r.id), K.compare_clusterings(rows, centroids).collect()
+
+    whole = outcome()
+    assert {r.cluster_source for r in whole[0] if r.sentiment == "negative"} and all(r.issue_tag is None for r in whole[0] if r.sentiment != "negative")
+    monkeypatch.setattr(K, "MODEL_BYTES_LIMIT", 300)
+    assert K.category_blocks(centroids) > 2 and outcome() == whole

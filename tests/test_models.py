@@ -95,8 +95,8 @@ def test_trained_weights_reach_the_scorer(spark, tmp_path):
     own = {r.id: r for r in predict(train).collect()}
     for r in M.by_weights(stored)(train).collect():
         assert all(abs(r[f"prob_{n}"] - own[r.id][f"prob_{n}"]) < 1e-9 for n in LABELS)
-    scorer = review_scorer(spark, stored, {}, positive=0.0, negative=0.0)
-    scored = train.select("label", scorer(F.col("features"), F.lit("x")).alias("s")).collect()
+    scorer = review_scorer(spark, stored, positive=0.0, negative=0.0)
+    scored = train.select("label", scorer(F.col("features")).alias("s")).collect()
     assert sum(r.label == r.s.sentiment for r in scored) >= 85
     other, _ = M.trained(train, hidden=(5,), max_iter=1)
     kept = tables.read_weights(spark, path)
