@@ -36,6 +36,18 @@ def s1(spark, folder):
     return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars"), "category", "source")
 
 
+@query(
+    "s1_one_file",
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang AS category, source FROM documents",
+)
+def s1_one_file(spark, folder):
+    """One file that many tasks read, though its texts hold line breaks."""
+    path = run_folder(spark, "upload")
+    docs = V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category"), "source")
+    tables.write_csv(docs.coalesce(1), path)
+    return uploads.read_csv(spark, path)
+
+
 @query(
     "s2_check_upload",
     """SELECT 'mapped' AS upload, count(*) > 0 AS ok, CAST(NULL AS VARCHAR) AS error_code FROM documents
@@ -101,17 +113,15 @@ def s6(spark, folder):
 
 @query(
     "s7_content_ids",
-    """SELECT count(*) AS rows, count(*) AS ids, count(DISTINCT text || lang || source) AS contents,
-  CAST(sum(length(text)) AS BIGINT) AS chars FROM documents""",
+    """WITH counted AS (SELECT text, lang, source, count(*) AS n FROM documents GROUP BY ALL)
+SELECT text, lang, source, n AS copies, TRUE AS told_apart FROM counted""",
 )
 def s7(spark, folder):
+    """Per distinct row how many copies it has, and whether no id stands twice in the whole table."""
     rows = uploads.ensure_id(V.documents(spark, folder).select("text", "lang", "source"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("id").alias("ids"),
-        F.count_distinct("text", "lang", "source").alias("contents"),
-        F.sum(F.length("text")).alias("chars"),
-    )
+    per_id = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("text", "lang", "source")).alias("row"))
+    per_row = per_id.select("row.*", "n").groupBy("text", "lang", "source")
+    return per_row.agg(F.sum("n").alias("copies"), (F.max("n") == 1).alias("told_apart"))
 
 
 REVIEW_FIELDS = "review_id, batch_id, category, review_date, sentiment, confidence_margin, issue_tag, cluster_source"
