@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -14,6 +15,9 @@ from opinara.operators.rollups import TREND_KEYS, sentiment_counts, with_week
 from opinara.sources import tables
 from opinara.sources.uploads import csv_options
 
+BUCKETS = 64
+MANIFEST = "buckets int, schema string, versions map<int, string>"
+
 
 def csv_stream(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
     """New CSV files of a folder, every column a string."""
@@ -79,42 +83,79 @@ def running_counters(stream: DataFrame) -> DataFrame:
     return with_week(stream).groupBy(*TREND_KEYS).agg(*sentiment_counts())
 
 
-def upsert_counters(counters: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = TREND_KEYS) -> StreamingQuery:
+def upsert_counters(
+    counters: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = TREND_KEYS, buckets: int = BUCKETS
+) -> StreamingQuery:
     """Keep a counter table current from update-mode output.
 
-    Every micro-batch writes the whole table anew: its totals, and those of keys it does not change. A
-    checkpoint has a generation of its own, later ones win, so a stream that starts over after a lost
-    checkpoint replaces what the lost one had counted. Two versions stay, the current one and the one
-    before for readers, whatever the number of micro-batches.
+    Rows lie in buckets by a hash of their keys, and a manifest names the version of each bucket. A
+    micro-batch writes the buckets anew that hold its keys, then a manifest that replaces the one before
+    as a whole; a micro-batch that is repeated writes its own versions again. A checkpoint has a generation
+    of its own, later ones win, so a stream that starts over after a lost checkpoint replaces what the lost
+    one had counted. The two latest manifests and what they name stay, for readers of the one before.
+    ``buckets`` counts for a new table; an existing one keeps its number.
     """
     spark, owner = counters.sparkSession, _owner(checkpoint)
-    known = [name.split("-") for name in tables.folders(spark, path)]
+    known = [name.split("-") for name in tables.folders(spark, f"{path}/manifests")]
     generations = {int(g) for g, _, _ in known}
     generation = next((int(g) for g, o, _ in known if o == owner), max(generations, default=-1) + 1)
     on = list(keys)
 
     def write(changed: DataFrame, batch: int) -> None:
-        own = (generation, batch)
-        earlier = sorted(v for v in _versions(changed.sparkSession, path) if v[:2] < own)
-        whole = changed
-        if earlier:
-            before = changed.sparkSession.read.parquet(f"{path}/{earlier[-1][2]}")
-            whole = changed.unionByName(before.join(changed.select(*on), on, "left_anti"))
-        whole.write.mode("overwrite").parquet(f"{path}/{generation}-{owner}-{batch}")
+        session, own = changed.sparkSession, (generation, batch)
+        earlier = sorted(v for v in _manifests(session, path) if v[:2] < own)
+        before = _manifest(session, path, earlier[-1][2]) if earlier else None
+        count = before["buckets"] if before else buckets
+        versions = dict(before["versions"]) if before else {}
+        version = f"{generation}-{owner}-{batch}"
+        dealt = changed.withColumn("bucket", F.pmod(F.xxhash64(*on), F.lit(count)).cast("int")).persist()
+        touched = sorted(row.bucket for row in dealt.select("bucket").distinct().collect())  # one row a bucket at most
+        if touched:
+            old = _rows(session, path, changed.schema, {b: versions[b] for b in touched if b in versions})
+            kept = old.join(dealt.select("bucket", *on), ["bucket", *on], "left_anti")
+            whole = dealt.unionByName(kept).repartition(len(touched), "bucket")
+            whole.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/{version}")
+        dealt.unpersist()
+        versions |= dict.fromkeys(touched, version)
+        manifest = session.createDataFrame([(count, changed.schema.json(), versions)], MANIFEST)
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{version}")
         for _, _, name in earlier[:-1]:
-            tables.delete(changed.sparkSession, f"{path}/{name}")
+            tables.delete(session, f"{path}/manifests/{name}")
+        named = {(v, b) for m in ((before or {}).get("versions", {}), versions) for b, v in m.items()}
+        for name in {v[2] for v in earlier} | set(tables.folders(session, f"{path}/data")):
+            there = {int(x.split("=")[1]) for x in tables.folders(session, f"{path}/data/{name}")}
+            left = {b for b in there if (name, b) in named}
+            for bucket in there - left if left else ():
+                tables.delete(session, f"{path}/data/{name}/bucket={bucket}")
+            if not left:
+                tables.delete(session, f"{path}/data/{name}")
 
     writer = counters.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
-    parts = [(name.split("-"), name) for name in tables.folders(spark, path)]
-    return [(int(g), int(b), name) for (g, _, b), name in parts if tables.folders(spark, f"{path}/{name}", "_SUCCESS")]
+def _manifests(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """Generation, micro-batch and name of each complete manifest."""
+    parts = [(name.split("-"), name) for name in tables.folders(spark, f"{path}/manifests")]
+    return [(int(g), int(b), name) for (g, _, b), name in parts if tables.folders(spark, f"{path}/manifests/{name}", "_SUCCESS")]
+
+
+def _manifest(spark: SparkSession, path: str, name: str) -> dict:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifests/{name}").first().asDict()
+
+
+def _rows(spark: SparkSession, path: str, schema: T.StructType, versions: dict[int, str]) -> DataFrame:
+    """The rows of the named versions of buckets, and the bucket of each."""
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    places = [f"{path}/data/{version}/bucket={bucket}" for bucket, version in versions.items()]
+    if not places:
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*places).select(*whole.names)
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{max(_versions(spark, path))[2]}")
+    found = _manifest(spark, path, max(_manifests(spark, path))[2])
+    return _rows(spark, path, T.StructType.fromJson(json.loads(found["schema"])), found["versions"]).drop("bucket")
 
 
 WEEK_KEYS = ("week_start", "category")
@@ -131,15 +172,19 @@ def weekly_windows(stream: DataFrame, event_time: str = "ts") -> DataFrame:
 
 
 def append_counted(stream: DataFrame, path: str, checkpoint: str, progress: str) -> StreamingQuery:
-    """Write each micro-batch to its own folder, and rows seen and rows scored beside it."""
+    """Write each micro-batch to its own folder, and rows seen and rows scored beside it.
+
+    Both are observed while the rows are written, so nothing is read again, and stored, so they outlive
+    the query; a repeated micro-batch replaces its own counts.
+    """
     owner = _owner(checkpoint)
 
     def write(rows: DataFrame, batch: int) -> None:
-        folder = f"owner={owner}/batch={batch}"
-        rows.write.mode("overwrite").parquet(f"{path}/{folder}")
-        written = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{folder}")
-        seen = written.agg(F.count(F.lit(1)).alias("rows"), F.count("sentiment").alias("scored"))
-        seen.write.mode("overwrite").parquet(f"{progress}/{folder}")
+        folder, seen = f"owner={owner}/batch={batch}", Observation()
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count("sentiment").alias("scored"))
+        counted.write.mode("overwrite").parquet(f"{path}/{folder}")
+        report = rows.sparkSession.createDataFrame([(seen.get["rows"], seen.get["scored"])], "rows long, scored long")
+        report.coalesce(1).write.mode("overwrite").parquet(f"{progress}/{folder}")
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     return writer.foreachBatch(write).trigger(availableNow=True).start()
