@@ -2,12 +2,13 @@
 
 Features are cut into ``BINS`` bins by their quantiles, once, and rows are kept as blocks of bin numbers. A
 level of a tree is one pass: each block sends its rows down the tree so far and adds up gradients and
-curvatures by node, feature and bin; sums are merged by node and feature, the best cut of each is found where
-its sums are, and the driver picks one of them for each node. All classes share the pass and the tree.
+curvatures by node, feature and bin; sums are merged by feature, the best cut of each node is found where
+the feature's sums are, and the driver picks one of them for each node. All classes share the pass and the tree.
 
 A task remembers the scores of the blocks it has seen and the number of trees in them, and adds the trees
 that are missing; one that starts anew adds all. So a lost executor costs time but changes nothing. A table
-of one block needs no merging, and its trees are grown by the same code in one task without a job for each level.
+of up to ``BLOCK_ROWS`` rows needs no merging, and its trees are grown by the same code in one task without a job
+for each level; a larger one is cut into smaller blocks, which are dealt evenly to the cores.
 """
 
 from __future__ import annotations
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from opinara.session import cut
 
 BINS = 64
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 17  # rows that one task takes on alone
+SHARES = 8  # blocks of a larger table have a share of that
+TASK_BLOCKS = 64  # of one task, at most
+CHUNK_ROWS = 1 << 13  # rows that are summed at once
 RIDGE = 1.0
 LEAST_CURVATURE = 1.0  # of each side of a cut, over all classes
 
@@ -80,14 +84,14 @@ class Cut(NamedTuple):
 
 
 class Block(NamedTuple):
-    bins: np.ndarray
+    bins: np.ndarray  # rows x features; each feature's numbers lie together
     y: np.ndarray
     weight: np.ndarray
 
 
 def binned(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """How many edges of its feature lie below each value."""
-    out = np.empty(x.shape, np.uint8)
+    out = np.empty(x.shape, np.uint8, "F")
     for f in range(x.shape[1]):
         out[:, f] = np.searchsorted(edges[f], x[:, f], "left")
     return out
@@ -105,15 +109,23 @@ def sums(block: Block, scores: np.ndarray, tree: Tree, active: Sequence[int]) ->
     number = np.full(len(tree.feature), -1, np.int64)
     number[list(active)] = np.arange(len(active))
     node = number[tree.nodes(block.bins)]
-    rows = np.flatnonzero(node >= 0)
-    p = softmax(scores[rows])
-    weight = block.weight[rows, None]
-    gradient = weight * (p - np.eye(classes)[block.y[rows]])
-    parts = np.concatenate([gradient, weight * 2 * p * (1 - p)], axis=1)
-    cell = ((node[rows, None] * features + np.arange(features)) * BINS + block.bins[rows]).ravel()
-    size = len(active) * features * BINS
-    out = [np.bincount(cell, np.repeat(parts[:, k], features), size) for k in range(2 * classes)]
-    return np.stack(out, axis=-1).reshape(len(active), features, BINS, 2 * classes)
+    out = np.zeros((features, 2 * classes, len(active) * BINS))
+    cells = np.empty(CHUNK_ROWS, np.int64)
+    for start in range(0, len(node), CHUNK_ROWS):  # some rows, and of these one feature at a time: what is summed stays in the processor's cache
+        rows = start + np.flatnonzero(node[start : start + CHUNK_ROWS] >= 0)
+        if not len(rows):
+            continue
+        whole = len(rows) == len(node[start : start + CHUNK_ROWS])
+        p = softmax(scores[rows])
+        weight = block.weight[rows, None]
+        gradient = weight * (p - np.eye(classes)[block.y[rows]])
+        parts = np.concatenate([gradient, weight * 2 * p * (1 - p)], axis=1).T.copy()
+        first, cell = node[rows] * BINS, cells[: len(rows)]
+        for f in range(features):
+            np.add(first, block.bins[start : start + CHUNK_ROWS, f] if whole else block.bins[rows, f], out=cell)
+            for k, part in enumerate(parts):
+                out[f, k] += np.bincount(cell, part, len(active) * BINS)
+    return out.reshape(features, 2 * classes, len(active), BINS).transpose(2, 0, 3, 1)
 
 
 def best_cut(hist: np.ndarray, first_feature: int = 0) -> Cut:
@@ -170,23 +182,23 @@ def _scored(name: str, number: int, block: Block, trees: Sequence[Tree], classes
     return scores
 
 
-def _blocks(edges: np.ndarray):
+def _blocks(edges: np.ndarray, block_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width, held, size, made = len(edges), [], 0, 0
         place = TaskContext.get().partitionId() << 32
 
         def out() -> pa.RecordBatch:
             bins, y, weight = (np.concatenate(x) for x in zip(*held, strict=True))
-            values = [place + made, len(y), bins.tobytes(), y.astype(np.uint8).tobytes(), weight.astype("<f8").tobytes()]
+            values = [place + made, len(y), bins.tobytes("F"), y.astype(np.uint8).tobytes(), weight.astype("<f8").tobytes()]
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["block", "n", "bins", "y", "weight"])
 
         for batch in batches:
             x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             y, weight = batch.column("y").to_numpy(), batch.column("weight").to_numpy()
-            for k in range(0, len(x), BLOCK_ROWS):
-                part = slice(k, k + BLOCK_ROWS)
-                if held and size + len(y[part]) > BLOCK_ROWS:
+            for k in range(0, len(x), block_rows):
+                part = slice(k, k + block_rows)
+                if held and size + len(y[part]) > block_rows:
                     yield out()
                     held, size, made = [], 0, made + 1
                 held.append((binned(x[part], edges), y[part], weight[part]))
@@ -200,7 +212,7 @@ def _blocks(edges: np.ndarray):
 def _read(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[int, Block]]:
     for batch in batches:
         for number, n, bins, y, weight in zip(*(batch.column(c).to_pylist() for c in ("block", "n", "bins", "y", "weight")), strict=True):
-            yield number, Block(np.frombuffer(bins, np.uint8).reshape(n, features), np.frombuffer(y, np.uint8), np.frombuffer(weight, "<f8"))
+            yield number, Block(np.frombuffer(bins, np.uint8).reshape(features, n).T, np.frombuffer(y, np.uint8), np.frombuffer(weight, "<f8"))
 
 
 def _in_one_task(blocks: DataFrame, features: int, classes: int, trees: int, depth: int, step: float) -> list[Tree]:
@@ -229,23 +241,24 @@ def _level(spark: SparkSession, blocks: DataFrame, name: str, features: int, cla
             total = np.zeros((len(nodes), features, BINS, 2 * classes))
             for number, block in _read(batches, features):
                 total += sums(block, _scored(name, number, block, done, classes), now, nodes)
-            for k, node in enumerate(nodes):
-                flat = total[k].reshape(features, -1)
-                offsets = np.arange(features + 1, dtype=np.int32) * flat.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array([node] * features, pa.int32()), pa.array(range(features), pa.int32()), lists], ["node", "feature", "part"])
+            parts = [np.ascontiguousarray(total[:, f]).tobytes() for f in range(features)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(features), pa.int32()), pa.array(parts, pa.binary())], ["feature", "part"])
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes, whole = shared.value[2], {}
             for batch in batches:
-                hist = batch.column("part").flatten().to_numpy().reshape(batch.num_rows, 1, BINS, 2 * classes)
-                found = [best_cut(h, f) for h, f in zip(hist, batch.column("feature").to_pylist(), strict=True)]
-                columns = [batch.column("node"), pa.array([c.gain for c in found]), batch.column("feature"), pa.array([c.last for c in found], pa.int32())]
-                sides = [pa.array([x.tolist() for x in side], pa.list_(pa.float64())) for side in ([c.left for c in found], [c.total for c in found])]
-                yield pa.RecordBatch.from_arrays([*columns, *sides], ["node", "gain", "feature", "last", "left", "total"])
-
-        merged = blocks.mapInArrow(add, "node int, feature int, part array<double>").groupBy("node", "feature")
-        merged = merged.agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+                for f, part in zip(batch.column("feature").to_pylist(), batch.column("part"), strict=True):
+                    own = np.frombuffer(part.as_buffer()).reshape(len(nodes), 1, BINS, 2 * classes)
+                    whole[f] = whole[f] + own if f in whole else own
+            found = [(node, best_cut(hist[k], f)) for f, hist in sorted(whole.items()) for k, node in enumerate(nodes)]
+            columns = [pa.array([node for node, _ in found], pa.int32()), pa.array([c.gain for _, c in found], pa.float64())]
+            columns += [pa.array(part, pa.int32()) for part in ([c.feature for _, c in found], [c.last for _, c in found])]
+            sides = [pa.array([x.tolist() for x in side], pa.list_(pa.float64())) for side in ([c.left for _, c in found], [c.total for _, c in found])]
+            yield pa.RecordBatch.from_arrays([*columns, *sides], ["node", "gain", "feature", "last", "left", "total"])
+
+        merged = blocks.mapInArrow(add, "feature int, part binary").repartition(min(features, spark.sparkContext.defaultParallelism), "feature")
         rows = merged.mapInArrow(choose, "node int, gain double, feature int, last int, left array<double>, total array<double>").collect()
+        shared.unpersist()
         best: dict[int, Cut] = {}
         for r in sorted(rows, key=lambda r: (r.node, -r.gain, r.feature)):  # one row for each node and feature
             best.setdefault(r.node, Cut(r.gain, r.feature, r["last"], np.array(r.left), np.array(r.total)))
@@ -267,12 +280,17 @@ def fit(rows: DataFrame, classes: int, trees: int = 300, depth: int = 6, step: f
     names = [f"f{k}" for k in range(first.w)]
     wide = good.select(*[F.col("features")[k].alias(name) for k, name in enumerate(names)])
     edges = np.array(wide.approxQuantile(names, [k / BINS for k in range(1, BINS)], 0.25 / BINS)).reshape(first.w, BINS - 1)
-    blocks = cut(good.coalesce(max(good.count() // BLOCK_ROWS, 1)).mapInArrow(_blocks(edges), "block long, n int, bins binary, y binary, weight binary"))
-    if blocks.count() == 1:
-        return Ensemble(edges, _in_one_task(blocks, first.w, classes, trees, depth, step), classes)
+    count, spark = good.count(), rows.sparkSession
+    alone = count <= BLOCK_ROWS
+    block_rows = BLOCK_ROWS if alone else max(BLOCK_ROWS // SHARES, 1)
+    blocks = good.coalesce(1 if alone else count // block_rows).mapInArrow(_blocks(edges, block_rows), "block long, n int, bins binary, y binary, weight binary")
+    if alone:
+        return Ensemble(edges, _in_one_task(cut(blocks), first.w, classes, trees, depth, step), classes)
+    tasks = min(max(spark.sparkContext.defaultParallelism, count // (block_rows * TASK_BLOCKS)), -(-count // block_rows))
+    blocks = cut(blocks.repartition(tasks))
     name, made = uuid.uuid4().hex, []
     for _ in range(trees):
-        made.append(grown(_level(rows.sparkSession, blocks, name, first.w, classes, list(made)), depth, classes, step))
+        made.append(grown(_level(spark, blocks, name, first.w, classes, list(made)), depth, classes, step))
     return Ensemble(edges, made, classes)
 
 

@@ -75,3 +75,18 @@ def test_odd_vectors(spark, rows):
     mixed = rows.unionByName(spark.createDataFrame([(None, 1, 1.0), ([1.0, None, 1.0, 1.0, 1.0], 1, 1.0), ([1.0] * 5, None, 1.0)], rows.schema))
     assert len(B.fit(mixed, 3, trees=1, depth=2).trees) == 1
     assert B.fit(rows.where("y = 7"), 3).trees == []
+
+
+def test_a_hundred_thousand_rows_need_no_job_for_each_level(spark, monkeypatch):
+    monkeypatch.setattr(B, "_level", lambda *a: pytest.fail("a job for a level"))
+    rows = spark.range(100_000).select(F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("features"), F.when(F.col("id") % 7 > 3, 1).otherwise(0).alias("y"), F.lit(1.0).alias("weight"))
+    tree = B.fit(rows, 2, trees=2, depth=2).trees[0]
+    assert tree.feature[1] == 0 and (tree.value[2] * tree.value[3] < 0).all()
+
+
+def test_blocks_are_dealt_to_many_tasks(spark, rows, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 300)
+    tasks, level = [], B._level
+    monkeypatch.setattr(B, "_level", lambda session, blocks, *a: (tasks.append(blocks.rdd.getNumPartitions()), level(session, blocks, *a))[1])
+    B.fit(rows.coalesce(1), 3, trees=1, depth=1)
+    assert tasks[0] > 1
