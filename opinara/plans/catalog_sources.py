@@ -19,6 +19,9 @@ from opinara.sources import tables, uploads
 from opinara.sources.uploads import ColumnMapping
 
 
+FILE_BYTES = 512 << 20  # of text in a file: one task has to write it
+
+
 def _upload(spark, folder) -> str:
     """All documents as an uploaded folder of CSV files."""
     path = f"{run_folder(spark, 'upload')}/documents.csv"
@@ -41,10 +44,12 @@ def s1(spark, folder):
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang AS category, source FROM documents",
 )
 def s1_one_file(spark, folder):
-    """One file that many tasks read, though its texts hold line breaks."""
+    """One file that many tasks read, though its texts hold line breaks; more than ``FILE_BYTES`` of text make several such files."""
     path = run_folder(spark, "upload")
     docs = V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category"), "source")
-    tables.write_csv(docs.coalesce(1), path)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = -(-size // FILE_BYTES) or 1
+    tables.write_csv(docs.coalesce(1) if files == 1 else docs.repartition(files), path)
     return uploads.read_csv(spark, path)
 
 

@@ -152,3 +152,17 @@ def test_batch_record(spark, tmp_path):
     assert (row.column_mapping, row.csv_columns) == ({"text": "words", "category": "kind"}, ["words", "kind"])
     assert enrichment.record_batch(upload, mapping, "b2", path, "up.csv", start, stop).first().status == "failed"
     assert sorted(r.batch_id for r in spark.read.parquet(f"{path}/batches").collect()) == ["b1", "b2"]
+
+
+def test_one_file_is_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from opinara.plans import catalog_sources
+
+    rows = [(k, 'said "so",\nthen left ' + "x" * 100, "en", "web", 120) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    paths, write = [], catalog_sources.tables.write_csv
+    monkeypatch.setattr(catalog_sources.tables, "write_csv", lambda df, path: (paths.append(path), write(df, path)))
+    one = sorted(map(tuple, catalog_sources.s1_one_file(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(catalog_sources, "FILE_BYTES", 1000)
+    many = sorted(map(tuple, catalog_sources.s1_one_file(spark, str(tmp_path)).collect()))
+    files = [spark.read.text(path).select("_metadata.file_path").distinct().count() for path in paths]
+    assert one == many and len(one) == 50 and files[0] == 1 and files[1] > 3
