@@ -26,7 +26,7 @@ from opinara.operators.evaluation import confusion, overall
 from opinara.operators.ranking import hash_key, resident, small_side, with_hash_cuts
 from opinara.operators.splits import class_weights, row_weights
 from opinara.schema import LABELS, NEGATIVE_RECALL_FLOOR
-from opinara.session import cut
+from opinara.session import at_once, cut
 
 TOLERANCE = 1e-4  # a fit stops here; every further iteration is a pass over the training rows
 
@@ -117,30 +117,26 @@ def boosted_trees(train: DataFrame, trees: int = 300, depth: int = 6, step: floa
 def calibrated_svc(train: DataFrame, folds: int = 3, max_iter: int = 50, seed: int = 42) -> Predictor:
     """Linear SVC per class with sigmoid calibration on held-out folds; folds are averaged.
 
-    The calibration is a logistic regression on the margin of the fold the SVC did not see.
+    The calibration is a logistic regression on the margin of the fold the SVC did not see. All fits run at
+    once: each is a row of short jobs that wait for one another.
     """
     fold = F.pmod(F.conv(F.substring(hash_key(F.col("id"), seed), 1, 8), 16, 10).cast("long"), F.lit(folds))
     parts = resident(_vectors(_weighted(train)).select("vec", "y", "weight", fold.alias("fold")))
-    fitted: list[list[tuple[np.ndarray, float, float, float]]] = []
+
+    def fit(f: int, c: int) -> tuple[np.ndarray, float, float, float]:
+        binary = parts.withColumn("b", (F.col("y") == c).cast("double"))
+        svc = LinearSVC(featuresCol="vec", labelCol="b", weightCol="weight", maxIter=max_iter, tol=TOLERANCE).fit(binary.filter(F.col("fold") != f))
+        held = svc.transform(binary.filter(F.col("fold") == f))
+        lead = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
+        sigmoid = LogisticRegression(featuresCol="m", labelCol="b", maxIter=max_iter, tol=TOLERANCE).fit(held.select(lead.alias("m"), "b"))
+        return svc.coefficients.toArray(), float(svc.intercept), float(sigmoid.coefficients[0]), float(sigmoid.intercept)
+
+    jobs = [(lambda f=f, c=c: fit(f, c)) for f in range(folds) for c in range(len(LABELS))]
     try:
-        for f in range(folds):
-            per_class = []
-            for c in range(len(LABELS)):
-                binary = parts.withColumn("b", (F.col("y") == c).cast("double"))
-                svc = LinearSVC(featuresCol="vec", labelCol="b", weightCol="weight", maxIter=max_iter, tol=TOLERANCE).fit(
-                    binary.filter(F.col("fold") != f)
-                )
-                held = svc.transform(binary.filter(F.col("fold") == f))
-                lead = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-                sigmoid = LogisticRegression(featuresCol="m", labelCol="b", maxIter=max_iter, tol=TOLERANCE).fit(
-                    held.select(lead.alias("m"), "b")
-                )
-                per_class.append(
-                    (svc.coefficients.toArray(), float(svc.intercept), float(sigmoid.coefficients[0]), float(sigmoid.intercept))
-                )
-            fitted.append(per_class)
+        found = at_once(train.sparkSession, jobs)
     finally:
         parts.unpersist()
+    fitted = [found[f * len(LABELS) : (f + 1) * len(LABELS)] for f in range(folds)]
 
     def predict(rows: DataFrame) -> DataFrame:
         def probability(w: np.ndarray, b: float, slope: float, shift: float) -> Column:
@@ -182,15 +178,17 @@ def upweight_sweep(
 ) -> DataFrame:
     """Per factor: negative recall on test and neutral recall on frozen, blank below the floor.
 
-    ``evaluation`` carries ``eval_set`` ("test", "frozen").
+    ``evaluation`` carries ``eval_set`` ("test", "frozen"). The factors' models are fitted at once.
     """
-    out = []
-    for factor in factors:
+
+    def one(factor: float) -> DataFrame:
         predict = fit(row_weights(train, registry, factor))
         per_set = metrics(predict(evaluation), by=["eval_set"])
         negative = F.max(F.when(F.col("eval_set") == "test", F.col("negative_recall")))
         frozen = F.max(F.when(F.col("eval_set") == "frozen", F.col("neutral_recall")))
-        out.append(per_set.agg(negative.alias("_n"), frozen.alias("_f")).withColumn("upweight_factor", F.lit(float(factor))))
+        return per_set.agg(negative.alias("_n"), frozen.alias("_f")).withColumn("upweight_factor", F.lit(float(factor)))
+
+    out = at_once(train.sparkSession, [(lambda factor=factor: one(factor)) for factor in factors])
     holds = F.coalesce((F.col("_n") >= floor) & (F.col("_f") > 0), F.lit(False))
     return reduce(DataFrame.unionByName, out).select(
         "upweight_factor",

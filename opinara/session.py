@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+AT_ONCE = 12  # works of the driver side by side
+
+Result = TypeVar("Result")
+
 LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -60,3 +68,14 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def at_once(spark: SparkSession, works: Sequence[Callable[[], Result]]) -> list[Result]:
+    """What some independent works return, in their order; their Spark jobs share the cores.
+
+    Each has many short jobs that wait for one another and leave most cores idle.
+    """
+    if not works:
+        return []
+    with ThreadPool(min(len(works), AT_ONCE)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda work: work()), works, 1)

@@ -101,3 +101,13 @@ def test_trained_weights_reach_the_scorer(spark, tmp_path):
     other, _ = M.trained(train, hidden=(5,), max_iter=1)
     kept = tables.read_weights(spark, path)
     assert [w.shape for w, _ in kept.layers] == [(4, 6), (6, 4), (4, 3)]
+
+
+def test_fits_of_one_model_run_side_by_side(spark):
+    import threading
+
+    from opinara.session import at_once
+
+    meet = threading.Barrier(3, timeout=30)  # breaks unless all three are there together
+    assert at_once(spark, [lambda k=k: (meet.wait(), spark.range(k).count())[1] for k in (3, 1, 2)]) == [3, 1, 2]
+    assert at_once(spark, []) == []
