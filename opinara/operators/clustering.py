@@ -25,6 +25,7 @@ GLOBAL_CLUSTERS = 15
 CATEGORY_CLUSTERS = 10
 VOCABULARY = 2000
 MIN_CLUSTER = 5
+PIECE_BYTES = 16 << 20  # of text in a task, whose terms take some twenty times that
 SEPARATOR = "\u0001"
 
 
@@ -228,6 +229,12 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """The rows, stored once in pieces of some ``PIECE_BYTES`` of text: a task lists the terms of one piece."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return cut(rows.repartition(-(-size // PIECE_BYTES)) if size > PIECE_BYTES else rows)
+
+
 def cluster_terms(
     rows: DataFrame,
     top: int = 10,
@@ -250,7 +257,7 @@ def cluster_terms(
     found = terms(F.col("text"), stop_words)
     if scope:
         found = let(mark, lambda m: F.transform(found, lambda t: F.concat(m, t)))
-    docs = rows.select(*scope, "cluster_id", found.alias("terms"))
+    docs = _pieces(rows.select(*scope, "cluster_id", "text")).select(*scope, "cluster_id", found.alias("terms"))
 
     # Vocabulary and document frequencies: partial counts per term, no row per document is shuffled.
     def tally(found: Column, uses: int, df: int) -> Column:
@@ -270,10 +277,11 @@ def cluster_terms(
     idf = F.log((1.0 + F.col("docs")) / (1.0 + F.col("df"))) + 1.0
     table = small_side(lookup(frequent, totals, scope).select("term", idf.alias("idf")))
 
-    # Only weights that are not zero: one row per document and term, summed up per cluster and term.
+    # Only weights that are not zero: one row per document and term of the vocabulary, summed up per cluster and term.
     numbered = docs.withColumn("_doc", F.monotonically_increasing_id())
-    uses = numbered.select("_doc", *scope, "cluster_id", F.explode("terms").alias("term")).groupBy("_doc", *scope, "cluster_id", "term")
-    weighted = uses.agg(F.count(F.lit(1)).alias("tf")).join(table, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+    listed_terms = numbered.select("_doc", *scope, "cluster_id", F.explode("terms").alias("term")).join(table, "term")
+    uses = listed_terms.groupBy("_doc", *scope, "cluster_id", "term", "idf")
+    weighted = uses.agg(F.count(F.lit(1)).alias("tf")).withColumn("_w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("_doc")))
     summed = weighted.withColumn("_unit", F.col("_w") / length).groupBy(*scope, "cluster_id", "term").agg(F.sum("_unit").alias("total"))
     listed = lookup(summed, sizes, [*scope, "cluster_id"]).withColumn("weight", F.round(F.col("total") / F.col("size"), 9)).drop("total", "size")

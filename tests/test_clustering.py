@@ -225,3 +225,11 @@ def test_large_centroid_tables_score_and_compare_alike(spark, monkeypatch):
     assert {r.cluster_source for r in whole[0] if r.sentiment == "negative"} and all(r.issue_tag is None for r in whole[0] if r.sentiment != "negative")
     monkeypatch.setattr(K, "MODEL_BYTES_LIMIT", 300)
     assert K.category_blocks(centroids) > 2 and outcome() == whole
+
+
+def test_large_texts_are_dealt_to_many_tasks(spark, monkeypatch):
+    rows = spark.range(40).select("id", (F.col("id") % 2).cast("int").alias("cluster_id"), F.concat_ws(" ", F.lit("alpha beta"), F.concat(F.lit("w"), F.col("id") % 5)).alias("text")).coalesce(1)
+    whole = sorted(map(tuple, K.cluster_terms(rows, top=3).collect()))
+    monkeypatch.setattr(K, "PIECE_BYTES", 100)
+    assert K._pieces(rows).rdd.getNumPartitions() >= 5
+    assert sorted(map(tuple, K.cluster_terms(rows, top=3).collect())) == whole and len(whole) == 6
