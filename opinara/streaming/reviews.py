@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -147,10 +148,14 @@ def _manifest(spark: SparkSession, path: str, name: str) -> dict:
 def _rows(spark: SparkSession, path: str, schema: T.StructType, versions: dict[int, str]) -> DataFrame:
     """The rows of the named versions of buckets, and the bucket of each."""
     whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    places = [f"{path}/data/{version}/bucket={bucket}" for bucket, version in versions.items()]
+    places: dict[str, list[str]] = {}
+    for bucket, version in versions.items():
+        places.setdefault(f"{path}/data/{version}", []).append(f"bucket={bucket}")
     if not places:
         return spark.createDataFrame([], whole)
-    return spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*places).select(*whole.names)
+    # Each version is a table of its own to Spark, which takes several without a common root for an error.
+    parts = [spark.read.schema(whole).option("basePath", base).parquet(*[f"{base}/{b}" for b in own]) for base, own in places.items()]
+    return reduce(DataFrame.unionByName, [part.select(*whole.names) for part in parts])
 
 
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
