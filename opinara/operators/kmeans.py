@@ -14,24 +14,27 @@ Centres of all runs go to every task and back to the driver. Where those of all
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.ranking import resident
+from opinara.operators.ranking import ROWS_PER_TASK
 
 ROUNDS = 3  # of drawing starts
 MORE_ROUNDS = 10  # for runs with fewer draws than clusters
 DRAWS = 2  # expected draws of a round, for each cluster
 MAX_ITER = 300
 BLOCK_BYTES = 64 << 20  # centres of all runs in work
-CELLS = 1 << 21  # distances in work at once
+CELLS = 1 << 19  # distances in work at once
+PARTIAL = "run int, n binary, cost double, total binary"
+CELLS_PER_TASK = 1 << 20  # distances of a pass below which an extra task costs more than it saves
 
 
 class Run(NamedTuple):
@@ -71,7 +74,12 @@ class Model(NamedTuple):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, np.ndarray]]:
-    """Scope, row hashes, vectors and squared distances to all centres of the scope, some rows at once."""
+    """Scope, row hashes, vectors and their closeness to all centres of the scope, some rows at once.
+
+    The closeness of x to c is x.c - c.c/2, half of what x.x exceeds the squared distance by: the nearest centre has
+    the greatest. It lies in memory that the caller may write over.
+    """
+    halves = {s: (c * c).sum(axis=1) / 2 for s, c in model.centers.items()}
     for batch in batches:
         codes = batch.column("scope").dictionary_encode()
         number = codes.indices.fill_null(len(codes.dictionary)).to_numpy()
@@ -86,12 +94,17 @@ def _chunks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[s
             step = max(CELLS // len(centers), 1)
             for k in range(0, len(x), step):
                 some = x[k : k + step]
-                squares = (some * some).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :] - 2 * (some @ centers.T)
-                yield scope, keys[k : k + step], some, np.maximum(squares, 0)
+                close = some @ centers.T
+                close -= halves[scope]
+                yield scope, keys[k : k + step], some, close
+
+
+def _squares(x: np.ndarray, close: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * close, 0)
 
 
-def _sums(members: DataFrame, runs: Sequence[Run], centers: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
-    """For each run: rows and sum of vectors of each cluster, and the inertia."""
+def _sums(members: DataFrame, runs: Sequence[Run], centers: dict[int, np.ndarray], totals: bool = True) -> dict[int, tuple[np.ndarray, np.ndarray, float]]:
+    """For each run: rows and, unless not asked for, sum of vectors of each cluster, and the inertia."""
     shared = members.sparkSession.sparkContext.broadcast(Model.of(runs, centers))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,34 +112,42 @@ def _sums(members: DataFrame, runs: Sequence[Run], centers: dict[int, np.ndarray
         rows = {s: np.zeros(len(c), np.int64) for s, c in model.centers.items()}
         sums = {s: np.zeros(c.shape) for s, c in model.centers.items()}
         cost = {s: np.zeros(len(c)) for s, c in model.centers.items()}
-        for scope, _, x, squares in _chunks(batches, model):
-            edges = model.edges[scope]
-            own = np.zeros(squares.shape)
-            for low, high in zip(edges[:-1], edges[1:], strict=True):
-                nearest = low + squares[:, low:high].argmin(axis=1)
-                own[np.arange(len(x)), nearest] = 1
-                cost[scope] += np.bincount(nearest, squares[np.arange(len(x)), nearest], len(cost[scope]))
-            rows[scope] += own.sum(axis=0).astype(np.int64)
-            sums[scope] += own.T @ x
-        out: list[list] = [[], [], [], [], []]
+        for scope, _, x, close in _chunks(batches, model):
+            edges, n = model.edges[scope], len(rows[scope])
+            nearest = np.empty((len(x), len(edges) - 1), np.intp)
+            for j, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                nearest[:, j] = low + close[:, low:high].argmax(axis=1)
+            near = _squares(x, np.take_along_axis(close, nearest, axis=1))
+            cost[scope] += np.bincount(nearest.ravel(), near.ravel(), n)
+            rows[scope] += np.bincount(nearest.ravel(), minlength=n)
+            if totals:
+                close.fill(0)
+                np.put_along_axis(close, nearest, 1, axis=1)
+                sums[scope] += close.T @ x
         for scope, own in model.runs.items():
             edges = model.edges[scope]
-            for n, low, high in zip(own, edges[:-1], edges[1:], strict=True):
-                for c in np.flatnonzero(rows[scope][low:high]):
-                    for column, value in zip(out, (n, int(c), int(rows[scope][low + c]), float(cost[scope][low + c]), sums[scope][low + c]), strict=True):
-                        column.append(value)
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["run", "cluster", "n", "cost", "total"])
-
-    parts = members.mapInArrow(add, "run int, cluster int, n long, cost double, total array<double>")
-    whole = parts.groupBy("run", "cluster").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("total")).alias("total"))
-    found = {n: (np.zeros(len(c), np.int64), np.zeros(c.shape)) for n, c in centers.items()}
-    inertia = dict.fromkeys(centers, 0.0)
-    for row in whole.collect():
-        found[row.run][0][row.cluster] = row.n
-        found[row.run][1][row.cluster] = row.total.toArray()
-        inertia[row.run] += row.cost
-    return {n: (*found[n], inertia[n]) for n in centers}
+            yield _partial((n, rows[scope][low:high], cost[scope][low:high].sum(), sums[scope][low:high]) for n, low, high in zip(own, edges[:-1], edges[1:], strict=True))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, tuple] = {}
+        for batch in batches:
+            for part in batch.to_pylist():
+                n, cost, total = np.frombuffer(part["n"], np.int64), part["cost"], np.frombuffer(part["total"])
+                more = whole.get(part["run"], (0, 0.0, 0.0))
+                whole[part["run"]] = (more[0] + n, more[1] + cost, more[2] + total)
+        yield _partial((run, *sums) for run, sums in whole.items())
+
+    parts = members.mapInArrow(add, PARTIAL).repartition("run").mapInArrow(merge, PARTIAL)
+    found = {row.run: (np.frombuffer(row.n, np.int64), np.frombuffer(row.total), row.cost) for row in parts.collect()}
+    return {n: (found[n][0], found[n][1].reshape(-1, c.shape[1]), found[n][2]) for n, c in centers.items()}
+
+
+def _partial(sums: Iterable[tuple]) -> pa.RecordBatch:
+    """Rows of ``PARTIAL``: a run's clusters as bytes, which pass between tasks unread."""
+    rows = [(run, n.tobytes(), float(cost), total.tobytes()) for run, n, cost, total in sums]
+    kinds = (pa.int32(), pa.binary(), pa.float64(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds, strict=True)], ["run", "n", "cost", "total"])
 
 
 def _uniform(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -145,10 +166,9 @@ def _drawn(members: DataFrame, runs: Sequence[Run], centers: dict[int, np.ndarra
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, rates, salt = shared.value
         cost = {n: 0.0 for own in model.runs.values() for n in own}
-        for scope, keys, x, squares in _chunks(batches, model):
-            edges = model.edges[scope]
-            for n, low, high in zip(model.runs[scope], edges[:-1], edges[1:], strict=True):
-                near = squares[:, low:high].min(axis=1)
+        for scope, keys, x, close in _chunks(batches, model):
+            squares = _squares(x, np.maximum.reduceat(close, model.edges[scope][:-1], axis=1))
+            for n, near in zip(model.runs[scope], squares.T, strict=True):
                 cost[n] += float(near.sum())
                 hit = np.flatnonzero(_uniform(keys, salt[n]) < rates[n] * near) if rates[n] else []
                 if len(hit):
@@ -199,10 +219,20 @@ def _starts(members: DataFrame, runs: Sequence[Run], seeds: Sequence[int]) -> di
         cost |= now
         for n, rows in new.items():
             centers[n] = np.unique(np.concatenate([centers[n], rows]), axis=0)
-    weights = _sums(members, runs, centers)
+    weights = _sums(members, runs, centers, totals=False)
     return {n: _spread(centers[n], weights[n][0].astype(float), runs[n]) for n in centers}
 
 
+def _dealt(rows: DataFrame, centers: int) -> DataFrame:
+    """Rows kept for the passes in equal parts, so many that all cores have work, however few pieces were read.
+
+    A row costs each pass as much as there are centres, so a small table may be worth many tasks; beyond one a core
+    there are only as many as rows want, as each sends the sums of all clusters.
+    """
+    count, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(count // ROWS_PER_TASK, min(cores - 1, count * centers // CELLS_PER_TASK)) + 1).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _fit_block(members: DataFrame, runs: Sequence[Run], seeds: Sequence[int], spread: dict, max_iter: int, tol: float) -> list[Fit]:
     centers = _starts(members, runs, seeds)
     done = dict.fromkeys(centers, 0)
@@ -239,7 +269,7 @@ def fit(
         return
     width = widths[0].w
     narrow = usable.where(F.size("features") == width).select(named.alias("scope"), hashed.alias("key"), F.col("features").cast("array<double>").alias("features"))
-    members = resident(narrow)
+    members = _dealt(narrow, sum(ks) * len(seeds))
     try:
         scopes = members.select("scope").distinct().count() if scope is not None else 1
         size = scopes * sum(ks) * len(seeds) * width * 8 * (ROUNDS * DRAWS + 1)

@@ -233,3 +233,36 @@ def test_large_texts_are_dealt_to_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(K, "PIECE_BYTES", 100)
     assert K._pieces(rows).rdd.getNumPartitions() >= 5
     assert sorted(map(tuple, K.cluster_terms(rows, top=3).collect())) == whole and len(whole) == 6
+
+
+def test_rows_of_one_piece_are_shared_by_the_cores(spark, monkeypatch):
+    from opinara.operators import kmeans
+
+    rows, _ = blobs(spark, n=3000)
+    seen, sums = set(), kmeans._sums
+    monkeypatch.setattr(kmeans, "CELLS_PER_TASK", 100_000, raising=False)
+    monkeypatch.setattr(kmeans, "_sums", lambda members, *rest, **more: seen.add(members.rdd.getNumPartitions()) or sums(members, *rest, **more))
+    assert [len(fit.centers) for fit in kmeans.fit(rows.coalesce(1), (30,), range(5), max_iter=2)] == [30] * 5
+    assert seen == {5}  # 450,000 distances a pass
+    seen.clear()
+    list(kmeans.fit(rows.coalesce(1), (2,), (1,), max_iter=2))
+    assert seen == {1}
+
+
+def test_sums_against_numpy(spark, monkeypatch):
+    from opinara.operators import kmeans
+
+    monkeypatch.setattr(kmeans, "CELLS", 50)
+    rng = np.random.default_rng(4)
+    x, scope = rng.normal(size=(300, 6)), rng.integers(0, 2, 300)
+    data = [(None if s else "a", i, v.tolist()) for i, (s, v) in enumerate(zip(scope, x, strict=True))]
+    members = spark.createDataFrame(data, "scope string, key long, features array<double>").repartition(3)
+    runs = [kmeans.Run(s, k, 1) for s in ("a", None) for k in (1, 3, 4)]
+    centers = {n: rng.normal(size=(run.k, 6)) for n, run in enumerate(runs)}
+    centers[5][3] = 100.0  # nothing is near
+    for n, (count, total, cost) in kmeans._sums(members, runs, centers).items():
+        own = x[scope == (0 if runs[n].scope else 1)]
+        gaps = ((own[:, None] - centers[n][None]) ** 2).sum(axis=2)
+        nearest = gaps.argmin(axis=1)
+        assert count.tolist() == np.bincount(nearest, minlength=runs[n].k).tolist()
+        assert np.allclose(total, [own[nearest == c].sum(axis=0) for c in range(runs[n].k)]) and cost == pytest.approx(gaps.min(axis=1).sum())
