@@ -1,13 +1,15 @@
 """Text cleaners as column expressions.
 
-Only entity decoding and NFKC need Python; rows that cannot change under them are sent as
-nulls, so plain text never leaves the JVM. Everything else is a chain of regular expressions.
+Entity decoding and NFKC need Python; rows that cannot change under them are sent as nulls.
+Everything else is a chain of regular expressions, except that the light cleaner tidies texts
+without noise by plain string methods in Python, in a fraction of the time of the chain.
 Character classes are spelled out because Java's ``\\s``, ``\\w`` and ``\\b`` are ASCII by default.
 """
 
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -42,6 +44,13 @@ STRETCHED_ANY = r"([!?,.\-;:])\1+"
 SPACES = rf"(?U){SPACE}+"
 
 
+# What the patterns for ids need, in Python; looked for only in words of at least LONG_WORD characters.
+LONG_WORD = 20
+MAY_BE_ID = re.compile(r"[a-fA-F0-9]{20}|[a-fA-F0-9]-[a-fA-F0-9]{4}-[a-fA-F0-9]{4}-")
+CONTROL_IN_PYTHON = re.compile(CONTROL)
+OPENED = re.compile(r"\. [a-z]")
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
@@ -52,6 +61,30 @@ def _normalise(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: html.unescape(unicodedata.normalize("NFKC", text)), na_action="ignore")
 
 
+def _tidied(text: str) -> str | None:
+    """Blanks squeezed and sentences opened in capitals, if none of the noise patterns can match; else None.
+
+    Expects a text without ``&``, ``<`` and ``://``. ``str.split`` parts words at just the characters of ``SPACE``.
+    """
+    low = text.lower()
+    if "ı" in low or "\u0307" in low:  # these stand for an i where case is ignored
+        low = low.replace("\u0307", "").replace("ı", "i")
+    if "www." in low or "videoid" in low or "imageid" in low:
+        return None
+    words = text.split()
+    if max(map(len, words), default=0) >= LONG_WORD and any(MAY_BE_ID.search(word) for word in words if len(word) >= LONG_WORD):
+        return None
+    tidy = " ".join(words)
+    if not tidy.isprintable():
+        tidy = " ".join(CONTROL_IN_PYTHON.sub(" ", tidy).split())
+    return OPENED.sub(lambda start: start[0].upper(), tidy)
+
+
+@F.pandas_udf(T.StringType())
+def _tidy(texts: pd.Series) -> pd.Series:
+    return texts.map(_tidied, na_action="ignore")
+
+
 def unescape(text: Column) -> Column:
     """Decode entities; only texts holding an ampersand travel to Python."""
     return F.coalesce(_unescape(F.when(text.contains("&"), text)), text)
@@ -102,19 +135,27 @@ def _upper_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 
 
-def _capitalise_sentences(text: Column) -> Column:
-    """Upper-case the first character, and ASCII letters that open a piece after a full stop."""
+def _open_sentences(text: Column) -> Column:
+    """Upper-case ASCII letters that open a piece after a full stop."""
     opened = F.transform(
         F.split(text, r"\. "), lambda piece, i: F.when((i > 0) & piece.rlike("^[a-z]"), _upper_first(piece)).otherwise(piece)
     )
-    return let(F.array_join(opened, ". "), _upper_first)
+    return F.array_join(opened, ". ")
 
 
-def clean_for_inference(text: Column) -> Column:
-    """Light cleaning that keeps case and punctuation; null when nothing is left."""
+def _without_any_noise(text: Column) -> Column:
     bare = _blank(_without_noise(unescape(text), URL_ANY_CASE, MEDIA_ID), UUID, _may_hold_uuid)
-    bare = _squeeze(F.regexp_replace(bare, CONTROL, " "))
-    return let(bare, lambda kept: F.when(F.length(kept) > 0, _capitalise_sentences(kept)))
+    return _open_sentences(_squeeze(F.regexp_replace(bare, CONTROL, " ")))
+
+
+def clean_for_inference(text: Column) -> Column:
+    """Light cleaning that keeps case and punctuation; null when nothing is left.
+
+    Texts that may hold noise go through the patterns; all others, most of them, need only be tidied.
+    """
+    noise = text.contains("&") | text.contains("<") | text.contains("://")
+    tidy = F.coalesce(_tidy(F.when(F.is_valid_utf8(text) & ~noise, text)), _without_any_noise(text))
+    return let(tidy, lambda kept: F.when(F.length(kept) > 0, _upper_first(kept)))
 
 
 def clean_or_raw(text: Column) -> Column:

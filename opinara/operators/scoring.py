@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opinara.functions.terms import HashedTerms
 from opinara.functions.vectors import DenseWeights, review_scorer
 from opinara.operators.clustering import tag_issues
 from opinara.operators.curation import id_difference
@@ -28,11 +29,20 @@ def score_reviews(
     return tagged.select(*[F.col(c) for c in reviews.columns], "_score.*", *issue)
 
 
+def hashed_terms(text: str, width: int) -> HashedTerms:
+    return HashedTerms().setInputCol(text).setOutputCol("_tf").setNumFeatures(width)
+
+
+def with_terms(docs: DataFrame, text: str = "text", width: int = 256) -> DataFrame:
+    """Adds the term counts that ``text_vectoriser`` and ``vectorise`` take from a table where it has them."""
+    filled = docs.withColumn("_filled", F.coalesce(F.col(text), F.lit("")))
+    return hashed_terms("_filled", width).transform(filled).drop("_filled")
+
+
 def text_vectoriser(docs: DataFrame, text: str = "text", width: int = 256, out: str = "vector") -> PipelineModel:
     """Hashed TF-IDF, L2-normalised: the stand-in where no encoder vectors are at hand."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=width),
+        hashed_terms(text, width),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol=out, p=2.0),
     ]

@@ -38,7 +38,7 @@ def t1(spark, folder):
     docs = spread(V.documents(spark, folder).select("doc_id", "text", F.col("lang").alias("category")))
     inbox, out = run_folder(spark, "inbox"), run_folder(spark, "enriched")
     tables.write_csv(docs, inbox)
-    cleaned_docs = cut(docs.select(clean_or_raw(F.col("text")).alias("text")))
+    cleaned_docs = cut(scoring.with_terms(docs.select(clean_or_raw(F.col("text")).alias("text")), width=WIDTH))
     encoder = scoring.text_vectoriser(cleaned_docs, width=WIDTH)
     vectors = cut(scoring.vectorise(cleaned_docs, encoder).select("features"))
     model = clustering.fit_global(vectors, k=5, max_iter=5)
